@@ -119,9 +119,10 @@ def alphanumeric() -> Alphabet:
 
 
 class Words:
-    """The words of a slice of documents: start and end byte, hash, and for each document its range of words."""
+    """The words of a slice of documents: start and end byte, hash, for each document its range of words, and a mark of 31
+    bits of its text that tells apart rows that share an id."""
 
-    __slots__ = ("buf", "start", "end", "hash", "first", "count")
+    __slots__ = ("buf", "start", "end", "hash", "first", "count", "marks")
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, alphabet: Alphabet):
         self.buf = buf
@@ -132,7 +133,6 @@ class Words:
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         begins[edge] = inside[edge]
-        ends = inside
         ends = inside.copy()
         ends[:-1] &= ~inside[1:]
         ends[edge - 1] = inside[edge - 1]
@@ -143,6 +143,8 @@ class Words:
         total[0] = 0
         np.cumsum(alphabet.value[buf] * alphabet.up[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * alphabet.down[self.start])
+        sums = (total[offsets[1:]] - total[offsets[:-1]]) * alphabet.down[offsets[:-1]]
+        self.marks = (mix(sums + np.diff(offsets).astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
         bounds = np.searchsorted(self.start, offsets)
         self.first = bounds[:-1]
         self.count = np.diff(bounds)
@@ -190,3 +192,53 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     bounds = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=bounds[1:])
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
+
+
+def known_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    col = batch.column(batch.schema.get_field_index("doc_id"))
+    return np.asarray(col.fill_null(-1)), np.asarray(col.is_valid())
+
+
+# --- Bloom filters of bounded size -------------------------------------------------------------------------------------
+
+BLOOM_BITS_LEAST, BLOOM_BITS_MOST, PIECE_BITS = 1 << 23, 1 << 28, 1 << 19
+
+
+def _bits(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys.view(np.uint64) ^ np.uint64(0x51ED270B35A1C9E7))
+    return (h % np.uint64(n)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(n)).astype(np.int64)
+
+
+def bloom(keys: DataFrame, n_keys: int) -> np.ndarray:
+    """A Bloom filter of column key, built where the keys are and joined piece by piece; its size is bounded."""
+    n = BLOOM_BITS_LEAST
+    while n < min(32 * n_keys, BLOOM_BITS_MOST):
+        n *= 2
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n, bool)
+        for b in batches:
+            for at in _bits(ids_of(b, "key"), n):
+                bits[at] = True
+        packed = np.packbits(bits, bitorder="little").reshape(-1, PIECE_BITS // 8)
+        for i in np.flatnonzero(packed.any(1)):
+            yield pa.record_batch({"piece": np.array([i]), "bits": pa.array([packed[i].tobytes()], pa.binary())})
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(PIECE_BITS // 8, np.uint8)
+        for x in table.column("bits"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros(n // 8, np.uint8)
+    spread = keys.select("key").mapInArrow(pieces, "piece long, bits binary")
+    for r in spread.groupBy("piece").applyInArrow(merge, "piece long, bits binary").collect():  # n / PIECE_BITS rows at most
+        out[r["piece"] * (PIECE_BITS // 8) : (r["piece"] + 1) * (PIECE_BITS // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_bloom(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
+    for at in _bits(keys, len(bits) * 8):
+        found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return found

@@ -27,19 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, documents, ids_of, keyed_texts, materialize, mix, powers, runs, shared_dir, slices, small_batches, spaced
+from .common import Words, bloom, documents, in_bloom, keyed_texts, known_ids, materialize, runs, shared_dir, slices, small_batches, spaced
 
 WINDOW, ANCHOR = 13, 5
-BLOOM_BITS_LEAST, BLOOM_BITS_MOST, PIECE_BITS = 1 << 23, 1 << 28, 1 << 19
 COPIES_MOST = 2_000_000
 _TEXT = spaced(lower=False)
-_BYTES = powers(0x2545F4914F6CDD1D, 1 << 12)
-
-
-def _text_marks(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """31 bits of each text: tells apart rows that share an id."""
-    sums = np.add.reduceat(np.append(buf.astype(np.uint64) * np.resize(_BYTES, len(buf)), np.uint64(0)), np.minimum(offsets[:-1], len(buf)))
-    return np.where(np.diff(offsets) > 0, mix(sums * np.uint64(3) + np.diff(offsets).astype(np.uint64)) >> np.uint64(33), np.uint64(0)).astype(np.int64)
 
 
 class _Slice:
@@ -65,17 +57,12 @@ def _copies(ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
     return copies[np.minimum(np.searchsorted(copies, ids), len(copies) - 1)] == ids
 
 
-def _known_ids(batch: pa.RecordBatch) -> np.ndarray:
-    col = batch.column(batch.schema.get_field_index("doc_id"))
-    return np.asarray(col.fill_null(-1)), np.asarray(col.is_valid())
-
-
 def anchors(docs: DataFrame, copies) -> DataFrame:
     """(key, doc_id) of every anchor, once a slice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, valid = _known_ids(b)
+            ids, valid = known_ids(b)
             skip = _copies(ids, copies.value) | ~valid
             for lo, hi, buf, offsets in slices(b):
                 s = _Slice(buf, offsets)
@@ -88,62 +75,22 @@ def anchors(docs: DataFrame, copies) -> DataFrame:
     return docs.mapInArrow(work, "key long, doc_id long")
 
 
-def _bits(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys.view(np.uint64) ^ np.uint64(0x51ED270B35A1C9E7))
-    return (h % np.uint64(n)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(n)).astype(np.int64)
-
-
-def bloom(keys: DataFrame, n_keys: int) -> np.ndarray:
-    """A Bloom filter of column key, built where the keys are and joined piece by piece; its size is bounded."""
-    n = BLOOM_BITS_LEAST
-    while n < min(32 * n_keys, BLOOM_BITS_MOST):
-        n *= 2
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n, bool)
-        for b in batches:
-            for at in _bits(ids_of(b, "key"), n):
-                bits[at] = True
-        packed = np.packbits(bits, bitorder="little").reshape(-1, PIECE_BITS // 8)
-        for i in np.flatnonzero(packed.any(1)):
-            yield pa.record_batch({"piece": np.array([i]), "bits": pa.array([packed[i].tobytes()], pa.binary())})
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(PIECE_BITS // 8, np.uint8)
-        for x in table.column("bits"):
-            out |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    out = np.zeros(n // 8, np.uint8)
-    spread = keys.select("key").mapInArrow(pieces, "piece long, bits binary")
-    for r in spread.groupBy("piece").applyInArrow(merge, "piece long, bits binary").collect():  # n / PIECE_BITS rows at most
-        out[r["piece"] * (PIECE_BITS // 8) : (r["piece"] + 1) * (PIECE_BITS // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _in_bloom(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for at in _bits(keys, len(bits) * 8):
-        found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return found
-
-
 def windows(docs: DataFrame, copies, shared) -> DataFrame:
     """(hash, doc_id, at) of the windows whose anchor passes the filter; at: the text's mark and the window's first word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, valid = _known_ids(b)
+            ids, valid = known_ids(b)
             skip = _copies(ids, copies.value) | ~valid
             for lo, hi, buf, offsets in slices(b):
                 s = _Slice(buf, offsets)
                 if not len(s.at):
                     continue
-                keep = _in_bloom(s.key, shared.value) & ~skip[s.row[s.at] + lo]
+                keep = in_bloom(s.key, shared.value) & ~skip[s.row[s.at] + lo]
                 at = s.at[keep]
                 if len(at):
                     row = s.row[at]
-                    yield pa.record_batch({"hash": runs(s.words.hash, WINDOW)[at].view(np.int64), "doc_id": ids[row + lo], "at": (_text_marks(buf, offsets)[row] << 32) | (at - s.words.first[row])})
+                    yield pa.record_batch({"hash": runs(s.words.hash, WINDOW)[at].view(np.int64), "doc_id": ids[row + lo], "at": (s.words.marks[row] << 32) | (at - s.words.first[row])})
 
     return docs.mapInArrow(work, "hash long, doc_id long, at long")
 
@@ -153,11 +100,11 @@ def strip(docs: DataFrame, copies) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, valid = _known_ids(b)
+            ids, valid = known_ids(b)
             skip = _copies(ids, copies.value) & valid
             seen = b.column(b.schema.get_field_index("at"))
             for lo, hi, buf, offsets in slices(b):
-                w, marks = Words(buf, offsets, _TEXT), _text_marks(buf, offsets)
+                w = Words(buf, offsets, _TEXT)
                 removed, kept = [], []
                 for i in range(hi - lo):
                     n, first = int(w.count[i]), int(w.first[i])
@@ -166,7 +113,7 @@ def strip(docs: DataFrame, copies) -> DataFrame:
                         gone[0] = 1
                     elif seen[lo + i].is_valid:
                         at = seen[lo + i].values.to_numpy()
-                        at = np.unique(at[(at >> 32) == marks[i]] & 0xFFFFFFFF)
+                        at = np.unique(at[(at >> 32) == w.marks[i]] & 0xFFFFFFFF)
                         gone[at] += 1
                         ends, counts = np.unique(np.minimum(at + WINDOW, n), return_counts=True)
                         gone[ends] -= counts

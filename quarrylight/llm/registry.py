@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op6_substring_dedup as op6
+from . import op10_decontamination as op10
 
-QUERIES = {"op6_substring_dedup": op6.op6_substring_dedup}
-SQL = {**op6.SQL}
+QUERIES = {"op6_substring_dedup": op6.op6_substring_dedup, "op10_decontamination": op10.op10_decontamination}
+SQL = {**op6.SQL, **op10.SQL}
