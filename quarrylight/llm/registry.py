@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from . import op1_mixing as op1
 from . import op6_substring_dedup as op6
 from . import op10_decontamination as op10
 
-QUERIES = {"op6_substring_dedup": op6.op6_substring_dedup, "op10_decontamination": op10.op10_decontamination}
+QUERIES = {"op1_mixing": op1.op1_mixing, "op6_substring_dedup": op6.op6_substring_dedup, "op10_decontamination": op10.op10_decontamination}
 SQL = {**op6.SQL, **op10.SQL}
