@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, documents, in_bloom, keyed_texts, known_ids, materialize, runs, shared_dir, slices, small_batches, spaced
+from .common import Words, bloom, documents, in_bloom, keyed_texts, known_ids, materialize, mix, runs, shared_dir, slices, small_batches, spaced
 
 WINDOW, ANCHOR = 13, 5
 COPIES_MOST = 2_000_000
@@ -76,7 +76,8 @@ def anchors(docs: DataFrame, copies) -> DataFrame:
 
 
 def windows(docs: DataFrame, copies, shared) -> DataFrame:
-    """(hash, doc_id, at) of the windows whose anchor passes the filter; at: the text's mark and the window's first word."""
+    """(hash, doc_id, at) of the windows whose anchor passes the filter, once a document; at: the text's mark and the window's
+    first word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,8 +90,10 @@ def windows(docs: DataFrame, copies, shared) -> DataFrame:
                 keep = in_bloom(s.key, shared.value) & ~skip[s.row[s.at] + lo]
                 at = s.at[keep]
                 if len(at):
-                    row = s.row[at]
-                    yield pa.record_batch({"hash": runs(s.words.hash, WINDOW)[at].view(np.int64), "doc_id": ids[row + lo], "at": (s.words.marks[row] << 32) | (at - s.words.first[row])})
+                    row, hashes = s.row[at], runs(s.words.hash, WINDOW)[at]
+                    once = np.unique(mix(hashes ^ mix(row.astype(np.uint64))), return_index=True)[1]  # strip() finds the others
+                    at, row, hashes = at[once], row[once], hashes[once]
+                    yield pa.record_batch({"hash": hashes.view(np.int64), "doc_id": ids[row + lo], "at": (s.words.marks[row] << 32) | (at - s.words.first[row])})
 
     return docs.mapInArrow(work, "hash long, doc_id long, at long")
 
@@ -113,7 +116,10 @@ def strip(docs: DataFrame, copies) -> DataFrame:
                         gone[0] = 1
                     elif seen[lo + i].is_valid:
                         at = seen[lo + i].values.to_numpy()
-                        at = np.unique(at[(at >> 32) == w.marks[i]] & 0xFFFFFFFF)
+                        at = at[(at >> 32) == w.marks[i]] & 0xFFFFFFFF
+                        if len(at):
+                            own = runs(w.hash[first : first + n], WINDOW)
+                            at = np.flatnonzero(np.isin(own, own[at]))
                         gone[at] += 1
                         ends, counts = np.unique(np.minimum(at + WINDOW, n), return_counts=True)
                         gone[ends] -= counts
