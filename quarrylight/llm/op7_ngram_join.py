@@ -11,8 +11,9 @@ the chance of an empty segment give.
 Equal sets are one class first. Signatures that classes share are found by minima alone, then each class that has one is
 read again with its set. Classes are held against the least class of the bucket with which they share most, exactly;
 what that links becomes components, and pairs of one bucket that are still in two components are compared in tiles of
-bounded size: by sizes, by a lower bound on the difference from parity sketches, and exactly. A tile passes on the nearest
-pairs of each two components, and rounds go on until none is left, so no link is lost and no group's pairs are all made.
+bounded size: by sizes, by a lower bound on the difference from parity sketches, and exactly. A tile passes on the
+nearest pairs of each two components, more in each round, until none was held back: no link is lost, and two groups that
+a pair joins are compared no further.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; a text with fewer words than a
 shingle is one shingle of all its words; rows that share an id are one document; rows with a null id link with nothing
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 from math import exp
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ from .components import connected_components
 
 _TEXT = spaced(lower=True)
 COPIES_MOST = 2_000_000
-SKETCH_WORDS, TILE, NEAREST = 16, 192, 4
+SKETCH_WORDS, TILE, NEAREST = 16, 192, 16
 _A, _B, _SEG = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
 
 
@@ -207,39 +207,61 @@ class Join:
         both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
         return both.select("a", "b", "ga", "gb").mapInArrow(work, "a long, b long")
 
-    def left_over(self, members: DataFrame, components: DataFrame, sharers: DataFrame, tried: DataFrame) -> DataFrame:
-        """(a, b): pairs of one bucket but two components that sizes and sketches let through and that weren't tried yet."""
+    def left_over(self, members: DataFrame, components: DataFrame, sharers: DataFrame, nearest: int) -> DataFrame:
+        """(c, d, a, b, more): pairs of one bucket but two components that sizes and sketches let through, of each two
+        components in a tile the nearest; more says that the tile has further ones."""
         num, den = self.num, self.den
         labelled = members.join(components, members.doc_id == components.node, "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         mixed = labelled.groupBy("sig").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k")).where("least < most").select("sig", F.ceil(F.col("k") / TILE).alias("blocks"))
-        rows = labelled.join(mixed, "sig").join(sharers.select("doc_id", F.size("grams").alias("n"), "sketch"), "doc_id")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-        tiles = rows.select("sig", "doc_id", "c", "n", "sketch", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        tiles = tiles.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-
-        def work(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-            i, j = key[1], key[2]
-            a, b = got[got.block == i], got[got.block == j]
+        rows = labelled.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+        tiles = rows.select("sig", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        tiles = tiles.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
+        tiles = tiles.join(sharers.select("doc_id", F.size("grams").alias("n"), "sketch"), "doc_id")
+
+        def near(sig_rows: tuple) -> list[tuple]:
+            i, j, block, doc, c, n, sketch = sig_rows
+            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+            found: dict[tuple, list] = {}
+            for r in left:
+                at = right[(c[right] != c[r]) & (n[right] * den >= num * n[r]) & (n[r] * den >= num * n[right])]
+                if len(at):
+                    far = np.bitwise_count(sketch[at] ^ sketch[r]).sum(1)
+                    for t, f in zip(at.tolist(), far.tolist(), strict=True):
+                        if f * (den + num) <= (den - num) * (n[r] + n[t]):
+                            found.setdefault((min(c[r], c[t]), max(c[r], c[t])), []).append((f, min(doc[r], doc[t]), max(doc[r], doc[t])))
             out = []
-            if len(a) and len(b):
-                sa, sb = np.stack(a.sketch.to_numpy()), np.stack(b.sketch.to_numpy())
-                na, nb, ca, cb, ia, ib = (x.to_numpy() for x in (a.n, b.n, a.c, b.c, a.doc_id, b.doc_id))
-                for r in range(len(a)):
-                    size = na[r] + nb
-                    may = (ca[r] != cb) & (na[r] * den >= num * nb) & (nb * den >= num * na[r])
-                    at = np.flatnonzero(may)
-                    if len(at):
-                        far = np.bitwise_count((sa[r] ^ sb[at]).view(np.uint64)).sum(1)
-                        fits = far * (den + num) <= (den - num) * size[at]
-                        out += [(min(ca[r], cb[t]), max(ca[r], cb[t]), int(f), min(ia[r], ib[t]), max(ia[r], ib[t])) for t, f in zip(at[fits], far[fits], strict=True)]
-            found = pd.DataFrame(out, columns=["c", "d", "far", "a", "b"]).drop_duplicates()
-            return found.sort_values(["far", "a", "b"])[["c", "d", "far", "a", "b"]]
-
-        near = tiles.groupBy("sig", "i", "j").applyInPandas(work, "c long, d long, far long, a long, b long").select("c", "d", "far", "a", "b")
-        near = near.join(tried, ["a", "b"], "left_anti")
-        # of two components the nearest pairs that are left go first
-        best = near.groupBy("c", "d").agg(F.min(F.struct("far", "a", "b")).alias("x"), F.max(F.struct(-F.xxhash64("a", "b"), "a", "b")).alias("y"))
-        return best.select(F.col("x.a").alias("a"), F.col("x.b").alias("b")).unionByName(best.select(F.col("y.a").alias("a"), F.col("y.b").alias("b"))).distinct()
+            for (x, y), pairs in found.items():
+                pairs = sorted(set(pairs))
+                out += [(x, y, a, b, len(pairs) > nearest) for _, a, b in pairs[:nearest]]
+            return out
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest = None
+            for batch in _then_none(batches):
+                if batch is not None:
+                    cols = [ids_of(batch, c) for c in ("sig", "i", "j", "block", "doc_id", "c", "n")]
+                    cols.append(batch.column(batch.schema.get_field_index("sketch")).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS))
+                    rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+                if rest is None or not len(rest[0]):
+                    continue
+                new = np.flatnonzero((np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0) | (np.diff(rest[2]) != 0)) + 1
+                cuts = [0, *new.tolist()] + ([len(rest[0])] if batch is None else [])
+                out = []
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if hi - lo > 1:
+                        out += near(tuple(x[lo:hi] for x in rest[1:]))
+                rest = [x[cuts[-1] :] for x in rest]
+                if out:
+                    c, d, a, b, more = zip(*set(out), strict=True)
+                    yield pa.record_batch({"c": np.array(c, np.int64), "d": np.array(d, np.int64), "a": np.array(a, np.int64), "b": np.array(b, np.int64), "more": np.array(more)})
+
+        dealt = tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").select("sig", "i", "j", "block", "doc_id", "c", F.col("n").cast("long").alias("n"), "sketch")
+        return dealt.mapInArrow(work, "c long, d long, a long, b long, more boolean")
+
+
+def _then_none(items: Iterator) -> Iterator:
+    yield from items
+    yield None
 
 
 def ngram_join(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,14 +291,18 @@ def ngram_join(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, i
         members = materialize(sharers.select("doc_id", F.explode("sigs").alias("sig")).join(buckets, "sig"), "op7-members")
         votes = members.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("k"))
         stars = votes.groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("hub")).alias("h"))).alias("x")).select((-F.col("x.h")).alias("a"), F.col("doc_id").alias("b"))
-        tried = pairs = materialize(stars, "op7-stars")
+        pairs = materialize(stars, "op7-stars")
+        tried, nearest, more = None, NEAREST, True
         while True:
             links = materialize(links.unionByName(join.verified(pairs, sharers)), "op7-links")
             components = materialize(connected_components(links, "op7"), "op7-components")
-            pairs = materialize(join.left_over(members, components, sharers, tried), "op7-pairs")
-            if not pairs.count():
+            if not more:  # all that was left has been held against each other
                 break
-            tried = tried.unionByName(pairs)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            near = materialize(join.left_over(members, components, sharers, nearest), "op7-near")
+            more = bool(near.agg(F.max("more")).first()[0])
+            pairs = materialize(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "op7-pairs")
+            nearest *= 8
     else:
         components = materialize(connected_components(links, "op7"), "op7-components")
     of = classes.join(components, F.col("rep") == F.col("node"), "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component_id"))
