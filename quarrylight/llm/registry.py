@@ -7,6 +7,7 @@ from . import op3_secrets as op3
 from . import op4_embedding_dedup as op4
 from . import op6_substring_dedup as op6
 from . import op7_ngram_join as op7
+from . import op9_line_dedup as op9
 from . import op10_decontamination as op10
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_embedding_dedup": op4.op4_embedding_dedup,
     "op6_substring_dedup": op6.op6_substring_dedup,
     "op7_ngram_join": op7.op7_ngram_join,
+    "op9_line_dedup": op9.op9_line_dedup,
     "op10_decontamination": op10.op10_decontamination,
 }
-SQL = {**op4.SQL, **op6.SQL, **op7.SQL, **op10.SQL}
+SQL = {**op4.SQL, **op6.SQL, **op7.SQL, **op9.SQL, **op10.SQL}
