@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from . import op1_mixing as op1
+from . import op2_quality as op2
 from . import op3_secrets as op3
 from . import op4_embedding_dedup as op4
+from . import op5_toxicity as op5
 from . import op6_substring_dedup as op6
 from . import op7_ngram_join as op7
 from . import op9_line_dedup as op9
@@ -12,8 +14,10 @@ from . import op10_decontamination as op10
 
 QUERIES = {
     "op1_mixing": op1.op1_mixing,
+    "op2_quality": op2.op2_quality,
     "op3_secrets": op3.op3_secrets,
     "op4_embedding_dedup": op4.op4_embedding_dedup,
+    "op5_toxicity": op5.op5_toxicity,
     "op6_substring_dedup": op6.op6_substring_dedup,
     "op7_ngram_join": op7.op7_ngram_join,
     "op9_line_dedup": op9.op9_line_dedup,
