@@ -9,6 +9,7 @@ from . import op4_embedding_dedup as op4
 from . import op5_toxicity as op5
 from . import op6_substring_dedup as op6
 from . import op7_ngram_join as op7
+from . import op8_pii as op8
 from . import op9_line_dedup as op9
 from . import op10_decontamination as op10
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5.op5_toxicity,
     "op6_substring_dedup": op6.op6_substring_dedup,
     "op7_ngram_join": op7.op7_ngram_join,
+    "op8_pii": op8.op8_pii,
     "op9_line_dedup": op9.op9_line_dedup,
     "op10_decontamination": op10.op10_decontamination,
 }
