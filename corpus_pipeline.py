@@ -1,8 +1,70 @@
-"""Corpus pipeline: to come with its stages."""
+"""Corpus pipeline: five stages, each an operator of quarrylight.llm whose decisions take effect on what the stage before kept.
 
-STAGES = []
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents. run() writes each
+result as Parquet to the shared folder and reads it again as the next stage's docs.
+
+Rows that share an id are one document where a stage decides by id (near duplicates, contamination): they go together, and
+so do rows with a null id. Null texts pass all stages (no quality to see in them but a zero byte's, no lines, no shingles, no
+words) unless the classifier rejects them; empty tables pass as empty tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylight.llm.common import documents, materialize, read_table
+from quarrylight.llm.op1_mixing import mix
+from quarrylight.llm.op2_quality import keep_good
+from quarrylight.llm.op7_ngram_join import ngram_join
+from quarrylight.llm.op9_line_dedup import dedup_documents
+from quarrylight.llm.op10_decontamination import decontaminate
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines like an earlier line go, and documents that had words and have none left; n_chars follows the text."""
+    out = dedup_documents(docs)
+    left = (F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    chars = F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return out.where(left).withColumn("n_chars", chars).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link at a Jaccard similarity of 0.8 of their five-word shingles, the one with the least id stays."""
+    gone = ngram_join(docs, shingle=5, num=8, den=10).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of which benchmark windows cover a twentieth or more."""
+    gone = decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each document is taken, so that sources meet their target weights."""
+    return mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+]
+
+#: SQL can't express the classifier; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES, 1):
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    return docs

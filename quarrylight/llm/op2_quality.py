@@ -210,5 +210,19 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return out.select("doc_id", held_out("doc_id", FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, whose text is predicted good; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(keyed_texts(docs, id_col, text_col), labels))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [shared.value.score(buf, offsets) >= CUT for _, _, buf, offsets in slices(b, text_col)]
+            if good:
+                yield b.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
