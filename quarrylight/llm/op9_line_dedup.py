@@ -3,7 +3,8 @@
 A line is the set of its words. Words are ordered by rarity: hashed into BUCKETS counters over all lines, they rank by the
 eighth of an octave of their counter, then by hash. Two different sets reach the similarity only if they share one of the
 first |x| - ceil(t |x|) + 1 words of each (prefix filter); lengths, and what can still follow after the places where they
-meet (positional filter), leave out more. Candidates are verified on whole sets. A line goes if a line before it (by
+meet (positional filter), leave out more, and so does a sketch of 64 parities, which differ in at most as
+many bits as the sets in words. Candidates are verified on whole sets. A line goes if a line before it (by
 document id, then by line) is as similar as that or equal; lines are judged on the input, not on what is left.
 
 Equal sets are one class before anything is joined, by minima that are combined before they are shuffled, so a line that
@@ -88,15 +89,17 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     ranked = lines_of(docs).select("doc_id", "ln", _ranked(_words(F.col("line")), ranks).alias("k"))
     n = F.size("k")
     prefix = F.when(n * (den - num) >= num, F.transform(F.slice("k", F.lit(1), _prefix_length(n, num, den)), lambda x: F.hash(x))).otherwise(F.array().cast("array<int>"))
-    lines = materialize(ranked.select("doc_id", "ln", n.alias("n"), F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), "k").alias("s2"), prefix.alias("prefix")), "op9-lines").where("n > 0")
+    lines = materialize(ranked.select("doc_id", "ln", n.alias("n"), F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), "k").alias("s2"), F.expr("aggregate(k, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"), prefix.alias("prefix")), "op9-lines").where("n > 0")
     first = lines.groupBy("s", "s2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.count("*").alias("times"), F.max("n").alias("n"))
     firsts = materialize(first.select("s", "s2", "at.doc_id", "at.ln", "times", "n"), "op9-firsts")
-    tokens = lines.select("s", "s2", "n", "prefix").where(F.size("prefix") > 0).groupBy("s", "s2").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"))
-    posted = tokens.select("s", "n", F.posexplode("prefix").alias("pos", "t"))
-    x, y = (posted.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("s", "n", "pos"))) for i in (1, 2))
-    need = F.ceil((F.col("n1") + F.col("n2")) * num / F.lit(num + den))
-    meets = (F.col("s1") < F.col("s2_")) & (F.col("n1") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n1") * num) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
-    pairs = x.join(y.withColumnRenamed("s2", "s2_").hint("shuffle_hash"), "t").where(meets).select(F.col("s1").alias("a"), F.col("s2_").alias("b")).distinct()
+    tokens = lines.where(F.size("prefix") > 0).groupBy("s", "s2").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("prefix").alias("prefix"))
+    posted = tokens.select("s", "sketch", "n", F.posexplode("prefix").alias("pos", "t")).select("t", "s", "sketch", F.expr("shiftleft(cast(n as bigint), 32) | pos").alias("np"))
+    x, y = (posted.select("t", *(F.col(c).alias(f"{c}_{i}") for c in ("s", "sketch", "np"))) for i in (1, 2))
+    n1, n2 = F.shiftright("np_1", 32), F.shiftright("np_2", 32)
+    pos1, pos2 = F.col("np_1").bitwiseAND(0xFFFFFFFF), F.col("np_2").bitwiseAND(0xFFFFFFFF)
+    apart = F.bit_count(F.col("sketch_1").bitwiseXOR(F.col("sketch_2"))) * (num + den) <= (n1 + n2) * (den - num)
+    meets = (F.col("s_1") < F.col("s_2")) & apart & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (F.least(n1 - pos1, n2 - pos2) * (num + den) >= (n1 + n2) * num)
+    pairs = x.join(y.hint("shuffle_hash"), "t").where(meets).select(F.col("s_1").alias("a"), F.col("s_2").alias("b")).distinct()
     pairs = materialize(pairs, "op9-pairs")
     ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     places = materialize(firsts.join(ends, "s", "left_semi").select("s", "doc_id", "ln"), "op9-places")
@@ -114,13 +117,18 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
 
 def dedup_documents(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the kept lines as text, and _lines, _removed (numbers of lines)."""
-    gone = removed_lines(docs, num, den, id_col, text_col).groupBy("doc_id").agg(F.collect_set("ln").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    gone = removed_lines(docs, num, den, id_col, text_col).groupBy("doc_id").agg(F.collect_set("ln").alias("_gone"))
+    gone = materialize(gone.withColumnRenamed("doc_id", "_id"), "op9-gone")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
+    # only documents that may lose lines are shuffled
+    may = F.coalesce(_bit_test(_bitmap(gone.select(F.xxhash64("_id").alias("d")), "d"), F.xxhash64(F.col(id_col).cast("long"))), F.lit(False))
+    out = docs.where(may).join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
     fewer = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
     kept = F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(fewer)
     names = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*names, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
+    out = out.select(*names, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
+    whole = docs.where(~may).select(*(F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"), F.lit(0).cast("long").alias("_removed"))
+    return whole.unionByName(out)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
