@@ -57,6 +57,14 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(v).alias(k) for k, v in more.items()))
 
 
+def hashed_sample(texts: DataFrame, n: int, most_chars: int = 20_000) -> DataFrame:
+    """About n of the texts of 1 to most_chars characters, those whose hash is least. Only hashes are gathered to find the
+    limit; texts that are equal come together."""
+    fit = texts.select("text", F.xxhash64("text").alias("h")).where(f"length(text) between 1 and {most_chars}")
+    limit = fit.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return fit.where(F.col("h") <= F.lit(limit).cast("long")).select("text").distinct()
+
+
 # --- words -----------------------------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240611)

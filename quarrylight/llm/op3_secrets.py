@@ -24,7 +24,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, hashed_sample, materialize
 
 KINDS = ("assign", "access", "hex", "markov")
 _NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
@@ -65,7 +65,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     pick = [F.element_at(words, (F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(len(WORDS))) + 1).cast("int")) for i in range(4)]
     style = F.when(kind == 0, F.concat_ws("_", *pick)).when(kind == 1, F.concat_ws("-", *pick[:3])).when(kind == 2, F.concat(pick[0], *(F.initcap(p) for p in pick[1:]))).otherwise(F.concat_ws("/", *pick))
     plain = made.select(style.alias("token"), F.lit(0).alias("label"))
-    few = docs.select(F.col(text_col).cast("string").alias("text")).where("length(text) between 1 and 20000").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS)
+    few = hashed_sample(docs.select(F.col(text_col).cast("string").alias("text")), SAMPLE_DOCS)
     seen = few.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}(?![0-9A-Za-z])"), 0)).alias("token"), F.lit(0).alias("label"))
     return random.unionByName(plain).unionByName(seen)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed_texts, small_batches
+from .common import documents, hashed_sample, keyed_texts, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TILE, MARGIN, HIDDEN, SAMPLE, WINDOWS, EPOCHS, BATCH, RATE, SEED = 32, 16, 16, 300, 4800, 6, 48, 0.02, 3
@@ -331,8 +331,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    few = docs.where("length(text) between 1 and 20000").select("text").orderBy(F.xxhash64("text")).limit(sample)
-    return Tagger().train(*labelled_windows([r[0] for r in few.collect()]))  # SAMPLE texts of 20000 characters at most
+    few = hashed_sample(docs.select("text"), sample)
+    return Tagger().train(*labelled_windows(sorted(r[0] for r in few.collect())))  # SAMPLE texts of 20000 characters at most
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Tagger | None = None) -> DataFrame:
