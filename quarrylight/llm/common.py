@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Records that cross to Python at once; a slice of SLICE_BYTES of them is worked on at a time.
 BATCH_ROWS = 512
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -176,8 +176,8 @@ def runs(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * _DOWN[: len(h) - n + 1])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a batch into slices of about SLICE_BYTES of text: first row, end row, bytes, offsets of rows in them. Null is empty."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a batch into slices of about `size` bytes of text: first row, end row, bytes, offsets of rows in them. Null is empty."""
     texts = batch.column(batch.schema.get_field_index(column))
     if pa.types.is_string(texts.type):
         texts = texts.cast(pa.large_string())
@@ -186,7 +186,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, i
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         to = min(max(to, at + 1), len(texts))
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to

@@ -30,6 +30,8 @@ from .common import documents, keyed_texts, known_ids, read_table, slices, small
 WIDTH, FILTERS, PIECE, LAGS = 6, 12, 512, 24
 SAMPLE, EPOCHS, RATE, BATCH, SEED = 1200, 14, 0.02, 32, 5
 CUT, FOLDS, FOLD = 0.7, 4, 2
+#: Bytes that are convolved at a time.
+SCORED = 1 << 18
 
 
 class Pieces:
@@ -196,7 +198,7 @@ def score_texts(docs: DataFrame, model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, valid = known_ids(b)
-            for lo, hi, buf, offsets in slices(b):
+            for lo, hi, buf, offsets in slices(b, size=SCORED):
                 yield pa.record_batch({"doc_id": pa.array(ids[lo:hi], pa.int64(), mask=~valid[lo:hi]), "score": shared.value.score(buf, offsets)})
 
     return docs.mapInArrow(work, "doc_id long, score double")
@@ -217,7 +219,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [shared.value.score(buf, offsets) >= CUT for _, _, buf, offsets in slices(b, text_col)]
+            good = [shared.value.score(buf, offsets) >= CUT for _, _, buf, offsets in slices(b, text_col, SCORED)]
             if good:
                 yield b.filter(pa.array(np.concatenate(good)))
 
