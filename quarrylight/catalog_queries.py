@@ -1,6 +1,666 @@
-"""Named queries over the driver's tables, one or more for each operator, with the SQL of each."""
+"""Named queries over the driver's tables, one or more for each operator, with the SQL of each.
+
+Documents, parts and orders stand in for corpora: parts generate code files whose symbols and calls SQL can predict, orders and
+line items are a call graph. What SQL can't compute is held against rows derived by hand.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chunk, graph, resolve, validate
+from .operators.bm25 import Bm25Index, search_documents, weighted_text
+from .plans import fixtures, simulate, tools
+from .plans.engine import CodeIndex
+from .plans.entry_points import choose_entry_points
+from .plans.planner import investigate
+from .sources.catalog import Catalog
+from .sources.repository import discover
+from .sources.tables import shared_dir
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    """SQL of rows that were derived by hand. columns: 'name TYPE, ...'."""
+
+    def lit(v) -> str:
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+
+    cols = [c.strip().split(" ", 1) for c in columns.split(",")]
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in cols)} FROM (VALUES {body}) v({', '.join(n for n, _ in cols)})"
+
+
+# --- tokens and scalars --------------------------------------------------------------------------------------------------
+
+_NONE = "CAST([] AS STRUCT(t VARCHAR, f BOOLEAN)[])"
+_CAMEL = r"regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')"
+_EXPAND = f"""list_concat([{{'t': lower(m), 'f': true}}], flatten(list_transform(string_split(m, '.'), lambda p:
+  list_concat(CASE WHEN contains(m, '.') THEN [{{'t': lower(p), 'f': false}}] ELSE {_NONE} END,
+   flatten(list_transform(list_filter(string_split(p, '_'), lambda w: w <> ''), lambda w:
+    list_concat(CASE WHEN contains(p, '_') THEN [{{'t': lower(w), 'f': false}}] ELSE {_NONE} END,
+     CASE WHEN contains({_CAMEL}, '_') THEN list_transform(list_filter(string_split({_CAMEL}, '_'), lambda x: x <> ''), lambda x: {{'t': lower(x), 'f': false}}) ELSE {_NONE} END)))))))"""
+
+
+def tokens_sql(rows: str, keep: str, text: str) -> str:
+    """A select of keep and tokens over rows."""
+    return f"""(SELECT {keep}, list_transform(list_filter(flat, lambda x, i: x.f OR x.t <> coalesce(flat[i - 1].t, '')), lambda x: x.t) AS tokens FROM
+ (SELECT {keep}, coalesce(flatten(list_transform(regexp_extract_all(coalesce({text}, ''), '[A-Za-z0-9_]+(?:\\.[A-Za-z0-9_]+)*'), lambda m: {_EXPAND})), {_NONE}) AS flat FROM {rows}))"""
+
+
+_DOC_TOKENS = tokens_sql("documents", "doc_id", "text")
+_INDEX_SQL = f"""
+ docs AS (SELECT doc_id, tokens, len(tokens) AS dl FROM {_DOC_TOKENS}),
+ corpus AS (SELECT count(*) AS n, coalesce(avg(dl), 0) AS avgdl FROM docs),
+ postings AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(tokens) AS term FROM docs) GROUP BY ALL),
+ terms AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus)"""
+
+
+@query(f"SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, CAST(len(list_distinct(tokens)) AS BIGINT) AS n_distinct, tokens[1] AS first_token, tokens[-1] AS last_token FROM {_DOC_TOKENS}")
+def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.get("t", F.lit(0)).alias("first_token"), F.try_element_at("t", F.lit(-1)).alias("last_token"))
+
+
+GOLDEN_TOKENS = {
+    "get_user_profile": "get_user_profile get user profile",
+    "getUserProfile": "getuserprofile get user profile",
+    "UserService": "userservice user service",
+    "HTTPServerError": "httpservererror http server error",
+    "__init__": "__init__ init",
+    "user.user": "user.user user",
+    "UserRepository.find_by_id": "userrepository.find_by_id userrepository user repository find_by_id find by id",
+    "app.services.users": "app.services.users app services users",
+    "user": "user",
+    "my_HTTPServer": "my_httpserver my httpserver http server",
+    "  ": "",
+}
+
+
+@query(values("text VARCHAR, pos BIGINT, token VARCHAR", [(k, i, t) for k, v in GOLDEN_TOKENS.items() for i, t in enumerate(v.split())]))
+def tokenize_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k,) for k in GOLDEN_TOKENS], "text string")
+    return rows.select("text", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")).select("text", F.col("pos").cast("long").alias("pos"), "token")
+
+
+def _any(column: str, words) -> str:
+    return " OR ".join(f"contains(lower({column}), '{w}')" for w in words)
+
+
+_INTENT_SQL = "CASE " + " ".join(f"WHEN {_any('text', ws)} THEN '{i}'" for i, ws in T.INTENTS) + " ELSE 'search' END"
+
+
+@query(f"SELECT conv_id, turn, {_INTENT_SQL} AS intent FROM conversations WHERE role = 'user'")
+def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return asked.select("conv_id", "turn", T.detect_intent(F.col("text")).alias("intent"))
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(coalesce(text, ''), '{T.KEYWORD}'), lambda w: NOT list_contains({T.STOP_WORDS}, lower(w))) AS w FROM conversations WHERE role = 'user'),
+ l AS (SELECT *, list_transform(w, lambda x: lower(x)) AS low FROM w)
+SELECT conv_id, turn, coalesce(array_to_string(list_filter(w, lambda x, i: list_position(low, lower(x)) = i), ','), '') AS keywords FROM l""")
+def keywords_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return asked.select("conv_id", "turn", F.array_join(T.extract_keywords(F.col("text")), ",").alias("keywords"))
+
+
+_ROLE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{p}') THEN '{r}'" for r, p in T.ROLES) + " ELSE 'general' END"
+
+
+@query(f"SELECT name, {_ROLE_SQL.format('name')} AS role FROM (SELECT event_type AS name FROM events UNION SELECT p_name FROM part)")
+def role_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).union(table(spark, sf_dir, "part").select("p_name")).distinct()
+    return names.select("name", T.detect_role(F.col("name")).alias("role"))
+
+
+@query(values("name VARCHAR, role VARCHAR, class_only BOOLEAN", [
+    ("f.py::get_user_profile_endpoint", "entry_point", False), ("f.py::verify_request_auth", "auth", False), ("f.py::UserService", "service", True), ("f.py::UserService.go", "service", False),
+    ("f.py::find_by_id", "repository", False), ("f.py::execute_query", "database", False), ("f.py::some_random_function", "general", False), ("f.py::AuthService", "auth", True), ("f.py::get_db", "database", False),
+    ("f.py::get_settings", "config", False), ("f.py::find_order", "general", False), ("f.py::review", "entry_point", False), ("print", "general", False), ("f.py::Fault", "general", True),
+]))
+def role_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "get_user_profile_endpoint verify_request_auth UserService UserService.go find_by_id execute_query some_random_function AuthService get_db get_settings find_order review Fault".split()
+    rows = spark.createDataFrame([(f"f.py::{n}",) for n in names] + [("print",)], "name string")
+    return rows.select("name", T.detect_role(T.last_part(F.col("name"))).alias("role"), T.is_class_only(F.col("name")).alias("class_only"))
+
+
+@query("""SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20""")
+def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest 20 of a history; the limit is the feature."""
+    return table(spark, sf_dir, "events").select("event_id", "ts").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(20)
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_INDEX_SQL} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 4) AS idf4 FROM terms")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = Bm25Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return index.terms.select("term", "df", F.round("idf", 4).alias("idf4"))
+
+
+@query(f"WITH {_INDEX_SQL} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 4) AS avgdl4 FROM corpus")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = Bm25Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return index.corpus.select(F.col("n").alias("n_docs"), F.round("avgdl", 4).alias("avgdl4"))
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str, n: int = 5, top_k: int = 10) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(top_k).alias("top_k"))
+
+
+_TOPK_SQL = f"""WITH {_INDEX_SQL},
+ asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(tokens) AS term FROM {tokens_sql('benchmark', 'item_id', 'text')}) WHERE item_id < 5 GROUP BY ALL),
+ scored AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * (dl / avgdl)))) AS s FROM postings JOIN asked USING (term) JOIN terms USING (term), corpus GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(s, 4) AS score4 FROM ranked WHERE rank <= 10"""
+
+
+def _hits(found: DataFrame, id_col: str) -> DataFrame:
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias(id_col), F.col("score").alias("score4"))
+
+
+@query(_TOPK_SQL)
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five benchmark texts against all documents, without an index: postings of other terms are never made."""
+    return _hits(search_documents(table(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir), "doc_id", F.col("text")), "doc_id")
+
+
+@query(_TOPK_SQL)
+def bm25_persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tables/bm25-{uuid.uuid4().hex}"
+    Bm25Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).save(path)
+    return _hits(Bm25Index.load(spark, path).search(benchmark_queries(spark, sf_dir)), "doc_id")
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, concat_ws(' ', p_brand, p_brand, '', '', '', '', CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'None' END, '', p_name) AS text FROM part),
+ docs AS (SELECT p_partkey, tokens, len(tokens) AS dl FROM {tokens_sql('p', 'p_partkey', 'text')}),
+ corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs),
+ postings AS (SELECT p_partkey, dl, term, count(*) AS tf FROM (SELECT p_partkey, dl, unnest(tokens) AS term FROM docs) GROUP BY ALL),
+ terms AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus),
+ asked AS (SELECT unnest([1, 1, 2, 3]) AS query_id, unnest(['brand', 'red', 'none', 'economy']) AS term),
+ scored AS (SELECT query_id, p_partkey, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * (dl / avgdl)))) AS s FROM postings JOIN asked USING (term) JOIN terms USING (term), corpus GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, p_partkey) AS rank FROM scored)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, p_partkey, round(s, 4) AS score4 FROM ranked WHERE rank <= 10""")
+def bm25_field_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol, docstring and text of parts: the symbol counts twice, a null docstring says 'None'."""
+    docstring = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type"))
+    context = F.struct(docstring.alias("docstring"), *(F.lit(None).cast("string").alias(c) for c in ("signature", "containing_class", "module")), F.lit(None).cast("array<string>").alias("relevant_imports"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", context.alias("context"))
+    asked = spark.createDataFrame([(1, "brand red", 10), (2, "none", 10), (3, "economy", 10)], "query_id int, query string, top_k int")
+    index = Bm25Index.build(parts, "p_partkey", weighted_text(F.col("p_brand"), F.col("p_name"), F.col("context")))
+    return _hits(index.search(asked), "p_partkey")
+
+
+@query(values("case_id VARCHAR, n_rows BIGINT", [("blank", 0), ("empty", 0), ("no_match", 0), ("no_tokens", 0), ("top_k_zero", 0)]))
+def bm25_empty_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = [("blank", "   ", 5), ("empty", "", 5), ("no_match", "zzzznotaword", 5), ("no_tokens", "?!…", 5), ("top_k_zero", "the", 0)]
+    queries = spark.createDataFrame(asked, "query_id string, query string, top_k int")
+    found = search_documents(docs, queries, "doc_id", F.col("text")).groupBy("query_id").agg(F.count("*").alias("k"))
+    return queries.join(found, "query_id", "left").select(F.col("query_id").alias("case_id"), F.coalesce("k", F.lit(0)).cast("long").alias("n_rows"))
+
+
+@query("SELECT doc_id, CAST(0 AS BIGINT) AS ord FROM documents")
+def doc_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    both = docs.withColumn("ord", F.lit(1).cast("long")).union(docs.withColumn("ord", F.lit(0).cast("long")))
+    return chunk.dedup_first(both, ["doc_id"], ["ord"])
+
+
+# --- lines and chunks ----------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT doc_id, CAST(2 AS BIGINT) AS start_line, CAST(least(5, len(l)) AS BIGINT) AS end_line, md5(coalesce(array_to_string(l[2:5], chr(10)), '')) AS text_md5
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
+def line_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    return docs.select("doc_id", F.lit(2).cast("long").alias("start_line"), F.least(F.lit(5), F.size("l")).cast("long").alias("end_line"), F.md5(T.line_slice(F.col("l"), F.lit(2), F.lit(5))).alias("text_md5"))
+
+
+_BLOCKS_SQL = """
+SELECT doc_id, CAST(p AS BIGINT) AS part, CAST(total AS BIGINT) AS total_parts, CAST(3 * p - 2 AS BIGINT) AS start_line, CAST(least(3 * p, n) AS BIGINT) AS end_line
+FROM (SELECT doc_id, n, (n + 2) // 3 AS total, unnest(range(1, (n + 2) // 3 + 1)) AS p FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents))"""
+
+
+@query(_BLOCKS_SQL)
+def line_block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"))
+    blocks = docs.select("doc_id", chunk.block_lines(F.lit(1), F.col("n"), 3).alias("b")).select("doc_id", F.size("b").cast("long").alias("total_parts"), F.posexplode("b").alias("at", "b"))
+    return blocks.select("doc_id", (F.col("at") + 1).cast("long").alias("part"), "total_parts", F.col("b.start").cast("long").alias("start_line"), F.col("b.end").cast("long").alias("end_line"))
+
+
+@query(f"SELECT doc_id, count(*) AS n_parts FROM ({_BLOCKS_SQL}) GROUP BY doc_id")
+def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_block_chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_parts"))
+
+
+def generated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file a brand: a chain of functions and a class of methods, one of each a part, in the order of parts."""
+    keys = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list("p_partkey")).alias("k"))
+    after = F.transform("k", lambda x, i: F.coalesce(F.get("k", i + 1).cast("string"), F.lit("end")))
+    pairs = F.arrays_zip(F.col("k").alias("k"), after.alias("n"))
+    functions = F.array_join(F.transform(pairs, lambda p: F.format_string("def fn_%d(x):\n    return fn_%s(x)\n\n", p["k"], p["n"])), "")
+    methods = F.array_join(F.transform(pairs, lambda p: F.format_string("    def m_%d(self):\n        return self.m_%s()\n", p["k"], p["n"])), "")
+    file = F.concat(F.lit("pkg/"), F.lower(F.translate("p_brand", "#", "_")), F.lit(".py"))
+    return keys.select(F.lit("parts").alias("repository_id"), file.alias("file"), F.concat(functions, F.lit("class Box:\n"), methods).alias("source"))
+
+
+_CODE_SQL = """
+ g AS (SELECT 'pkg/' || lower(translate(p_brand, '#', '_')) || '.py' AS file, p_partkey AS k, row_number() OVER w AS i, count(*) OVER (PARTITION BY p_brand) AS n,
+   coalesce(CAST(lead(p_partkey) OVER w AS VARCHAR), 'end') AS nx FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))"""
+
+
+@query(f"""WITH {_CODE_SQL}
+SELECT file || '::fn_' || k AS symbol_id, 'function' AS kind, CAST(3 * i - 2 AS BIGINT) AS start_line, CAST(3 * i - 1 AS BIGINT) AS end_line, NULL AS parent_symbol FROM g
+UNION ALL SELECT DISTINCT file || '::Box', 'class', CAST(3 * n + 1 AS BIGINT), CAST(5 * n + 1 AS BIGINT), NULL FROM g
+UNION ALL SELECT file || '::Box.m_' || k, 'method', CAST(3 * n + 2 * i AS BIGINT), CAST(3 * n + 2 * i + 1 AS BIGINT), file || '::Box' FROM g""")
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = CodeIndex.from_table(generated_code(spark, sf_dir)).symbols
+    return found.select("symbol_id", "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "parent_symbol")
+
+
+@query(f"""WITH {_CODE_SQL}, f AS (SELECT DISTINCT file, n FROM g)
+SELECT 'module' AS kind, count(*) AS n_chunks, CAST(sum(least(5 * n + 1, 100)) AS BIGINT) AS n_lines FROM f
+UNION ALL SELECT 'class', count(*), CAST(sum(2 * n + 1) AS BIGINT) FROM f
+UNION ALL SELECT 'function', count(*), 2 * count(*) FROM g UNION ALL SELECT 'method', count(*), 2 * count(*) FROM g""")
+def chunks_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = CodeIndex.from_table(generated_code(spark, sf_dir)).chunks
+    return made.groupBy("kind").agg(F.count("*").alias("n_chunks"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
+
+
+@query("""
+SELECT 'pkg/' || lower(translate(p_brand, '#', '_')) || '.py::big' AS symbol_id, CAST(p AS BIGINT) AS part, CAST(12 * p - 11 AS BIGINT) AS start_line, CAST(least(12 * p, n) AS BIGINT) AS end_line
+FROM (SELECT p_brand, n, unnest(range(1, (n + 11) // 12 + 1)) AS p FROM (SELECT p_brand, count(*) + 1 AS n FROM part GROUP BY p_brand))""")
+def stmt_split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long function a brand, a statement a part, split at 12 lines."""
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("p_partkey")), lambda k: F.format_string("    y_%d = x\n", k)), "")
+    file = F.concat(F.lit("pkg/"), F.lower(F.translate("p_brand", "#", "_")), F.lit(".py"))
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(body.alias("b")).select(F.lit("parts").alias("repository_id"), file.alias("file"), F.concat(F.lit("def big(x):\n"), "b").alias("source"))
+    made = CodeIndex.from_table(rows, max_lines=12).chunks.where("kind = 'function'")
+    return made.select("symbol_id", F.coalesce("context.part", F.lit(1)).cast("long").alias("part"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+def _fixture(spark: SparkSession, *names: str) -> CodeIndex:
+    return CodeIndex.from_table(fixtures.source_files(spark, *names))
+
+
+@query(values("symbol_id VARCHAR, kind VARCHAR, signature VARCHAR, docstring VARCHAR", [
+    ("alpha.py::plain", "function", "def plain(a):", "Doc."), ("pkg/util.py::helper", "function", "def helper():", None), ("pkg/util.py::other", "function", "def other():", None),
+    ("shapes.py::Shape", "class", "class Shape:", "A shape."), ("shapes.py::Shape.Inner", "class", "class Inner:", None), ("shapes.py::Shape.Inner.deep", "method", "def deep(self):", None),
+    ("shapes.py::Shape.area", "method", "def area(self):", None), ("shapes.py::Shape.load", "async_method", "async def load(self, a:", None), ("shapes.py::Shape.load.local", "function", "def local():", None),
+]))
+def signatures_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixture(spark, "basics").symbols.select("symbol_id", "kind", "signature", "docstring")
+
+
+@query(values("file VARCHAR, module VARCHAR, name VARCHAR, alias VARCHAR, line BIGINT, source VARCHAR", [
+    ("alpha.py", None, "os", None, 2, "import os"), ("alpha.py", None, "numpy", "np", 3, "import numpy as np"), ("alpha.py", "pkg.util", "helper", "h", 4, "from pkg.util import helper as h"),
+    ("alpha.py", "pkg.util", "other", None, 4, "from pkg.util import other"), ("alpha.py", "", "sibling", None, 5, "import sibling"), ("pkg/util.py", None, "json", None, 6, "import json"),
+]))
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _fixture(spark, "basics").imports
+    return found.select("file", "module", "name", "alias", F.col("line").cast("long").alias("line"), T.format_import(F.col("module"), F.col("name"), F.col("alias")).alias("source"))
+
+
+@query(values("file VARCHAR, line BIGINT", [("broken.py", 1)]))
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixture(spark, "basics").diagnostics.select("file", F.col("line").cast("long").alias("line"))
+
+
+@query(values("chunk_id VARCHAR, kind VARCHAR, containing_class VARCHAR, methods VARCHAR, relevant_imports VARCHAR, end_line BIGINT", [
+    ("alpha.py::module", "module", None, "", "", 10), ("alpha.py::plain", "function", None, "", "", 10), ("broken.py::module", "module", None, "", "", 2), ("empty.py::module", "module", None, "", "", 1),
+    ("pkg-a.py::module", "module", None, "", "", 1), ("pkg/util.py::module", "module", None, "", "", 7), ("pkg/util.py::helper", "function", None, "", "", 2), ("pkg/util.py::other", "function", None, "", "import json", 7),
+    ("shapes.py::module", "module", None, "", "", 16), ("shapes.py::Shape", "class", None, "deep,area,load", "", 16), ("shapes.py::Shape.Inner", "class", None, "deep", "", 6),
+    ("shapes.py::Shape.Inner.deep", "method", "Inner", "", "", 6), ("shapes.py::Shape.area", "method", "Shape", "", "", 10), ("shapes.py::Shape.load", "method", "Shape", "", "", 16),
+    ("shapes.py::Shape.load.local", "function", "load", "", "", 15),
+]))
+def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _fixture(spark, "basics").chunks
+    joined = lambda c: F.coalesce(F.array_join(f"context.{c}", ","), F.lit("")).alias(c)
+    return made.select("chunk_id", "kind", "context.containing_class", joined("methods"), joined("relevant_imports"), F.col("end_line").cast("long").alias("end_line"))
+
+
+@query(values("ord BIGINT, file VARCHAR", list(enumerate(["__init__.py", "_private.py", "a/b.py", "a-b.py", "zebra.py"]))))
+def scan_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovery in a tree with directories that are not indexed."""
+    with tempfile.TemporaryDirectory() as root:  # the driver alone lists
+        for f in "__init__.py _private.py a/b.py a-b.py zebra.py venv/v.py .git/g.py x.egg-info/e.py build/b.py a/__pycache__/c.py note.txt m.pyc".split():
+            Path(root, f).parent.mkdir(parents=True, exist_ok=True)
+            Path(root, f).write_text("x = 1\n")
+        found = discover(root)
+    return spark.createDataFrame(list(enumerate(found)), "ord long, file string")
+
+
+# --- lookups, edges, graphs ----------------------------------------------------------------------------------------------
+
+_LOOKUP_SQL = """
+ s AS (SELECT 'c:' || c_custkey AS symbol_id, c_name AS qualified_name, c_mktsegment AS name, c_custkey FROM customer),
+ q AS (SELECT symbol_id AS query FROM s UNION SELECT qualified_name FROM s UNION SELECT name FROM s UNION SELECT lower(name) FROM s UNION SELECT 'nobody'),
+ m AS (SELECT query, 1 AS tier, 1 AS n FROM q JOIN s ON symbol_id = query UNION ALL SELECT query, 2, count(*) FROM q JOIN s ON qualified_name = query GROUP BY query
+  UNION ALL SELECT query, 3, count(*) FROM q JOIN s ON name = query GROUP BY query UNION ALL SELECT query, 4, count(*) FROM q JOIN s ON lower(name) = lower(query) GROUP BY query)"""
+
+
+@query(f"WITH {_LOOKUP_SQL} SELECT query, CAST(min(tier) AS BIGINT) AS tier, CAST(arg_min(n, tier) AS BIGINT) AS n_rows FROM m GROUP BY query")
+def symbol_lookup_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    named = customers.select(F.concat(F.lit("c:"), "c_custkey").alias("symbol_id"), F.col("c_name").alias("qualified_name"), F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("file_ord"), F.col("c_custkey").alias("sym_ord"))
+    asked = named.select(F.explode(F.array("symbol_id", "qualified_name", "name", F.lower("name"), F.lit("nobody"))).alias("query")).distinct()
+    return tools.lookup_tiers(asked, named).groupBy("query").agg(F.min("tier").cast("long").alias("tier"), F.count("*").alias("n_rows"))
+
+
+def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers call orders, orders parts (by return flag: exact, probable, unresolved), parts suppliers; a multigraph."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+
+    def edge(rows: DataFrame, caller, callee, resolution, *order) -> DataFrame:
+        ord_ = F.array(*[(o if not isinstance(o, int) else F.lit(o)).cast("long") for o in order])
+        return rows.select(F.lit("tpch").alias("repository_id"), caller.alias("caller"), callee.alias("callee"), resolution.alias("resolution"), ord_.alias("edge_ord"), F.lit("x.py").alias("file"), F.lit(1).alias("line"))
+
+    node = lambda p, c: F.concat(F.lit(f"{p}:"), F.col(c).cast("string"))
+    c = F.col
+    flag = F.when(c("l_returnflag") == "A", "exact").when(c("l_returnflag") == "N", "probable").otherwise("unresolved")
+    return (
+        edge(orders, node("c", "o_custkey"), node("o", "o_orderkey"), F.lit("exact"), 0, c("o_custkey"), c("o_orderkey"), 0, 0, 0)
+        .unionByName(edge(items, node("o", "l_orderkey"), node("p", "l_partkey"), flag, 1, c("l_orderkey"), c("l_linenumber"), c("l_partkey"), c("l_suppkey"), F.ascii("l_returnflag")))
+        .unionByName(edge(items, node("p", "l_partkey"), node("s", "l_suppkey"), F.lit("exact"), 2, c("l_partkey"), c("l_orderkey"), c("l_linenumber"), c("l_suppkey"), 0))
+    )
+
+
+_EDGES_SQL = """
+ e AS (SELECT 'c:' || o_custkey AS caller, 'o:' || o_orderkey AS callee, 'exact' AS resolution, [0::BIGINT, o_custkey, o_orderkey, 0, 0, 0] AS o FROM orders
+  UNION ALL SELECT 'o:' || l_orderkey, 'p:' || l_partkey, CASE l_returnflag WHEN 'A' THEN 'exact' WHEN 'N' THEN 'probable' ELSE 'unresolved' END, [1::BIGINT, l_orderkey, l_linenumber, l_partkey, l_suppkey, ascii(l_returnflag)] FROM lineitem
+  UNION ALL SELECT 'p:' || l_partkey, 's:' || l_suppkey, 'exact', [2::BIGINT, l_partkey, l_orderkey, l_linenumber, l_suppkey, 0] FROM lineitem)"""
+
+
+def _limited_sql(of: str, other: str, n: int) -> str:
+    return f"WITH {_EDGES_SQL} SELECT {of} AS node, {other} AS neighbour, resolution, CAST(pos AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY {of} ORDER BY o) AS pos FROM e) WHERE pos <= {n}"
+
+
+@query(_limited_sql("caller", "callee", 10))
+def callees_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of edges a node is the feature."""
+    found = graph.neighbours(derived_edges(spark, sf_dir), "caller", 10)
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(_limited_sql("callee", "caller", 20))
+def callers_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.neighbours(derived_edges(spark, sf_dir), "callee", 20)
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_EDGES_SQL} SELECT resolution, count(*) AS n FROM e GROUP BY resolution")
+def edge_resolution_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived_edges(spark, sf_dir).groupBy("resolution").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES_SQL}, k AS (SELECT DISTINCT caller, callee FROM e WHERE resolution <> 'unresolved'),
+ r(src, dst, hops) AS (SELECT DISTINCT 'c:' || o_custkey, 'c:' || o_custkey, 0 FROM orders UNION SELECT src, callee, hops + 1 FROM r JOIN k ON caller = dst)
+SELECT src, dst, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY src, dst""")
+def shortest_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every customer with an order to all that can be reached."""
+    starts = table(spark, sf_dir, "orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("src"))
+    return graph.shortest_paths(derived_edges(spark, sf_dir), starts).select("src", "dst", F.col("hops").cast("long").alias("hops"))
+
+
+@query(f"""WITH {_EDGES_SQL}, k AS (SELECT * FROM e WHERE resolution <> 'unresolved'),
+ best AS (SELECT a.caller AS src, c.callee AS dst, min([a.o, b.o, c.o]) AS path FROM k a JOIN k b ON b.caller = a.callee JOIN k c ON c.caller = b.callee WHERE a.caller LIKE 'c:%' GROUP BY ALL),
+ one AS (SELECT o, any_value(caller) AS caller, any_value(callee) AS callee FROM k GROUP BY o)
+SELECT src, dst, CAST(pos AS BIGINT) AS pos, caller, callee FROM (SELECT src, dst, unnest(range(3)) AS pos, unnest(path) AS o FROM best) JOIN one USING (o)""")
+def shortest_path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the first shortest path from every customer to every supplier it reaches."""
+    edges = derived_edges(spark, sf_dir)
+    starts = table(spark, sf_dir, "orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("src"))
+    paths = graph.shortest_paths(edges, starts).where("dst like 's:%'").select("src", "dst", F.posexplode("path").alias("pos", "edge_ord"))
+    one = edges.where("resolution <> 'unresolved'").groupBy("edge_ord").agg(F.first("caller").alias("caller"), F.first("callee").alias("callee"))
+    return paths.join(one, "edge_ord").select("src", "dst", F.col("pos").cast("long").alias("pos"), "caller", "callee")
+
+
+def _customer_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = derived_edges(spark, sf_dir)
+    ids = edges.select(F.explode(F.array("caller", "callee")).alias("node")).distinct()
+    named = ids.select(F.lit("tpch").alias("repository_id"), "node", F.col("node").alias("name"), F.col("node").alias("qualified_name"), F.lit("x.py").alias("file"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    starts = edges.where("caller like 'c:%'").select("repository_id", F.col("caller").alias("start")).distinct()
+    return graph.greedy_chains(starts, edges, named)
+
+
+_CHAIN_SQL = f"""{_EDGES_SQL},
+ f AS (SELECT caller, arg_min(callee, (resolution = 'unresolved', pos)) AS nxt FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY o) AS pos FROM e) WHERE pos <= 10 GROUP BY caller),
+ h AS (SELECT DISTINCT caller AS start, 0 AS ord, caller AS node FROM e WHERE caller LIKE 'c:%'),
+ h1 AS (SELECT start, 1 AS ord, nxt AS node FROM h JOIN f ON caller = node), h2 AS (SELECT start, 2 AS ord, nxt AS node FROM h1 JOIN f ON caller = node), h3 AS (SELECT start, 3 AS ord, nxt AS node FROM h2 JOIN f ON caller = node),
+ chains AS (SELECT * FROM h UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)"""
+
+
+@query(f"""WITH {_CHAIN_SQL} SELECT start, CAST(ord AS BIGINT) AS "order", node, 'general' AS role FROM chains""")
+def greedy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain from every customer with an order: four nodes by three ranked hops."""
+    return _customer_chains(spark, sf_dir).select("start", F.col("order").cast("long").alias("order"), "node", "role")
+
+
+@query(f"""WITH {_CHAIN_SQL}, n AS (SELECT start, count(*) AS k, CAST(substr(start, 3) AS BIGINT) AS c FROM chains GROUP BY start),
+ m AS (SELECT c_nationkey, start, k, row_number() OVER (PARTITION BY c_nationkey ORDER BY k DESC, c) AS r FROM n JOIN customer ON c_custkey = c)
+SELECT CAST(c_nationkey AS BIGINT) AS nation, start, k AS hops FROM m WHERE r = 1""")
+def longest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the chains of a nation's customers the longest, the first of equal ones."""
+    key = F.substring("start", 3, 20).cast("long")
+    chains = _customer_chains(spark, sf_dir).withColumn("c_custkey", key)
+    nations = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_nationkey").cast("long").alias("nation"))
+    best = graph.longest(chains.join(nations, "c_custkey"), ["nation"], F.col("c_custkey"))
+    return best.groupBy("nation", "start").agg(F.count("*").alias("hops"))
+
+
+@query(f"""
+WITH h AS (SELECT user_id AS question_id, event_id, 'app/' || event_type || '.py::' || event_type || '_' || (event_id % 3) AS symbol_id, user_id % 2 = 1 AS writes FROM events),
+ c AS (SELECT *, CASE WHEN writes AND regexp_matches(lower(symbol_id), 'update|write|create|click') THEN 0 ELSE 1 END AS later FROM h WHERE {_ROLE_SQL.format("split_part(symbol_id, '::', 2)")} = 'entry_point' OR symbol_id LIKE '%click%'),
+ d AS (SELECT question_id, symbol_id, min((later, event_id)) AS o FROM c GROUP BY ALL)
+SELECT question_id, symbol_id, CAST(pos AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY o) AS pos FROM d) WHERE pos <= 2""")
+def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two entry points of the hits of every user; half of the users ask about writing, and clicks count as routes."""
+    name = F.concat(F.col("event_type"), F.lit("_"), (F.col("event_id") % 3).cast("string"))
+    hits = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("question_id"), F.col("event_id").alias("ord"), F.concat(F.lit("app/"), "event_type", F.lit(".py::"), name).alias("symbol_id"),
+        F.when(F.col("event_type") == "click", "app/routes.py").otherwise("app/x.py").alias("file"), F.when(F.col("user_id") % 2 == 1, "update it").otherwise("read it").alias("question"),
+    )
+    found = choose_entry_points(hits, write_words=("update", "write", "create", "click"))
+    return found.select("question_id", "symbol_id", F.col("pos").cast("long").alias("pos"))
+
+
+_KEYS_SQL = r"""
+ f AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS file FROM pages),
+ d AS (SELECT page_id, file, string_split(replace(regexp_replace(replace(file, '\', '/'), '\.py$', ''), '/', '.'), '.') AS p FROM f),
+ k AS (SELECT page_id, file, file AS key, 0 AS partial FROM f UNION ALL SELECT page_id, file, array_to_string(p[i:], '.') AS key, CASE WHEN i > 1 THEN 1 ELSE 0 END FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM d))"""
+
+
+@query(f"WITH {_KEYS_SQL} SELECT key, file FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY partial, CASE WHEN partial = 0 THEN -page_id ELSE page_id END) AS n FROM k) WHERE n = 1")
+def module_path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "pages").select(F.lit("web").alias("repository_id"), F.regexp_replace("url", "^https?://", "").alias("file"), F.col("page_id").alias("file_ord"))
+    return resolve.module_keys(files).select("key", "file")
+
+
+@query(values("caller VARCHAR, callee VARCHAR, resolution VARCHAR, line BIGINT, rule BIGINT", [
+    ("app/models.py::User.save", "app/tools.py::store", "probable", 3, 4),
+    ("app/models.py::User.touch", "app/models.py::User.save", "exact", 6, 1),
+    ("app/tools.py::twice", "app/tools.py::twice", "exact", 6, 1),
+    ("app/main.py::run", "app/models.py::UserStore", "exact", 11, 3),
+    ("app/main.py::run", "app/main.py::local", "exact", 12, 2),
+    ("app/main.py::run", "app/tools.py::store", "exact", 13, 3),
+    ("app/main.py::run", "app/more.py::dup", "probable", 14, 4),
+    ("app/main.py::run", "app/tools.py::dup", "probable", 14, 4),
+    ("app/main.py::run", "app/models.py::UserStore.find", "exact", 15, 2),
+    ("app/main.py::run", "app/models.py::User.save", "exact", 16, 4),
+    ("app/main.py::run", "handler", "unresolved", 17, 9),
+    ("app/main.py::run", "app/main.py::Job.go", "probable", 18, 5),
+    ("app/main.py::run", "(lambda: 1)()", "unresolved", 19, 9),
+    ("app/main.py::run", "lambda: 1", "unresolved", 19, 9),
+    ("app/main.py::run", "app/models.py::Order.ship", "probable", 20, 5),
+    ("app/main.py::run", "app/models.py::UserStore.find", "probable", 21, 6),
+    ("app/main.py::module", "app/main.py::local", "exact", 25, 2),
+    ("app/main.py::Job.go", "app/main.py::Job.stop", "exact", 28, 3),
+    ("app/main.py::Job.stop", "app/models.py::UserStore", "exact", 32, 3),
+    ("app/main.py::Job.stop", "app/models.py::UserStore.find", "probable", 33, 6),
+    ("lib/other.py::caller", "app/models.py::UserStore.find", "probable", 2, 7),
+    ("lib/other.py::caller", "app/models.py::Order.find", "probable", 2, 7),
+]))
+def resolve_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixture for every rule: the rule's number within its kind of call decides first."""
+    found = _fixture(spark, "rules").edges
+    return found.select("caller", "callee", "resolution", F.col("line").cast("long").alias("line"), F.col("rule").cast("long").alias("rule"))
+
+
+@query(f"""WITH {_CODE_SQL}
+SELECT file || '::fn_' || k AS caller, CASE WHEN nx = 'end' THEN 'fn_end' ELSE file || '::fn_' || nx END AS callee, CASE WHEN nx = 'end' THEN 'unresolved' ELSE 'exact' END AS resolution FROM g
+UNION ALL SELECT file || '::Box.m_' || k, CASE WHEN nx = 'end' THEN 'self.m_end' ELSE file || '::Box.m_' || nx END, CASE WHEN nx = 'end' THEN 'unresolved' ELSE 'exact' END FROM g""")
+def resolve_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CodeIndex.from_table(generated_code(spark, sf_dir)).edges.select("caller", "callee", "resolution")
+
+
+# --- evidence, answers, simulation ---------------------------------------------------------------------------------------
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    kind = F.when(F.col("toxic") == 1, "unresolved").when(F.col("quality") == 0, "static_inference").otherwise("direct")
+    d = F.col("doc_id")
+    items = docs.join(labels, "doc_id", "left").select(
+        F.concat(F.lit("e"), d).alias("evidence_id"), kind.alias("kind"), F.col("lang").alias("file"), (d % 7).alias("start_line"), (d % 5 + 1).alias("end_line"),
+        F.when(d % 3 > 0, F.concat(F.lit("s"), d % 50)).alias("symbol_id"), F.when(d % 11 == 0, "  ").otherwise(F.col("text")).alias("source_text"), "source",
+    )
+    files = docs.where("lang <> 'es'").select(F.col("lang").alias("file")).distinct()
+    return items, files, table(spark, sf_dir, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("symbol_id"))
+
+
+_ISSUES_SQL = """
+ i AS (SELECT 'e' || doc_id AS evidence_id, CASE WHEN toxic = 1 THEN 'unresolved' WHEN quality = 0 THEN 'static_inference' ELSE 'direct' END AS kind, lang AS file, doc_id % 7 AS a, doc_id % 5 + 1 AS b,
+   CASE WHEN doc_id % 3 > 0 THEN 's' || (doc_id % 50) END AS symbol_id, CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE text END AS source_text, source FROM documents LEFT JOIN labels USING (doc_id)),
+ issues AS (SELECT evidence_id, 'ERROR' AS severity, 'V1' AS rule FROM i WHERE file = 'es' UNION ALL SELECT evidence_id, 'ERROR', 'V2' FROM i WHERE a < 1 UNION ALL SELECT evidence_id, 'ERROR', 'V3' FROM i WHERE a >= 1 AND a > b
+  UNION ALL SELECT evidence_id, 'WARNING', 'V4' FROM i WHERE symbol_id NOT IN (SELECT 's' || n_nationkey FROM nation)
+  UNION ALL SELECT evidence_id, 'WARNING', 'V5' FROM i WHERE kind = 'direct' AND NOT regexp_matches(source_text, '\\S') UNION ALL SELECT evidence_id, 'WARNING', 'V6' FROM i WHERE kind = 'unresolved')"""
+
+
+@query(f"WITH {_ISSUES_SQL} SELECT evidence_id, severity, rule FROM issues")
+def evidence_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.issues(*_evidence(spark, sf_dir)).select("evidence_id", "severity", "rule")
+
+
+@query(f"""WITH {_ISSUES_SQL}, g AS (SELECT DISTINCT source AS grp FROM documents UNION SELECT 'none'),
+ w AS (SELECT source AS grp, max(CASE WHEN severity = 'ERROR' AND kind <> 'unresolved' THEN 2 WHEN severity IS NOT NULL THEN 1 ELSE 0 END) AS worst FROM i LEFT JOIN issues USING (evidence_id) GROUP BY source)
+SELECT grp, CASE worst WHEN 2 THEN 'ungrounded' WHEN 1 THEN 'partially_grounded' ELSE 'grounded' END AS label FROM g LEFT JOIN w USING (grp)""")
+def evidence_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, files, known = _evidence(spark, sf_dir)
+    items = items.withColumnRenamed("source", "grp")
+    groups = items.select("grp").distinct().union(spark.createDataFrame([("none",)], "grp string"))
+    return validate.grounding(groups, items, validate.issues(items, files, known), ["grp"])
+
+
+_SHOP_ANSWER = """**Repository:** `shop`
+**Question:** Trace the create order request to the database write.
+
+The request flows through **4 symbols** across **4 file(s)**.
+
+**Call chain:**
+`create_order_endpoint` — **entry_point** ([`app/routes.py:5`])
+  →  `place_order` — **general** ([`app/service.py:6`])
+  →  `save_to_repo` — **repository** ([`app/repository.py:5`])
+  →  `execute_write` — **database** ([`app/database.py:1`])
+
+**Database write identified at:**
+  - `execute_write` in `app/database.py:1-3`
+
+**Evidence:** 4 direct · 0 inferred · 0 unresolved"""
+SHOP_QUESTION = "Trace the create order request to the database write."
+
+
+@query(values("repository_id VARCHAR, grounding VARCHAR, answer VARCHAR", [("shop", "grounded", _SHOP_ANSWER)]))
+def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = investigate(_fixture(spark, "shop"), "shop", SHOP_QUESTION)
+    return spark.createDataFrame([(r.repository_id, r.grounding, r.answer)], "repository_id string, grounding string, answer string")
+
+
+@query(values("step BIGINT, tool VARCHAR, detail VARCHAR", [
+    (1, "keyword_search", "Trace create order request database write"), (2, "symbol_lookup", "app/routes.py::create_order_endpoint"), (3, "find_callees", "app/routes.py::create_order_endpoint"),
+    (4, "symbol_lookup", "app/service.py::OrderService.place_order"), (5, "find_callees", "app/service.py::OrderService.place_order"), (6, "symbol_lookup", "app/repository.py::OrderRepository.save_to_repo"),
+    (7, "find_callees", "app/repository.py::OrderRepository.save_to_repo"), (8, "symbol_lookup", "app/database.py::execute_write"),
+    (9, "symbol_lookup", "app/routes.py::module"), (10, "get_source", "app/routes.py"), (11, "get_source", "app/service.py"), (12, "get_source", "app/repository.py"), (13, "get_source", "app/database.py"),
+]))
+def investigate_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of one investigation, with what each asked for."""
+    r = investigate(_fixture(spark, "shop"), "shop", SHOP_QUESTION)
+    keys = ("query", "symbol_query", "symbol_id", "file")
+    rows = [(t["step_number"], t["tool_name"], next(t["input_params"][k] for k in keys if k in t["input_params"])) for t in r.trace]
+    return spark.createDataFrame(rows, "step long, tool string, detail string")
+
+
+@query(values("repository_id VARCHAR, total BIGINT, passed BIGINT, failed BIGINT", [("shop", 3, 3, 0)]))
+def simulate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.summary(simulate.run_simulation(_fixture(spark, "shop"), "shop"))
+
+
+_CASES = [
+    ("search_ok", "keyword_search", {"query": "order"}, True), ("search_blank", "keyword_search", {"query": ""}, False), ("search_k", "keyword_search", {"query": "x", "top_k": 51}, False),
+    ("lookup_ok", "symbol_lookup", {"symbol_query": "orderservice"}, True), ("lookup_none", "symbol_lookup", {"symbol_query": "nobody"}, False), ("callers_ok", "find_callers", {"symbol_id": "nobody"}, True),
+    ("callees_limit", "find_callees", {"symbol_id": "x", "limit": 0}, False), ("source_ok", "get_source", {"file": "app/checks.py", "start_line": 1, "end_line": 99}, True),
+    ("source_zero", "get_source", {"file": "app/checks.py", "start_line": 0, "end_line": 5}, False), ("source_turned", "get_source", {"file": "app/checks.py", "start_line": 5, "end_line": 2}, False),
+    ("source_far", "get_source", {"file": "app/checks.py", "start_line": 9999, "end_line": 10000}, False), ("source_up", "get_source", {"file": "../x", "start_line": 1, "end_line": 2}, False),
+    ("source_abs", "get_source", {"file": "/abs", "start_line": 1, "end_line": 2}, False), ("source_none", "get_source", {"file": "no.py", "start_line": 1, "end_line": 2}, False),
+    ("chunk_ok", "get_chunk", {"chunk_id": "app/checks.py::module"}, True), ("chunk_none", "get_chunk", {"chunk_id": "x"}, False), ("unknown", "drop_table", {}, False), ("extra", "get_chunk", {"chunk_id": "x", "y": 1}, False),
+]
+
+
+@query(values("case_id VARCHAR, ok BOOLEAN", [(c, ok) for c, _, _, ok in _CASES]))
+def tool_arg_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = tools.Tools(_fixture(spark, "shop")).execute
+    return spark.createDataFrame([(c, run(t, a).success) for c, t, a, _ in _CASES], "case_id string, ok boolean")
+
+
+@query(values("op VARCHAR, ok BOOLEAN", [("cached", True), ("evicted", True), ("listed", True), ("missing", True), ("registered", True), ("unknown", True), ("unregistered", True)]))
+def catalog_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def raises(kind, f, *args) -> bool:
+        try:
+            f(*args)
+        except kind:
+            return True
+        return False
+
+    catalog = Catalog(spark)
+    with tempfile.TemporaryDirectory() as root:  # registrations are the driver's
+        ok = {"registered": catalog.register(" one ", root).id == "one"}
+        catalog.register("two", root, "Two")
+        catalog.register("one", root, "One again")
+        ok["listed"] = [r["name"] for r in catalog.repositories().collect()] == ["One again", "Two"]
+        first = catalog.index("one")
+        ok["cached"] = catalog.index("one") is first
+        catalog.invalidate("one")
+        ok["evicted"] = catalog.index("one") is not first
+        ok["unknown"] = raises(ValueError, catalog.resolve, "nine") and raises(ValueError, catalog.register, " ", root)
+        ok["missing"] = raises(FileNotFoundError, catalog.register, "x", f"{root}/none")
+        ok["unregistered"] = catalog.unregister("two") and not catalog.unregister("two")
+    return spark.createDataFrame(sorted(ok.items()), "op string, ok boolean")
+
+
