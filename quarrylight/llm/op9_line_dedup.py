@@ -1,7 +1,7 @@
 """Line dedup as an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Words are ordered by rarity: hashed into BUCKETS counters over all lines, they rank by the
-eighth of an octave of their counter, then by hash. Two different sets reach the similarity only if they share one of the
+quarter of an octave of their counter, then by hash. Two different sets reach the similarity only if they share one of the
 first |x| - ceil(t |x|) + 1 words of each (prefix filter); lengths, and what can still follow after the places where they
 meet (positional filter), leave out more, and so does a sketch of 64 parities, which differ in at most as
 many bits as the sets in words. Candidates are verified on whole sets. A line goes if a line before it (by
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 NUM, DEN = 4, 5
-BUCKETS, BITMAP = 1 << 16, 1 << 20
+BUCKETS, BITMAP = 1 << 19, 1 << 22
 #: xxhash64 of the empty string.
 _EMPTY = -7444071767201028348
 
@@ -47,21 +47,26 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("ln", "line"))
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """Eighths of an octave of each counter over all words; words are hashed to counters."""
+def rarity(docs: DataFrame, text_col: str = "text") -> str:
+    """Quarters of an octave of each counter over all words, with commas between; words are hashed to counters."""
     at = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line"))
     counts = lines.select(F.explode(F.split(_blank(F.col("line")), " ")).alias("w")).groupBy(at.alias("at")).count()
-    ranks = [0] * BUCKETS
-    for r in counts.select("at", F.floor(F.log2("count") * 8).cast("int").alias("r")).collect():  # BUCKETS rows at most
-        ranks[r["at"]] = min(r["r"], 255)
-    return ranks
+    block = 1024
+    ranks = counts.select(F.floor(F.col("at") / block).cast("int").alias("b"), F.struct((F.col("at") % block).alias("i"), F.least(F.floor(F.log2("count") * 4), F.lit(126)).cast("int").alias("r")).alias("x"))
+    blocks = {r["b"]: r["t"] for r in ranks.groupBy("b").agg(_dense(F.map_from_entries(F.collect_list("x")), block).alias("t")).collect()}  # BUCKETS / 1024 rows at most
+    none = ",".join(["0"] * block)
+    return ",".join(blocks.get(b, none) for b in range(BUCKETS // block))
 
 
-def _ranked(words: Column, ranks: list[int]) -> Column:
+def _dense(ranks: Column, size: int) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(ranks, i), F.lit(0)).cast("string")), ",")
+
+
+def _ranked(words: Column, ranks: str) -> Column:
     """Words by rarity: the rank in the highest bits, the hash below it."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
-    return F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 54).bitwiseOR(F.shiftrightunsigned(h, 10))))
+    table = F.split(F.lit(ranks), ",").cast("array<tinyint>")
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _prefix_length(n: Column, num: int, den: int) -> Column:
@@ -90,29 +95,41 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     n = F.size("k")
     prefix = F.when(n * (den - num) >= num, F.transform(F.slice("k", F.lit(1), _prefix_length(n, num, den)), lambda x: F.hash(x))).otherwise(F.array().cast("array<int>"))
     lines = materialize(ranked.select("doc_id", "ln", n.alias("n"), F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), "k").alias("s2"), F.expr("aggregate(k, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"), prefix.alias("prefix")), "op9-lines").where("n > 0")
-    first = lines.groupBy("s", "s2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.count("*").alias("times"), F.max("n").alias("n"))
-    firsts = materialize(first.select("s", "s2", "at.doc_id", "at.ln", "times", "n"), "op9-firsts")
-    tokens = lines.where(F.size("prefix") > 0).groupBy("s", "s2").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("prefix").alias("prefix"))
-    posted = tokens.select("s", "sketch", "n", F.posexplode("prefix").alias("pos", "t")).select("t", "s", "sketch", F.expr("shiftleft(cast(n as bigint), 32) | pos").alias("np"))
-    x, y = (posted.select("t", *(F.col(c).alias(f"{c}_{i}") for c in ("s", "sketch", "np"))) for i in (1, 2))
-    n1, n2 = F.shiftright("np_1", 32), F.shiftright("np_2", 32)
-    pos1, pos2 = F.col("np_1").bitwiseAND(0xFFFFFFFF), F.col("np_2").bitwiseAND(0xFFFFFFFF)
-    apart = F.bit_count(F.col("sketch_1").bitwiseXOR(F.col("sketch_2"))) * (num + den) <= (n1 + n2) * (den - num)
-    meets = (F.col("s_1") < F.col("s_2")) & apart & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (F.least(n1 - pos1, n2 - pos2) * (num + den) >= (n1 + n2) * num)
-    pairs = x.join(y.hint("shuffle_hash"), "t").where(meets).select(F.col("s_1").alias("a"), F.col("s_2").alias("b")).distinct()
-    pairs = materialize(pairs, "op9-pairs")
-    ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    places = materialize(firsts.join(ends, "s", "left_semi").select("s", "doc_id", "ln"), "op9-places")
+    firsts = lines.groupBy("s", "s2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.count("*").alias("times"))
+    tokens = lines.where(F.size("prefix") > 0).groupBy("s", "s2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("prefix").alias("prefix"))
+    posted = tokens.select("at.doc_id", F.expr("shiftleft(cast(at.ln as bigint), 32) | n").alias("lnn"), "sketch", F.posexplode("prefix").alias("pos", "t"))
+    x, y = (posted.select("t", *(F.col(c).alias(f"{c}_{i}") for c in ("doc_id", "lnn", "sketch", "pos"))) for i in (1, 2))
+    n1, n2 = F.col("lnn_1").bitwiseAND(0xFFFFFFFF), F.col("lnn_2").bitwiseAND(0xFFFFFFFF)
+    later = (F.col("doc_id_1") > F.col("doc_id_2")) | ((F.col("doc_id_1") == F.col("doc_id_2")) & (F.col("lnn_1") > F.col("lnn_2")))
+    apart = F.bit_count(F.col("sketch_1").bitwiseXOR(F.col("sketch_2")))
+    meets = later & (apart * (num + den) <= (n1 + n2) * (den - num)) & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (F.least(n1 - F.col("pos_1"), n2 - F.col("pos_2")) * (num + den) >= (n1 + n2) * num)
+    met = x.join(y.hint("shuffle_hash"), "t").where(meets)
+    place = lambda i: (F.col(f"doc_id_{i}").alias(f"d{i}"), F.shiftright(f"lnn_{i}", 32).cast("int").alias(f"l{i}"))
+    # a line goes if any line before it is similar, so the nearest by sketch is tried first, and all others only for lines that stay
+    nearest = met.groupBy("doc_id_1", "lnn_1").agg(F.min(F.struct(apart.alias("far"), F.col("doc_id_2"), F.col("lnn_2"))).alias("m"), F.max(F.struct("doc_id_2", "lnn_2")).alias("most"), F.min(F.struct("doc_id_2", "lnn_2")).alias("least"))
+    nearest = nearest.select("doc_id_1", "lnn_1", "m.doc_id_2", "m.lnn_2", (F.col("most") != F.col("least")).alias("more"))
+    nearest = materialize(nearest.select(*place(1), *place(2), "more"), "op9-nearest")
+    dead = materialize(_similar(docs, nearest, ranks, num, den), "op9-dead")
+    open_ = nearest.where("more").select("d1", "l1").join(dead, ["d1", "l1"], "left_anti")
+    if not (open_ := materialize(open_, "op9-open")).isEmpty():
+        rest = met.select(*place(1), *place(2)).join(open_, ["d1", "l1"], "left_semi").distinct()
+        rest = materialize(rest.join(nearest.drop("more"), ["d1", "l1", "d2", "l2"], "left_anti"), "op9-rest")
+        dead = dead.unionByName(_similar(docs, rest, ranks, num, den)).distinct()
+    marked = firsts.join(dead, (F.col("at.doc_id") == F.col("d1")) & (F.col("at.ln") == F.col("l1")), "left").where("times > 1 or d1 is not null").select("s", "s2", "at", F.col("d1").isNotNull().alias("all"))
+    return lines.select("doc_id", "ln", "s", "s2").join(marked, ["s", "s2"]).where(F.col("all") | (F.struct("doc_id", "ln") > F.col("at"))).select("doc_id", "ln")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, ranks: str, num: int, den: int) -> DataFrame:
+    """(d1, l1) of the pairs (d1, l1, d2, l2) of lines whose sets of words are similar enough."""
+    ends = pairs.select(F.col("d1").alias("doc_id"), F.col("l1").alias("ln")).unionByName(pairs.select(F.col("d2").alias("doc_id"), F.col("l2").alias("ln"))).distinct()
+    ends = materialize(ends, "op9-places")
     place = F.xxhash64("doc_id", "ln")
-    some = lines_of(docs).where(_bit_test(_bitmap(places.select(place.alias("d")), "d"), place))
-    sets = some.join(places, ["doc_id", "ln"]).select("s", _ranked(_words(F.col("line")), ranks).alias("k"), "doc_id", "ln")
-    sets = materialize(sets.where(F.xxhash64("k") == F.col("s")), "op9-sets")
-    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("k").alias("ka"), F.struct("doc_id", "ln").alias("pa")), "a").join(sets.select(F.col("s").alias("b"), F.col("k").alias("kb"), F.struct("doc_id", "ln").alias("pb")), "b")
-    same = F.size(F.array_intersect("ka", "kb"))
-    links = both.where(same * den >= (F.size("ka") + F.size("kb") - same) * num).select("a", "b", "pa", "pb")
-    early = links.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("s"), F.least("pa", "pb").alias("p")).groupBy("s").agg(F.min("p").alias("p"))
-    marked = firsts.join(early, "s", "left").where("times > 1 or p is not null").select("s", "s2", F.least(F.struct("doc_id", "ln"), F.coalesce("p", F.struct("doc_id", "ln"))).alias("p"))
-    return lines.select("doc_id", "ln", "s", "s2").join(marked, ["s", "s2"]).where(F.struct("doc_id", "ln") > F.col("p")).select("doc_id", "ln")
+    some = lines_of(docs).where(_bit_test(_bitmap(ends.select(place.alias("d")), "d"), place))
+    sets = materialize(some.join(ends, ["doc_id", "ln"]).select("doc_id", "ln", _words(F.col("line")).alias("k")), "op9-sets")
+    one, two = (sets.select(F.col("doc_id").alias(f"d{i}"), F.col("ln").alias(f"l{i}"), F.col("k").alias(f"k{i}")) for i in (1, 2))
+    same = F.size(F.array_intersect("k1", "k2"))
+    both = pairs.select("d1", "l1", "d2", "l2").join(two, ["d2", "l2"]).join(one, ["d1", "l1"])
+    return both.where(same * den >= (F.size("k1") + F.size("k2") - same) * num).select("d1", "l1").distinct()
 
 
 def dedup_documents(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
