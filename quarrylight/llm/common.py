@@ -207,6 +207,30 @@ def known_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.fill_null(-1)), np.asarray(col.is_valid())
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal integer keys of at least two rows, from rows that come sorted by them; one group is held at a time."""
+    rest = None
+    for batch in _then_none(batches):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest is None or not rest.num_rows:
+            continue
+        new = np.zeros(rest.num_rows - 1, bool)
+        for k in keys:
+            new |= np.diff(rest.column(k).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()] + ([rest.num_rows] if batch is None else [])
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo > 1:
+                yield rest.slice(lo, hi - lo)
+        rest = rest.slice(cuts[-1])
+
+
+def _then_none(items: Iterator) -> Iterator:
+    yield from items
+    yield None
+
+
 # --- Bloom filters of bounded size -------------------------------------------------------------------------------------
 
 BLOOM_BITS_LEAST, BLOOM_BITS_MOST, PIECE_BITS = 1 << 23, 1 << 28, 1 << 19

@@ -20,12 +20,12 @@ from collections.abc import Iterator
 from math import acos, ceil, log, log2, pi
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches
+from .common import materialize, read_table, small_batches, sorted_groups
 from .components import connected_components
 
 THRESHOLD, MISS, BUCKET, TILE, SEED = 0.98, 1e-4, 8, 256, 4242
@@ -68,46 +68,55 @@ def signed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
     return classes.mapInArrow(work, "rep long, label string, v array<double>, m long, sigs array<long>")
 
 
-def _tile(threshold: float):
-    def work(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        table, i, j = key[2], key[4], key[5]
-        a, b = got[got.block == i], got[got.block == j]
-        empty = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-        if not len(a) or not len(b):
-            return empty
-        va, vb, sa, sb = (np.stack(x.to_numpy()) for x in (a.v, b.v, a.sigs, b.sigs))
-        va, vb = va / np.abs(va).max(1, keepdims=True), vb / np.abs(vb).max(1, keepdims=True)
-        cos = (va @ vb.T) / np.sqrt((va * va).sum(1))[:, None] / np.sqrt((vb * vb).sum(1))
-        link = cos >= threshold
-        for t in range(table):  # met before
-            link &= sa[:, t][:, None] != sb[:, t]
-        ia, ib, ma, mb = a.rep.to_numpy(), b.rep.to_numpy(), a.m.to_numpy(), b.m.to_numpy()
-        if i == j:
-            np.fill_diagonal(link, False)
-            if not link.any():
-                return empty
-            n, root = link @ mb, ia.copy()
-            ids, near = ia, link
-        else:
-            if not link.any():
-                return empty
-            n = np.concatenate((link @ mb, link.T @ ma))
-            ids = np.concatenate((ia, ib))
-            root, near = ids.copy(), None
-        most = np.iinfo(np.int64).max
-        while True:
-            if near is not None:
-                new = np.minimum(root, np.where(near, root[None, :], most).min(1))
-            else:
-                ra, rb = root[: len(ia)], root[len(ia) :]
-                new = np.minimum(root, np.concatenate((np.where(link, rb[None, :], most).min(1), np.where(link, ra[:, None], most).min(0))))
-            if (new == root).all():
-                break
-            root = new
-        keep = n > 0
-        return pd.DataFrame({"rep": ids[keep], "links": n[keep], "root": root[keep]})
-
-    return work
+def _tile(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(rep, links, root) of the classes of one tile that link in it, their first common table being this one."""
+    col = {c: t.column(c).combine_chunks() for c in t.column_names}
+    table, i, j = (col[c][0].as_py() for c in ("table", "i", "j"))
+    block, rep, m = (col[c].to_numpy() for c in ("block", "rep", "m"))
+    v, sigs = (col[c].flatten().to_numpy().reshape(t.num_rows, -1) for c in ("v", "sigs"))
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(a) or not len(b):
+        return None
+    v = v / np.abs(v).max(1, keepdims=True)
+    norm = np.sqrt((v * v).sum(1))
+    link = (v[a] @ v[b].T) / norm[a][:, None] / norm[b] >= threshold
+    if not link.any():
+        return None
+    for before in range(table):
+        link &= sigs[a, before][:, None] != sigs[b, before]
+    if pa.compute.count_distinct(col["label"]).as_py() > 1:
+        names = np.array(col["label"].to_pylist())
+        link &= names[a][:, None] == names[b]
+    if i == j:
+        np.fill_diagonal(link, False)
+    n, root = np.zeros(t.num_rows, np.int64), rep.copy()
+    np.add.at(n, a, link @ m[b])
+    if i != j:
+        np.add.at(n, b, link.T @ m[a])
+    most = np.iinfo(np.int64).max
+    while True:  # the least id goes along links until nothing changes
+        new = root.copy()
+        new[a] = np.minimum(new[a], np.where(link, root[b][None, :], most).min(1))
+        new[b] = np.minimum(new[b], np.where(link, root[a][:, None], most).min(0))
+        if (new == root).all():
+            break
+        root = new
+    keep = n > 0
+    return rep[keep], n[keep], root[keep]
+
+
+def tiles(spots: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links, root) over all tiles. Tiles are dealt by a hash and streamed in order, one at a time."""
+    keys = ["g", "dim", "table", "sig", "i", "j"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, keys):
+            got = _tile(t, threshold)
+            if got is not None and len(got[0]):
+                yield pa.record_batch({"rep": got[0], "links": got[1], "root": got[2]})
+
+    dealt = spots.withColumn("g", F.xxhash64("label", "dim", "table", "sig", "i", "j"))
+    return dealt.repartition("g").sortWithinPartitions(*keys).mapInArrow(work, "rep long, links long, root long")
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -127,8 +136,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spots = spots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     spots = spots.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "k", "blocks")
     full = spots.join(reps.select("rep", "v", "m", "sigs"), "rep")
-    met = full.select("label", "dim", "table", "sig", "i", "j", "block", "rep", "v", "m", "sigs").groupBy("label", "dim", "table", "sig", "i", "j").applyInPandas(_tile(threshold), "rep long, links long, root long")
-    met = materialize(met, "op4-met")
+    met = materialize(tiles(full.select("label", "dim", "table", "sig", "i", "j", "block", "rep", "v", "m", "sigs"), threshold), "op4-met")
     links = met.groupBy("rep").agg(F.sum("links").alias("far"))
     comps = connected_components(met.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "op4")
     of = classes.select("label", "h", "g", "rep", "m").join(links, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, documents, ids_of, in_bloom, keyed_texts, known_ids, list_array, materialize, mix, runs, slices, small_batches, spaced
+from .common import Words, bloom, documents, ids_of, in_bloom, keyed_texts, known_ids, list_array, materialize, mix, runs, slices, small_batches, sorted_groups, spaced
 from .components import connected_components
 
 _TEXT = spaced(lower=True)
@@ -218,52 +218,30 @@ class Join:
         tiles = tiles.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
         tiles = tiles.join(sharers.select("doc_id", F.size("grams").alias("n"), "sketch"), "doc_id")
 
-        def near(sig_rows: tuple) -> list[tuple]:
-            i, j, block, doc, c, n, sketch = sig_rows
-            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-            found: dict[tuple, list] = {}
-            for r in left:
+        def near(t: pa.Table) -> list[tuple]:
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            block, doc, c, n = (t.column(x).to_numpy() for x in ("block", "doc_id", "c", "n"))
+            sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+            right, found = np.flatnonzero(block == j), {}
+            for r in np.flatnonzero(block == i):
                 at = right[(c[right] != c[r]) & (n[right] * den >= num * n[r]) & (n[r] * den >= num * n[right])]
                 if len(at):
                     far = np.bitwise_count(sketch[at] ^ sketch[r]).sum(1)
-                    for t, f in zip(at.tolist(), far.tolist(), strict=True):
-                        if f * (den + num) <= (den - num) * (n[r] + n[t]):
-                            found.setdefault((min(c[r], c[t]), max(c[r], c[t])), []).append((f, min(doc[r], doc[t]), max(doc[r], doc[t])))
-            out = []
-            for (x, y), pairs in found.items():
-                pairs = sorted(set(pairs))
-                out += [(x, y, a, b, len(pairs) > nearest) for _, a, b in pairs[:nearest]]
-            return out
+                    for q, f in zip(at.tolist(), far.tolist(), strict=True):
+                        if f * (den + num) <= (den - num) * (n[r] + n[q]):
+                            found.setdefault((min(c[r], c[q]), max(c[r], c[q])), set()).add((f, min(doc[r], doc[q]), max(doc[r], doc[q])))
+            return [(x, y, a, b, len(pairs) > nearest) for (x, y), pairs in found.items() for _, a, b in sorted(pairs)[:nearest]]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest = None
-            for batch in _then_none(batches):
-                if batch is not None:
-                    cols = [ids_of(batch, c) for c in ("sig", "i", "j", "block", "doc_id", "c", "n")]
-                    cols.append(batch.column(batch.schema.get_field_index("sketch")).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS))
-                    rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-                if rest is None or not len(rest[0]):
-                    continue
-                new = np.flatnonzero((np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0) | (np.diff(rest[2]) != 0)) + 1
-                cuts = [0, *new.tolist()] + ([len(rest[0])] if batch is None else [])
-                out = []
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    if hi - lo > 1:
-                        out += near(tuple(x[lo:hi] for x in rest[1:]))
-                rest = [x[cuts[-1] :] for x in rest]
-                if out:
-                    c, d, a, b, more = zip(*set(out), strict=True)
+            for t in sorted_groups(batches, ["sig", "i", "j"]):
+                if out := near(t):
+                    c, d, a, b, more = zip(*out, strict=True)
                     yield pa.record_batch({"c": np.array(c, np.int64), "d": np.array(d, np.int64), "a": np.array(a, np.int64), "b": np.array(b, np.int64), "more": np.array(more)})
 
         dealt = tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").select("sig", "i", "j", "block", "doc_id", "c", F.col("n").cast("long").alias("n"), "sketch")
         return dealt.mapInArrow(work, "c long, d long, a long, b long, more boolean")
 
 
-def _then_none(items: Iterator) -> Iterator:
-    yield from items
-    yield None
-
-
 def ngram_join(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id. Documents link at a Jaccard similarity of num / den or more."""
     spark = docs.sparkSession
