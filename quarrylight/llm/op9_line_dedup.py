@@ -53,14 +53,11 @@ def rarity(docs: DataFrame, text_col: str = "text") -> str:
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line"))
     counts = lines.select(F.explode(F.split(_blank(F.col("line")), " ")).alias("w")).groupBy(at.alias("at")).count()
     block = 1024
-    ranks = counts.select(F.floor(F.col("at") / block).cast("int").alias("b"), F.struct((F.col("at") % block).alias("i"), F.least(F.floor(F.log2("count") * 4), F.lit(126)).cast("int").alias("r")).alias("x"))
-    blocks = {r["b"]: r["t"] for r in ranks.groupBy("b").agg(_dense(F.map_from_entries(F.collect_list("x")), block).alias("t")).collect()}  # BUCKETS / 1024 rows at most
-    none = ",".join(["0"] * block)
-    return ",".join(blocks.get(b, none) for b in range(BUCKETS // block))
-
-
-def _dense(ranks: Column, size: int) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(ranks, i), F.lit(0)).cast("string")), ",")
+    rank = F.least(F.floor(F.log2("count") * 4), F.lit(126)).cast("int")
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("at")).join(counts, "at", "left")
+    parts = every.select(F.floor(F.col("at") / block).alias("b"), F.struct("at", F.coalesce(rank, F.lit(0)).alias("r")).alias("x")).groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    joined = parts.select("b", F.array_join(F.transform("x", lambda x: x["r"].cast("string")), ",").alias("t"))
+    return ",".join(r["t"] for r in joined.orderBy("b").collect())  # BUCKETS / 1024 rows
 
 
 def _ranked(words: Column, ranks: str) -> Column:
