@@ -23,7 +23,7 @@ and have no component; an empty table gives an empty result; columns other than
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from .components import connected_components
 
 _TEXT = spaced(lower=True)
 COPIES_MOST = 2_000_000
-SKETCH_WORDS, TILE, NEAREST = 16, 192, 16
+TILE, NEAREST = 192, 16
 _A, _B, _SEG = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
 
 
@@ -71,17 +71,27 @@ class Bands:
         """The most shingles by which a set of band k and one as large or larger differ if they are similar enough."""
         return int(self.high[k]) * (self.den - self.num) // self.num
 
-    def allocate(self, k: int, n_sets: int) -> tuple[int, int]:
-        """(segments, those of them that may differ by one shingle) of least cost."""
+    def allocate(self, k: int, n_sets: int) -> tuple[int, int, int]:
+        """(segments, those of them that may differ by one shingle, slack) of least cost.
+
+        Slack is by how many more segments agree than one. A pair whose sets agree in more segments than one of them has
+        empty ones agrees in one that isn't empty, so only sets with as many empty segments as the slack need give them
+        signatures; without the segments that may differ the slack is set so that about one set in a hundred does."""
         h, size = self.differ(k), float(self.high[k])
         best = None
         for x in range((h + 2) // 2 + 1):
-            m = max(h + 1 - 2 * x, 0) + x
+            m, spare = max(h + 1 - 2 * x, 0) + x, 1
+            empty = (1 - 1 / m) ** size
+            while x == 0 and m * empty + 2.33 * sqrt(m * empty) + 0.5 >= spare:
+                m, spare = m + 1, spare + 1
+                empty = (1 - 1 / m) ** size
+                if spare > h + 1:  # sets too sparse for it
+                    m, spare, empty = h + 1, 1, (1 - 1 / (h + 1)) ** size
+                    break
             rows = n_sets * (m + x * size / m)
-            chance = exp(-size / m) if m > 1 else 0.0
-            cost = rows + 0.05 * m * (n_sets * chance) ** 2 / 2
+            cost = rows + 0.05 * m * (n_sets * empty * (0.01 if spare > 1 else 1)) ** 2 / 2
             if best is None or cost < best[0]:
-                best = (cost, m, x)
+                best = (cost, m, x, spare)
         return best[1:]
 
 
@@ -92,7 +102,7 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _signatures(s: np.ndarray, sums: np.ndarray, k: int, m: int, x: int) -> np.ndarray:
+def _signatures(s: np.ndarray, sums: np.ndarray, k: int, m: int, x: int, slack: int) -> np.ndarray:
     """sums: running sums of the mixed shingles, from 0."""
     cuts = np.concatenate(([0], np.searchsorted(s, _cuts(m)), [len(s)]))
     whole = sums[cuts[1:]] - sums[cuts[:-1]]
@@ -101,8 +111,9 @@ def _signatures(s: np.ndarray, sums: np.ndarray, k: int, m: int, x: int) -> np.n
     if x:
         upto = cuts[x]
         seg = np.repeat(np.arange(x), np.diff(cuts[: x + 1]))
-        out = np.concatenate((out, mix(whole[seg] - (sums[1 : upto + 1] - sums[:upto]) + salt[seg])))
-    return out
+        return np.concatenate((out, mix(whole[seg] - (sums[1 : upto + 1] - sums[:upto]) + salt[seg])))
+    full = cuts[1:] > cuts[:-1]
+    return out[full] if m - np.count_nonzero(full) < slack else out
 
 
 _CUTS: dict[int, np.ndarray] = {}
@@ -114,7 +125,7 @@ def _cuts(m: int) -> np.ndarray:
     return _CUTS[m]
 
 
-def signatures_of(s: np.ndarray, bands: Bands, plan: dict[int, tuple[int, int]]) -> np.ndarray:
+def signatures_of(s: np.ndarray, bands: Bands, plan: dict[int, tuple[int, int, int]]) -> np.ndarray:
     """Under the scheme of the set's band and of the one below."""
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s ^ _A), out=sums[1:])
@@ -123,9 +134,20 @@ def signatures_of(s: np.ndarray, bands: Bands, plan: dict[int, tuple[int, int]])
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the shingles that fall on it: sketches differ in at most as many bits as sets in shingles."""
-    bits = np.bincount((mix(s + _SEG) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Bit i is the parity of the shingles that fall on it: sketches differ in at most as many bits as sets in shingles.
+    There are at least twice as many bits as shingles, a power of two; half as many are the two halves' difference."""
+    bits = 1024
+    while bits < 2 * len(s):
+        bits *= 2
+    odd = np.bincount((mix(s + _SEG) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _folded(sketches: pa.ListArray) -> np.ndarray:
+    """Sketches of one tile, all as long as the shortest."""
+    each = [np.asarray(x.values).view(np.uint64) for x in sketches]
+    least = min(map(len, each))
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in each])
 
 
 def _skip(ids: np.ndarray, valid: np.ndarray, copies: np.ndarray) -> np.ndarray:
@@ -221,7 +243,7 @@ class Join:
         def near(t: pa.Table) -> list[tuple]:
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
             block, doc, c, n = (t.column(x).to_numpy() for x in ("block", "doc_id", "c", "n"))
-            sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+            sketch = _folded(t.column("sketch").combine_chunks())
             right, found = np.flatnonzero(block == j), {}
             for r in np.flatnonzero(block == i):
                 at = right[(c[right] != c[r]) & (n[right] * den >= num * n[r]) & (n[r] * den >= num * n[right])]
