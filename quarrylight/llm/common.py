@@ -7,8 +7,6 @@ word hashes gives every run of words its hash.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,28 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize, shared_dir  # noqa: F401  operators take them from here
+
+
 #: Records that cross to Python at once; a slice of SLICE_BYTES of them is worked on at a time.
 BATCH_ROWS = 512
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        got = f"file://{tempfile.mkdtemp(prefix='quarrylight-')}"
-        spark.sparkContext.setCheckpointDir(got)
-    return got
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds: rows here are whole documents."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -67,7 +51,6 @@ def hashed_sample(texts: DataFrame, n: int, most_chars: int = 20_000) -> DataFra
 
 # --- words -----------------------------------------------------------------------------------------------------------
 
-_RNG = np.random.default_rng(20240611)
 _ODD = np.uint64(1)
 
 

@@ -19,7 +19,7 @@ source; an empty table gives an empty result; columns other than the id and the
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,10 +224,8 @@ class FingerprintIndex:
         return out
 
 
-def substring_dedup(docs: DataFrame, path: str | None = None, batches: list[DataFrame] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One pass over a whole table with a fresh index."""
-    import uuid
-
     spark = docs.sparkSession
     return FingerprintIndex(spark, path or f"{shared_dir(spark).rstrip('/')}/tables/op6-index-{uuid.uuid4().hex}").dedup(docs)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 NUM, DEN = 4, 5
-BUCKETS, BITMAP = 1 << 19, 1 << 22
+BUCKETS, BITMAP, CLASSES = 1 << 19, 1 << 22, 16
 #: xxhash64 of the empty string.
 _EMPTY = -7444071767201028348
 
@@ -95,25 +95,40 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     firsts = lines.groupBy("s", "s2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.count("*").alias("times"))
     tokens = lines.where(F.size("prefix") > 0).groupBy("s", "s2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("prefix").alias("prefix"))
     posted = tokens.select("at.doc_id", F.expr("shiftleft(cast(at.ln as bigint), 32) | n").alias("lnn"), "sketch", F.posexplode("prefix").alias("pos", "t"))
-    x, y = (posted.select("t", *(F.col(c).alias(f"{c}_{i}") for c in ("doc_id", "lnn", "sketch", "pos"))) for i in (1, 2))
+    met = _met(posted, posted, num, den)
+    # A line goes if any line before it is similar. Of the lines that it meets the nearest of each of CLASSES is kept, and
+    # whether there were others; the nearest of all is tried first, then the others, then, for lines that stay, those left out.
+    one = F.struct("apart", "doc_id_2", "lnn_2")
+    best = met.groupBy("doc_id_1", "lnn_1", F.pmod(F.xxhash64("doc_id_2", "lnn_2"), F.lit(CLASSES)).alias("class")).agg(F.min(one).alias("m"), (F.max(one) != F.min(one)).alias("more"))
+    kept = materialize(best.select(*_place(F.col("doc_id_1"), F.col("lnn_1"), 1), *_place(F.col("m.doc_id_2"), F.col("m.lnn_2"), 2), F.col("m.apart").alias("apart"), "more"), "op9-met")
+    nearest = materialize(kept.groupBy("d1", "l1").agg(F.min(F.struct("apart", "d2", "l2")).alias("m")).select("d1", "l1", "m.d2", "m.l2"), "op9-nearest")
+    dead = materialize(_similar(docs, nearest, ranks, num, den), "op9-dead")
+    others = materialize(kept.join(dead, ["d1", "l1"], "left_anti").join(nearest, ["d1", "l1", "d2", "l2"], "left_anti").select("d1", "l1", "d2", "l2"), "op9-others")
+    if not others.isEmpty():
+        dead = materialize(dead.unionByName(_similar(docs, others, ranks, num, den)).distinct(), "op9-dead")
+    left_out = materialize(kept.where("more").select("d1", "l1").distinct().join(dead, ["d1", "l1"], "left_anti"), "op9-open")
+    if not left_out.isEmpty():
+        mine = materialize(posted.join(left_out, (F.col("doc_id") == F.col("d1")) & (F.shiftright("lnn", 32).cast("int") == F.col("l1")), "left_semi"), "op9-mine")
+        theirs = posted.where(_bit_test(_bitmap(mine.select(F.xxhash64("t").alias("d")), "d"), F.xxhash64("t")))
+        again = _met(mine, theirs, num, den)
+        rest = again.select(*_place(F.col("doc_id_1"), F.col("lnn_1"), 1), *_place(F.col("doc_id_2"), F.col("lnn_2"), 2)).distinct().join(kept, ["d1", "l1", "d2", "l2"], "left_anti")
+        dead = dead.unionByName(_similar(docs, materialize(rest, "op9-rest"), ranks, num, den)).distinct()
+    marked = firsts.join(dead, (F.col("at.doc_id") == F.col("d1")) & (F.col("at.ln") == F.col("l1")), "left").where("times > 1 or d1 is not null").select("s", "s2", "at", F.col("d1").isNotNull().alias("all"))
+    return lines.select("doc_id", "ln", "s", "s2").join(marked, ["s", "s2"]).where(F.col("all") | (F.struct("doc_id", "ln") > F.col("at"))).select("doc_id", "ln")
+
+
+def _place(doc: Column, lnn: Column, i: int) -> tuple[Column, Column]:
+    return doc.alias(f"d{i}"), F.shiftright(lnn, 32).cast("int").alias(f"l{i}")
+
+
+def _met(mine: DataFrame, theirs: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings that meet in a token: of lines _1 in mine and lines _2 before them in theirs, as far as the filters let them."""
+    x, y = (p.select("t", *(F.col(c).alias(f"{c}_{i}") for c in ("doc_id", "lnn", "sketch", "pos"))) for p, i in ((mine, 1), (theirs, 2)))
     n1, n2 = F.col("lnn_1").bitwiseAND(0xFFFFFFFF), F.col("lnn_2").bitwiseAND(0xFFFFFFFF)
     later = (F.col("doc_id_1") > F.col("doc_id_2")) | ((F.col("doc_id_1") == F.col("doc_id_2")) & (F.col("lnn_1") > F.col("lnn_2")))
     apart = F.bit_count(F.col("sketch_1").bitwiseXOR(F.col("sketch_2")))
     meets = later & (apart * (num + den) <= (n1 + n2) * (den - num)) & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (F.least(n1 - F.col("pos_1"), n2 - F.col("pos_2")) * (num + den) >= (n1 + n2) * num)
-    met = x.join(y.hint("shuffle_hash"), "t").where(meets)
-    place = lambda i: (F.col(f"doc_id_{i}").alias(f"d{i}"), F.shiftright(f"lnn_{i}", 32).cast("int").alias(f"l{i}"))
-    # a line goes if any line before it is similar, so the nearest by sketch is tried first, and all others only for lines that stay
-    nearest = met.groupBy("doc_id_1", "lnn_1").agg(F.min(F.struct(apart.alias("far"), F.col("doc_id_2"), F.col("lnn_2"))).alias("m"), F.max(F.struct("doc_id_2", "lnn_2")).alias("most"), F.min(F.struct("doc_id_2", "lnn_2")).alias("least"))
-    nearest = nearest.select("doc_id_1", "lnn_1", "m.doc_id_2", "m.lnn_2", (F.col("most") != F.col("least")).alias("more"))
-    nearest = materialize(nearest.select(*place(1), *place(2), "more"), "op9-nearest")
-    dead = materialize(_similar(docs, nearest, ranks, num, den), "op9-dead")
-    open_ = nearest.where("more").select("d1", "l1").join(dead, ["d1", "l1"], "left_anti")
-    if not (open_ := materialize(open_, "op9-open")).isEmpty():
-        rest = met.select(*place(1), *place(2)).join(open_, ["d1", "l1"], "left_semi").distinct()
-        rest = materialize(rest.join(nearest.drop("more"), ["d1", "l1", "d2", "l2"], "left_anti"), "op9-rest")
-        dead = dead.unionByName(_similar(docs, rest, ranks, num, den)).distinct()
-    marked = firsts.join(dead, (F.col("at.doc_id") == F.col("d1")) & (F.col("at.ln") == F.col("l1")), "left").where("times > 1 or d1 is not null").select("s", "s2", "at", F.col("d1").isNotNull().alias("all"))
-    return lines.select("doc_id", "ln", "s", "s2").join(marked, ["s", "s2"]).where(F.col("all") | (F.struct("doc_id", "ln") > F.col("at"))).select("doc_id", "ln")
+    return x.join(y.hint("shuffle_hash"), "t").where(meets).withColumn("apart", apart)
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, ranks: str, num: int, den: int) -> DataFrame:
