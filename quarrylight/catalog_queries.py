@@ -7,7 +7,6 @@ line items are a call graph. What SQL can't compute is held against rows derived
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -23,7 +22,7 @@ from .plans.entry_points import choose_entry_points
 from .plans.planner import investigate
 from .sources.catalog import Catalog
 from .sources.repository import discover
-from .sources.tables import shared_dir
+from .sources.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,7 +191,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TOPK_SQL)
 def bm25_persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tables/bm25-{uuid.uuid4().hex}"
+    path = new_path(spark, "bm25")
     Bm25Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).save(path)
     return _hits(Bm25Index.load(spark, path).search(benchmark_queries(spark, sf_dir)), "doc_id")
 

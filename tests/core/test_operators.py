@@ -176,3 +176,12 @@ def test_repositories_do_not_mix(spark):
 
 def test_definitions_have_schemas():
     assert {d["name"] for d in tools.Tools.definitions()} == set(tools.ARGUMENTS)
+
+
+def test_tables_are_dropped(spark, tmp_path):
+    from quarrylight.sources.tables import drop_tables, materialize
+
+    kept = materialize(spark.range(5).toDF("x"), "t")
+    assert kept.count() == 5 and drop_tables(spark)
+    with pytest.raises(Exception):  # noqa: B017  the files are gone
+        spark.read.parquet(kept.inputFiles()[0]).count()
