@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize, shared_dir  # noqa: F401  operators take them from here
-
+from ..sources.tables import materialize, new_path  # noqa: F401  operators take them from here
 
 #: Records that cross to Python at once; a slice of SLICE_BYTES of them is worked on at a time.
 BATCH_ROWS = 512

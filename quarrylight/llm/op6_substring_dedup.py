@@ -19,7 +19,6 @@ source; an empty table gives an empty result; columns other than the id and the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, documents, in_bloom, keyed_texts, known_ids, materialize, mix, runs, shared_dir, slices, small_batches, spaced
+from .common import Words, bloom, documents, in_bloom, keyed_texts, known_ids, materialize, mix, new_path, runs, slices, small_batches, spaced
 
 WINDOW, ANCHOR = 13, 5
 COPIES_MOST = 2_000_000
@@ -227,7 +226,7 @@ class FingerprintIndex:
 def substring_dedup(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One pass over a whole table with a fresh index."""
     spark = docs.sparkSession
-    return FingerprintIndex(spark, path or f"{shared_dir(spark).rstrip('/')}/tables/op6-index-{uuid.uuid4().hex}").dedup(docs)
+    return FingerprintIndex(spark, path or new_path(spark, "op6-index")).dedup(docs)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
