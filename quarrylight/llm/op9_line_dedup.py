@@ -9,7 +9,7 @@ document id, then by line) is as similar as that or equal; lines are judged on t
 
 Equal sets are one class before anything is joined, by minima that are combined before they are shuffled, so a line that
 a third of all documents share is one row. Sets of up to 3 words are similar to no different set and skip the join. The
-counters travel as a literal of BUCKETS numbers; a bitmap of BITMAP bits (it may only let too much through) keeps the
+counters travel as a literal of BUCKETS bytes; a bitmap of BITMAP bits (a subquery; it may only let too much through) keeps the
 documents without a candidate line out of the verification.
 
 Defined cases: lines end at newlines; a line without words is never removed and matches nothing; null text has no lines
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 NUM, DEN = 4, 5
-BUCKETS, BITMAP, CLASSES = 1 << 19, 1 << 22, 16
+BUCKETS, BITMAP, CLASSES = 1 << 16, 1 << 22, 16
 #: xxhash64 of the empty string.
 _EMPTY = -7444071767201028348
 
@@ -47,22 +47,27 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("ln", "line"))
 
 
+def _one_row(parts: DataFrame, name: str) -> Column:
+    """parts: b, x (lists in the order of b). Their concatenation as a scalar: a subquery, so that plans name it only."""
+    whole = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("p")).select(F.flatten(F.transform("p", lambda p: p["x"])).alias("t"))
+    return materialize(whole, name).scalar()
+
+
 def rarity(docs: DataFrame, text_col: str = "text") -> str:
-    """Quarters of an octave of each counter over all words, with commas between; words are hashed to counters."""
+    """Quarters of an octave of each of BUCKETS counters over all words, with commas between; words are hashed to counters."""
     at = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line"))
     counts = lines.select(F.explode(F.split(_blank(F.col("line")), " ")).alias("w")).groupBy(at.alias("at")).count()
-    block = 1024
-    rank = F.least(F.floor(F.log2("count") * 4), F.lit(126)).cast("int")
+    rank = F.least(F.floor(F.log2("count") * 4), F.lit(126)).cast("tinyint")
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("at")).join(counts, "at", "left")
-    parts = every.select(F.floor(F.col("at") / block).alias("b"), F.struct("at", F.coalesce(rank, F.lit(0)).alias("r")).alias("x")).groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    parts = every.groupBy(F.floor(F.col("at") / 1024).alias("b")).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce(rank, F.lit(0).cast("tinyint")).alias("r")))).alias("x"))
     joined = parts.select("b", F.array_join(F.transform("x", lambda x: x["r"].cast("string")), ",").alias("t"))
     return ",".join(r["t"] for r in joined.orderBy("b").collect())  # BUCKETS / 1024 rows
 
 
 def _ranked(words: Column, ranks: str) -> Column:
     """Words by rarity: the rank in the highest bits, the hash below it."""
-    table = F.split(F.lit(ranks), ",").cast("array<tinyint>")
+    table = F.split(F.lit(ranks), ",").cast("array<tinyint>")  # folded into one literal; lambdas may hold no subquery
     return F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
@@ -76,12 +81,12 @@ def _bit_test(bits: Column, key: Column) -> Column:
 
 
 def _bitmap(keys: DataFrame, key: str) -> Column:
+    """BITMAP bits as an array of longs, the key's bit set."""
     at = F.pmod(F.col(key), F.lit(BITMAP))
-    words = keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod({key}, {BITMAP}), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = [0] * (BITMAP // 64)
-    for r in words.collect():  # BITMAP / 64 rows at most
-        out[r["w"]] = r["b"]
-    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")
+    words = keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod({key}, {BITMAP}), 64) as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    every = keys.sparkSession.range(BITMAP // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    parts = every.groupBy(F.floor(F.col("w") / 1024).alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("x"))
+    return _one_row(parts.select("b", F.transform("x", lambda x: x["v"]).alias("x")), "op9-bits")
 
 
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
