@@ -147,6 +147,18 @@ def role_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", T.detect_role(T.last_part(F.col("name"))).alias("role"), T.is_class_only(F.col("name")).alias("class_only"))
 
 
+@query(values("helper VARCHAR, shown VARCHAR", [
+    ("issue", "[ERROR] evidence=e1: gone"), ("module", "a.b"), ("one", "1 file"), ("several", "3 files"), ("short", "services/users.py"), ("shortest", "a.py"), ("summary", "x" * 200 + "…"),
+]))
+def display_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What results are shown with: issues, module names, counts, short paths, cut summaries."""
+    shown = {
+        "issue": T.format_issue(F.lit("ERROR"), F.lit("e1"), F.lit("gone")), "module": T.module_name(F.lit("a/b.py")), "one": T.pluralise(F.lit(1), "file"), "several": T.pluralise(F.lit(3), "file"),
+        "short": T.short_file(F.lit("app/services/users.py")), "shortest": T.short_file(F.lit("a.py")), "summary": T.summarise(F.repeat(F.lit("x"), 300)),
+    }
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("helper"), v.alias("shown")) for k, v in shown.items()])))
+
+
 @query("""SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20""")
 def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest 20 of a history; the limit is the feature."""

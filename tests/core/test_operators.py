@@ -185,3 +185,18 @@ def test_tables_are_dropped(spark, tmp_path):
     assert kept.count() == 5 and drop_tables(spark)
     with pytest.raises(Exception):  # noqa: B017  the files are gone
         spark.read.parquet(kept.inputFiles()[0]).count()
+
+
+def test_settings_come_from_the_environment():
+    from quarrylight.session import Settings
+
+    s = Settings.from_env({"QUARRYLIGHT_APP_NAME": "x", "QUARRYLIGHT_SHUFFLE_PARTITIONS": "7", "QUARRYLIGHT_CHECKPOINT_DIR": "file:///c"})
+    assert s.conf()["spark.sql.shuffle.partitions"] == "7" and s.conf()["spark.checkpoint.dir"] == "file:///c"
+    assert "spark.master" not in Settings.from_env({}).conf()
+
+
+def test_strict_matches_whole_classes(spark):
+    code = "class UserService:\n    def get(self):\n        return 1\n\n\ndef f():\n    u = User()\n    return u.get()\n"
+    rows = spark.createDataFrame([("r", "a.py", code)], "repository_id string, file string, source string")
+    found = {strict: CodeIndex.from_table(rows, strict=strict).edges.where("callee like '%get'").first()["resolution"] for strict in (False, True)}
+    assert found == {False: "exact", True: "probable"}
