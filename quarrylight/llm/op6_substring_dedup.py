@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Words, bloom, documents, in_bloom, keyed_texts, known_ids, materialize, mix, new_path, runs, slices, small_batches, spaced
 
 WINDOW, ANCHOR = 13, 5
-COPIES_MOST = 2_000_000
+COPIES_MOST = 1_000_000
 _TEXT = spaced(lower=False)
 
 
@@ -198,7 +198,7 @@ class FingerprintIndex:
         again = materialize(again.join(twice, "doc_id", "left_anti").distinct(), "op6-copies")
         found = np.empty(0, np.int64)
         if again.count() <= COPIES_MOST:
-            found = np.sort(np.array([r[0] for r in again.collect()], np.int64))
+            found = np.sort(again.toArrow().column("doc_id").to_numpy())  # COPIES_MOST numbers at most
         copies, none = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(np.empty(0, np.int64))
 
         keys = materialize(anchors(docs, copies).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).sortWithinPartitions("key"), "op6-keys")

@@ -34,7 +34,7 @@ from .common import Words, bloom, documents, ids_of, in_bloom, keyed_texts, know
 from .components import connected_components
 
 _TEXT = spaced(lower=True)
-COPIES_MOST = 2_000_000
+COPIES_MOST = 1_000_000
 TILE, NEAREST = 192, 16
 _A, _B, _SEG = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
 
@@ -277,7 +277,7 @@ def ngram_join(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, i
     skipped = again.select("doc_id").join(several, "doc_id", "left_anti")
     found = np.empty(0, np.int64)
     if again.count() <= COPIES_MOST:
-        found = np.sort(np.array([r[0] for r in skipped.collect()], np.int64))
+        found = np.sort(skipped.toArrow().column("doc_id").to_numpy())  # COPIES_MOST numbers at most
     copies = spark.sparkContext.broadcast(found)
     bands = Bands(num, den, known.agg(F.max("n")).first()[0] or 1)
     low = F.array(*[F.lit(int(x)) for x in bands.low])
