@@ -180,32 +180,59 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.corpus.select(F.col("n").alias("n_docs"), F.round("avgdl", 4).alias("avgdl4"))
 
 
-def benchmark_queries(spark: SparkSession, sf_dir: str, n: int = 5, top_k: int = 10) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(top_k).alias("top_k"))
+def benchmark_queries(spark: SparkSession, sf_dir: str, n: int | None = None, top_k: int = 10) -> DataFrame:
+    """The benchmark's texts as queries; with n only those of items below it."""
+    items = table(spark, sf_dir, "benchmark")
+    items = items if n is None else items.where(F.col("item_id") < n)
+    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(top_k).alias("top_k"))
 
 
-_TOPK_SQL = f"""WITH {_INDEX_SQL},
- asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(tokens) AS term FROM {tokens_sql('benchmark', 'item_id', 'text')}) WHERE item_id < 5 GROUP BY ALL),
+def _topk_sql(where: str = "") -> str:
+    return f"""WITH {_INDEX_SQL},
+ asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(tokens) AS term FROM {tokens_sql('benchmark', 'item_id', 'text')}){where} GROUP BY ALL),
  scored AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * (dl / avgdl)))) AS s FROM postings JOIN asked USING (term) JOIN terms USING (term), corpus GROUP BY ALL),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, doc_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(s, 4) AS score4 FROM ranked WHERE rank <= 10"""
 
 
+_TOPK_SQL = _topk_sql(" WHERE item_id < 5")
+
+
 def _hits(found: DataFrame, id_col: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias(id_col), F.col("score").alias("score4"))
 
 
+def _topk(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
+    return _hits(search_documents(table(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir, n), "doc_id", F.col("text")), "doc_id")
+
+
+def _roundtrip(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
+    path = new_path(spark, "bm25")
+    Bm25Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).save(path)
+    return _hits(Bm25Index.load(spark, path).search(benchmark_queries(spark, sf_dir, n)), "doc_id")
+
+
 @query(_TOPK_SQL)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five benchmark texts against all documents, without an index: postings of other terms are never made."""
-    return _hits(search_documents(table(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir), "doc_id", F.col("text")), "doc_id")
+    """Five benchmark texts, as its SQL has it, against all documents, without an index: postings of other terms are never
+    made. bm25_topk_whole takes all of them."""
+    return _topk(spark, sf_dir, 5)
 
 
 @query(_TOPK_SQL)
 def bm25_persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "bm25")
-    Bm25Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).save(path)
-    return _hits(Bm25Index.load(spark, path).search(benchmark_queries(spark, sf_dir)), "doc_id")
+    return _roundtrip(spark, sf_dir, 5)
+
+
+@query(_topk_sql())
+def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text against all documents."""
+    return _topk(spark, sf_dir, None)
+
+
+@query(_topk_sql())
+def bm25_persist_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roundtrip(spark, sf_dir, None)
 
 
 @query(f"""

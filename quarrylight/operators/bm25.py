@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.tables import materialize
 from .chunk import dedup_first
 
 K1, B, TOP_K = 1.5, 0.75, 10
@@ -113,13 +114,12 @@ class Bm25Index:
 
 def search_documents(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k1: float = K1, b: float = B) -> DataFrame:
     """The same as build and search for documents that are searched once: postings of other terms than the queries' are
-    never made. A document's tokens that are asked for are counted in place; what is shuffled is one row a hit."""
+    never made. The terms that are asked for are a table, so that any number of them can meet the tokens in one join."""
     asked = query_terms(queries.where("top_k > 0"))
-    wanted = asked.agg(F.sort_array(F.collect_set("term")).alias("wanted"))
+    wanted = materialize(asked.select("term").distinct(), "bm25-wanted")
     tokens = tokenized(docs, id_col, text)
     corpus = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    mine = tokens.join(F.broadcast(wanted), F.lit(True))  # one row
-    met = mine.select("id", "dl", F.explode(F.filter("tokens", lambda t: F.array_contains("wanted", t))).alias("term"))
+    met = tokens.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = met.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     hits = postings.join(asked, "term").join(terms, "term").join(F.broadcast(corpus), F.lit(True))

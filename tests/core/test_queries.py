@@ -44,3 +44,10 @@ def test_entry_imports_without_llm():
         "assert set(e.queries()) == set(e.oracle_sql()) and 'bm25_topk' in e.queries()\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
+def test_entry_asks_every_benchmark_text(spark, sf_dir):
+    import __spark_entry__
+
+    items = {r["item_id"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    assert {r["query_id"] for r in __spark_entry__.entry(spark).collect()} == items
