@@ -3,8 +3,8 @@
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents. run() writes each
 result as Parquet to the shared folder and reads it again as the next stage's docs.
 
-Rows that share an id are one document where a stage decides by id (near duplicates, contamination): they go together, and
-so do rows with a null id. Null texts pass all stages (no quality to see in them but a zero byte's, no lines, no shingles, no
+Each row is a document of its own, also where rows share an id or have none: stages decide by a row key, in the order of ids
+(null last, then by text). Null texts pass all stages (no quality to see in them but a zero byte's, no lines, no shingles, no
 words) unless the classifier rejects them; empty tables pass as empty tables.
 """
 
@@ -26,24 +26,39 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the column that is the key of a row: the id where every row has its own, otherwise _row, numbers in the order of ids."""
+    given = F.col("doc_id").cast("long")
+    if docs.groupBy(given.alias("doc_id")).count().where("count > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    # ranges of ids, texts and places, so that rows of one id, or of one text, need not be in one task
+    order = [F.col("_row").asc_nulls_last(), F.col("_hash").asc(), F.col("_place").asc()]
+    placed = docs.withColumns({"_row": given, "_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    dealt = materialize(placed, "pipeline-placed").repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.withColumn("_row", F.monotonically_increasing_id()).select(*docs.columns, "_row"), "pipeline-rows"), "_row"
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier line go, and documents that had words and have none left; n_chars follows the text."""
-    out = dedup_documents(docs)
+    keyed, key = with_row_key(docs)
+    out = dedup_documents(keyed, id_col=key)
     left = (F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     chars = F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.where(left).withColumn("n_chars", chars).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link at a Jaccard similarity of 0.8 of their five-word shingles, the one with the least id stays."""
-    gone = ngram_join(docs, shingle=5, num=8, den=10).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that link at a Jaccard similarity of 0.8 of their five-word shingles, the one with the least row key stays."""
+    keyed, key = with_row_key(docs)
+    gone = ngram_join(keyed, shingle=5, num=8, den=10, id_col=key).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go of which benchmark windows cover a twentieth or more."""
-    gone = decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    keyed, key = with_row_key(docs)
+    gone = decontaminate(keyed, read_table(spark, sf_dir, "benchmark"), id_col=key).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from quarrylight.llm import op2_quality
 from quarrylight.llm.common import materialize
 
 from .test_joins import components, shingles
-from .util import awkward, awkward_rows, empty, rows
+from .util import awkward, awkward_rows, empty, prose, rows
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,33 @@ def test_awkward_rows_and_empty_tables(spark, sf_dir, i):
     if i < 4:
         assert got.columns == awkward(spark).columns
         assert got.where(F.col("text").isNull()).count() <= 1
+
+
+def _shared_ids(spark, texts):
+    """Each text thrice: rows without an id, rows of one id, rows with an id of their own."""
+    data = [(i, t, "en", "a", len(t)) for key in (None, 7) for t in texts for i in [key]] + [(100 + n, t, "en", "a", len(t)) for n, t in enumerate(texts)]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_contaminated_rows_do_not_take_rows_of_their_id(spark, sf_dir):
+    item = cp.read_table(spark, sf_dir, "benchmark").where("length(text) > 80").first()["text"]
+    clean = [prose(30, 900 + i) for i in range(4)]
+    got = rows(cp.decontamination_stage(spark, _shared_ids(spark, [item, *clean]), sf_dir))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(i, t) for t in clean for i in (0, 7)] + [(101 + n, t) for n, t in enumerate(clean)])
+
+
+def test_line_stage_decides_by_row(spark, sf_dir):
+    """Row 7 of the second text repeats line 1 of document 1; the other rows of id 7, and those without one, keep theirs."""
+    line = [prose(12, 950 + i) for i in range(9)]
+    data = [(1, f"{line[0]}\n{line[1]}"), (7, f"{line[2]}\n{line[3]}"), (7, f"{line[4]}\n{line[1]}"), (None, f"{line[5]}\n{line[6]}"), (None, f"{line[7]}\n{line[1]}")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(1, data[0][1]), (7, data[1][1]), (7, line[4]), (None, data[3][1]), (None, line[7])]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in rows(cp.line_stage(spark, docs, sf_dir))) == sorted((i or 0, t) for i, t in want)
+
+
+def test_near_duplicate_stage_decides_by_row(spark, sf_dir):
+    texts = [prose(40, 970 + i) for i in range(3)]
+    near = texts[0].rsplit(" ", 1)[0] + " changed"
+    data = [(1, texts[0]), (7, near), (7, texts[1]), (None, near), (None, texts[2]), (None, texts[2])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in rows(cp.near_duplicate_stage(spark, docs, sf_dir))) == sorted([(0, texts[2]), (1, texts[0]), (7, texts[1])])
