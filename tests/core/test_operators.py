@@ -137,6 +137,11 @@ def test_paths(spark):
     assert graph.find_path(e, "a", "a").count() == 0
 
 
+def test_deep_paths_are_found(spark):
+    e = edges(spark, [(f"n{i}", f"n{i + 1}", "exact") for i in range(103)]).coalesce(1)
+    assert [r["edge_ord"] for r in graph.find_path(e, "n0", "n103").collect()] == list(range(103))
+
+
 def test_chain_prefers_by_role_within_the_first_ten(spark):
     calls = [("f::start", f"f::noise_{i}", "exact") for i in range(9)] + [("f::start", "f::get_db", "probable"), ("f::start", "f::save_write", "exact")]
     e = edges(spark, calls).selectExpr("'r' repository_id", "*", "'f' file", "7 line")
