@@ -5,8 +5,8 @@ One pass over the documents counts the benchmark's terms in them; each window's
 terms that are among some window's RAREST get postings: (term, document, position), sorted by term, in the shared folder.
 Postings of a window's rarest term, moved back by the term's offset, are the places where it may start; they are
 intersected with the equally moved postings of its next term. What is left is verified against all words of the text,
-so rank and filters decide only how much is looked at, never what is found. A window with a term that no document has
-is left out at once. Terms travel to the workers as Bloom filters of bounded size, which may only let too much through.
+so rank and filters decide only how much is looked at, never what is found. As a phrase, a window with a term that no document
+has is left out at once. Terms travel to the workers as Bloom filters of bounded size, which may only let too much through.
 
 Defined cases: null or empty texts have no words and are never contaminated; items without words or id make no windows;
 rows that share an id are judged each by its own text, so are rows with a null id; an empty benchmark marks nothing;
@@ -82,15 +82,19 @@ def _keep_wanted(spark: SparkSession, terms: DataFrame):
     return spark.sparkContext.broadcast(bloom(terms.select(F.col("term").alias("key")), terms.count()))
 
 
-def inverted_index(docs: DataFrame, windows: DataFrame, rarest: int = RAREST) -> tuple[DataFrame, DataFrame]:
-    """The postings of the rarest terms of each window, and (win, rank, term, offset, n) of those terms; both materialised."""
+def inverted_index(docs: DataFrame, windows: DataFrame, rarest: int = RAREST, phrases: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The postings of the rarest terms of each window, and (win, rank, term, offset, n) of those terms; both materialised.
+    Of windows with a term that no document has, phrases leave out all, others that term only."""
     spark = docs.sparkSession
     each = windows.dropDuplicates(["win"]).select("win", "n", F.posexplode("terms").alias("offset", "term"))
     terms = each.select("term").distinct()
     counts = term_counts(docs, _keep_wanted(spark, terms))
     ranked = each.join(counts.withColumnRenamed("n", "df"), "term", "left")
     per = Window.partitionBy("win")
-    ranked = ranked.withColumn("missing", F.max(F.col("df").isNull().cast("int")).over(per)).where("missing = 0")
+    if phrases:
+        ranked = ranked.withColumn("missing", F.max(F.col("df").isNull().cast("int")).over(per)).where("missing = 0")
+    else:
+        ranked = ranked.where("df is not null")
     ranked = ranked.withColumn("rank", F.row_number().over(per.orderBy("df", "term", "offset"))).where(F.col("rank") <= rarest)
     chosen = materialize(ranked.select("win", "rank", "term", "offset", "n"), "op10-terms")
     index = materialize(postings(docs, _keep_wanted(spark, chosen.select("term").distinct())).sortWithinPartitions("term"), "op10-postings")
@@ -161,12 +165,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 20, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, first, last): the two rarest terms of one of the item's windows stand at most `within` words apart."""
+    """(doc_id, item_id, first, last): of the terms of one of the item's windows that any document has, the two rarest stand at
+    most `within` words apart. A window with fewer than two such terms has no pair and matches nothing."""
     small_batches(docs.sparkSession)
     docs = keyed_texts(docs, id_col, text_col).withColumn("rid", F.coalesce("doc_id", F.xxhash64("text"), F.lit(0)))
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = materialize(test_windows(items, window), "op10-windows")
-    index, chosen = inverted_index(docs, windows)
+    index, chosen = inverted_index(docs, windows, phrases=False)
     one, two = (chosen.where(F.col("rank") == r).select("win", F.col("term").alias(f"term{r}")) for r in (1, 2))
     a = index.join(one, F.col("term") == F.col("term1")).join(two, "win").select("win", "term2", "rid", "mark", F.col("at").alias("a"))
     # positions are dealt into blocks of `within` words, so near ones are in the same block or the next

@@ -240,6 +240,14 @@ def test_proximity(spark):
     assert got == [(0, 7, 0, 5), (1, 7, 0, 1)]
 
 
+def test_proximity_of_copies_that_lack_a_word(spark):
+    """No document has qqq; windows that have it still pair their other terms, and one other term is no pair."""
+    d = docs(spark, ["zig zag", "zig " + "w " * 40 + "zag"])
+    b = spark.createDataFrame([(7, "zig qqq zag"), (8, "qqq zig")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["first"], r["last"]) for r in rows(proximity_matches(d, b, within=10)))
+    assert got == [(0, 7, 0, 1)]
+
+
 def test_kept_text_has_its_digest(spark, sf_dir):
     got = [r for r in rows(op6_substring_dedup(spark, sf_dir)) if r["n_words"] == r["n_removed"]]
     assert got and {r["kept_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
