@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize, new_path  # noqa: F401  operators take them from here
+from ..sources.tables import delete, drop, made_in, materialize, new_path  # noqa: F401  operators take them from here
 
 #: Records that cross to Python at once; a slice of SLICE_BYTES of them is worked on at a time.
 BATCH_ROWS = 512
@@ -40,6 +40,14 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(v).alias(k) for k, v in more.items()))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, or with underscores before it until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hashed_sample(texts: DataFrame, n: int, most_chars: int = 20_000) -> DataFrame:
     """About n of the texts of 1 to most_chars characters, those whose hash is least. Only hashes are gathered to find the
     limit; texts that are equal come together."""

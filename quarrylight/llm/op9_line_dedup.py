@@ -1,21 +1,28 @@
 """Line dedup as an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Words are ordered by rarity: hashed into BUCKETS counters over all lines, they rank by the
-quarter of an octave of their counter, then by hash. Two different sets reach the similarity only if they share one of the
-first |x| - ceil(t |x|) + 1 words of each (prefix filter); lengths, and what can still follow after the places where they
-meet (positional filter), leave out more, and so does a sketch of 64 parities, which differ in at most as
-many bits as the sets in words. Candidates are verified on whole sets. A line goes if a line before it (by
-document id, then by line) is as similar as that or equal; lines are judged on the input, not on what is left.
+quarter of an octave of their counter, then by hash. In that order two sets of sizes n and m that overlap in o words have
+H = n + m - 2 o words of only one of them, and these part at most H of the gaps between their common words: of the first
+H + 2 common words two stand side by side in both sets, within the first (n - o) + H + 2 words of each. So the prefix of a
+line is that long, and its postings are the pairs of neighbours in it (where H + 2 may be more than o, as in short sets at
+low thresholds, also the single words of the usual prefix). A pair of words is shared by chance far more rarely than a
+word, which a corpus of any size has in a fixed share of its lines. Lengths, the places where sets meet (positional filter)
+and two sketches of 64 parities, which differ in at most as many bits as the sets in words, leave out more; candidates are
+verified on whole sets. A line goes if a line before it (by document id, then by line) is as similar as that or equal;
+lines are judged on the input, not on what is left.
 
 Equal sets are one class before anything is joined, by minima that are combined before they are shuffled, so a line that
-a third of all documents share is one row. Sets of up to 3 words are similar to no different set and skip the join. The
-counters travel as a literal of BUCKETS bytes; a bitmap of BITMAP bits (a subquery; it may only let too much through) keeps the
-documents without a candidate line out of the verification.
-
-Defined cases: lines end at newlines; a line without words is never removed and matches nothing; null text has no lines
-and stays null; rows with a null id keep their lines and match nothing; rows that share an id are one document in the
-order of lines, so equal lines at one place of them are not before each other; an empty table gives an empty result;
-other columns are not read by line_dedup, and dedup_documents returns them unchanged.
+a third of all documents share is one row. Of each posting the class with most equal lines (of those the first) is its
+hub, again by combined minima; every line is held against the nearest of its hubs, which settles most lines of a group of near
+copies in one comparison each, and all of postings with two classes. Only lines that stay
+are joined with all earlier lines of their postings; the nearest is tried first, then the others. Bitmaps of BITMAP bits
+(subqueries; they may only let too much through) keep what can't matter out of shuffles.
+
+Defined cases: lines end at newlines; a line without words is never removed and matches nothing; lines may be of any length;
+null text has no lines and stays null; rows with a null id keep their lines and match nothing; rows that share an id are one
+document in the order of lines, so equal lines at one place of them are not before each other; of equal lines (ties) the
+first stays; an empty table gives an empty result; other columns are not read by line_dedup, and dedup_documents returns
+them unchanged (but for columns that have the names of its two counts, which the counts replace).
 """
 
 from __future__ import annotations
@@ -23,10 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, drop, fresh, materialize
 
 NUM, DEN = 4, 5
-BUCKETS, BITMAP, CLASSES = 1 << 19, 1 << 22, 16
+BUCKETS, BITMAP = 1 << 16, 1 << 24
 #: xxhash64 of the empty string.
 _EMPTY = -7444071767201028348
 
@@ -47,32 +54,34 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("ln", "line"))
 
 
-def _one_row(parts: DataFrame, name: str) -> Column:
-    """parts: b, x (lists in the order of b). Their concatenation as a scalar: a subquery, so that plans name it only."""
-    whole = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("p")).select(F.flatten(F.transform("p", lambda p: p["x"])).alias("t"))
-    return materialize(whole, name).scalar()
-
-
 def rarity(docs: DataFrame, text_col: str = "text") -> str:
     """Quarters of an octave of each of BUCKETS counters over all words, with commas between; words are hashed to counters."""
-    at = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
+    at = F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int")
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line"))
     counts = lines.select(F.explode(F.split(_blank(F.col("line")), " ")).alias("w")).groupBy(at.alias("at")).count()
-    rank = F.least(F.floor(F.log2("count") * 4), F.lit(126)).cast("tinyint")
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("at")).join(counts, "at", "left")
-    parts = every.groupBy(F.floor(F.col("at") / 1024).alias("b")).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce(rank, F.lit(0).cast("tinyint")).alias("r")))).alias("x"))
-    joined = parts.select("b", F.array_join(F.transform("x", lambda x: x["r"].cast("string")), ",").alias("t"))
-    return ",".join(r["t"] for r in joined.orderBy("b").collect())  # BUCKETS / 1024 rows
+    ranks = ["0"] * BUCKETS
+    for r in counts.select("at", F.least(F.floor(F.log2("count") * 4), F.lit(126)).alias("r")).collect():  # BUCKETS rows at most
+        ranks[r["at"]] = str(r["r"])
+    return ",".join(ranks)
 
 
 def _ranked(words: Column, ranks: str) -> Column:
     """Words by rarity: the rank in the highest bits, the hash below it."""
-    table = F.split(F.lit(ranks), ",").cast("array<tinyint>")  # folded into one literal; lambdas may hold no subquery
-    return F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    table = F.split(F.lit(ranks), ",").cast("array<bigint>")  # folded into one literal; lambdas may hold no subquery
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+
+
+def _least_other(n: Column, num: int, den: int) -> Column:
+    """The least size that may be similar to n."""
+    return F.ceil(n * num / F.lit(den)).cast("long")
 
 
 def _prefix_length(n: Column, num: int, den: int) -> Column:
-    return (n - F.ceil(n * num / F.lit(den)) + 1).cast("int")
+    """(n - o) + H + 2 at its most, which it has for the least partner; all words where pairs of neighbours don't do."""
+    m = _least_other(n, num, den)
+    if 2 * num <= den:
+        return n
+    return F.least(n.cast("long"), F.floor(((2 * n + m) * (num + den) - 3 * num * (n + m)) / F.lit(num + den)) + 2).cast("int")
 
 
 def _bit_test(bits: Column, key: Column) -> Column:
@@ -81,63 +90,141 @@ def _bit_test(bits: Column, key: Column) -> Column:
 
 
 def _bitmap(keys: DataFrame, key: str) -> Column:
-    """BITMAP bits as an array of longs, the key's bit set."""
+    """BITMAP bits as an array of longs, the key's bit set; a scalar subquery, so that plans only name it."""
     at = F.pmod(F.col(key), F.lit(BITMAP))
     words = keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod({key}, {BITMAP}), 64) as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
     every = keys.sparkSession.range(BITMAP // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
     parts = every.groupBy(F.floor(F.col("w") / 1024).alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("x"))
-    return _one_row(parts.select("b", F.transform("x", lambda x: x["v"]).alias("x")), "op9-bits")
+    parts = parts.select("b", F.transform("x", lambda x: x["v"]).alias("x"))
+    whole = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("p")).select(F.flatten(F.transform("p", lambda p: p["x"])).alias("t"))
+    return materialize(whole, "op9-bits").scalar()
+
+
+def _size(lnn: str) -> Column:
+    return F.col(lnn).bitwiseAND(0xFFFFFFFF)
+
+
+def _line(lnn: str) -> Column:
+    return F.shiftright(lnn, 32).cast("int")
+
+
+def _before(d1: str, l1: str, d2: str, l2: str) -> Column:
+    """The second place is before the first."""
+    return (F.col(d2) < F.col(d1)) | ((F.col(d2) == F.col(d1)) & (F.col(l2) < F.col(l1)))
+
+
+def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, pos, prior, doc_id, lnn, low, high, rank): pairs of neighbours in prefixes with the word before them, and single
+    words where these don't do."""
+    kept = ["doc_id", "lnn", "low", "high", "rank"]
+    some = classes.where(F.size("prefix") > 0).withColumn("rank", _rank())
+    trios = F.arrays_zip(F.col("prefix").alias("a"), F.expr("slice(prefix, 2, size(prefix))").alias("b"), F.concat(F.array(F.lit(None).cast("int")), F.col("prefix")).alias("c"))
+    zipped = some.select(*kept, F.posexplode(trios).alias("pos", "z")).where("z.b is not null")
+    out = zipped.select(F.expr("shiftleft(cast(z.a as bigint), 32) | (cast(z.b as bigint) & 4294967295)").alias("sig"), "pos", F.col("z.c").alias("prior"), *kept)
+    least = -(-num // (den - num))  # of sets that are similar to others
+    if (least + -(-num * least // den)) * (2 * num - den) >= 2 * (num + den):
+        return out
+    n = _size("lnn")
+    single = some.where((n + _least_other(n, num, den)) * (2 * num - den) < 2 * (num + den))
+    words = single.select(*kept, F.posexplode(F.slice("prefix", F.lit(1), (n - _least_other(n, num, den) + 1).cast("int"))).alias("pos", "w"))
+    return out.unionByName(words.select(F.col("w").cast("long").alias("sig"), "pos", F.lit(None).cast("int").alias("prior"), *kept))
+
+
+def _rank() -> Column:
+    """Which class is the hub of a posting, the least of it: that with most equal lines, then the first. Ids or lines that
+    don't fit into the bits take their turn by a hash; classes of equal rank are hubs together."""
+    ln = F.shiftright("lnn", 32)
+    fits = (F.col("doc_id") >= 0) & (F.col("doc_id") < 1 << 35) & (ln < 1 << 16)
+    place = F.when(fits, F.shiftleft("doc_id", 16).bitwiseOR(ln)).otherwise(F.xxhash64("doc_id", "lnn").bitwiseAND((1 << 51) - 1))
+    return F.shiftleft(4095 - F.least("times", F.lit(4095)), 51).bitwiseOR(place)
+
+
+def _apart(i: str, j: str) -> Column:
+    """At most as many as the sets differ in words."""
+    return F.greatest(*(F.bit_count(F.col(f"{c}{i}").bitwiseXOR(F.col(f"{c}{j}"))) for c in ("low", "high")))
+
+
+def _near(n1: Column, n2: Column, apart: Column, num: int, den: int) -> Column:
+    """What lengths and sketches let through."""
+    return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (apart * (num + den) <= (n1 + n2) * (den - num))
 
 
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ln) of the lines that go."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    ranks = rarity(docs)
-    ranked = lines_of(docs).select("doc_id", "ln", _ranked(_words(F.col("line")), ranks).alias("k"))
+    ranked = lines_of(docs).select("doc_id", "ln", _ranked(_words(F.col("line")), rarity(docs)).alias("k"))
     n = F.size("k")
     prefix = F.when(n * (den - num) >= num, F.transform(F.slice("k", F.lit(1), _prefix_length(n, num, den)), lambda x: F.hash(x))).otherwise(F.array().cast("array<int>"))
-    lines = materialize(ranked.select("doc_id", "ln", n.alias("n"), F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), "k").alias("s2"), F.expr("aggregate(k, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"), prefix.alias("prefix")), "op9-lines").where("n > 0")
-    firsts = lines.groupBy("s", "s2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.count("*").alias("times"))
-    tokens = lines.where(F.size("prefix") > 0).groupBy("s", "s2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("prefix").alias("prefix"))
-    posted = tokens.select("at.doc_id", F.expr("shiftleft(cast(at.ln as bigint), 32) | n").alias("lnn"), "sketch", F.posexplode("prefix").alias("pos", "t"))
-    met = _met(posted, posted, num, den)
-    # A line goes if any line before it is similar. Of the lines that it meets the nearest of each of CLASSES is kept, and
-    # whether there were others; the nearest of all is tried first, then the others, then, for lines that stay, those left out.
-    one = F.struct("apart", "doc_id_2", "lnn_2")
-    best = met.groupBy("doc_id_1", "lnn_1", F.pmod(F.xxhash64("doc_id_2", "lnn_2"), F.lit(CLASSES)).alias("class")).agg(F.min(one).alias("m"), (F.max(one) != F.min(one)).alias("more"))
-    kept = materialize(best.select(*_place(F.col("doc_id_1"), F.col("lnn_1"), 1), *_place(F.col("m.doc_id_2"), F.col("m.lnn_2"), 2), F.col("m.apart").alias("apart"), "more"), "op9-met")
-    nearest = materialize(kept.groupBy("d1", "l1").agg(F.min(F.struct("apart", "d2", "l2")).alias("m")).select("d1", "l1", "m.d2", "m.l2"), "op9-nearest")
-    dead = materialize(_similar(docs, nearest, ranks, num, den), "op9-dead")
-    others = materialize(kept.join(dead, ["d1", "l1"], "left_anti").join(nearest, ["d1", "l1", "d2", "l2"], "left_anti").select("d1", "l1", "d2", "l2"), "op9-others")
-    if not others.isEmpty():
-        dead = materialize(dead.unionByName(_similar(docs, others, ranks, num, den)).distinct(), "op9-dead")
-    left_out = materialize(kept.where("more").select("d1", "l1").distinct().join(dead, ["d1", "l1"], "left_anti"), "op9-open")
-    if not left_out.isEmpty():
-        mine = materialize(posted.join(left_out, (F.col("doc_id") == F.col("d1")) & (F.shiftright("lnn", 32).cast("int") == F.col("l1")), "left_semi"), "op9-mine")
-        theirs = posted.where(_bit_test(_bitmap(mine.select(F.xxhash64("t").alias("d")), "d"), F.xxhash64("t")))
-        again = _met(mine, theirs, num, den)
-        rest = again.select(*_place(F.col("doc_id_1"), F.col("lnn_1"), 1), *_place(F.col("doc_id_2"), F.col("lnn_2"), 2)).distinct().join(kept, ["d1", "l1", "d2", "l2"], "left_anti")
-        dead = dead.unionByName(_similar(docs, materialize(rest, "op9-rest"), ranks, num, den)).distinct()
-    marked = firsts.join(dead, (F.col("at.doc_id") == F.col("d1")) & (F.col("at.ln") == F.col("l1")), "left").where("times > 1 or d1 is not null").select("s", "s2", "at", F.col("d1").isNotNull().alias("all"))
-    return lines.select("doc_id", "ln", "s", "s2").join(marked, ["s", "s2"]).where(F.col("all") | (F.struct("doc_id", "ln") > F.col("at"))).select("doc_id", "ln")
-
-
-def _place(doc: Column, lnn: Column, i: int) -> tuple[Column, Column]:
-    return doc.alias(f"d{i}"), F.shiftright(lnn, 32).cast("int").alias(f"l{i}")
-
-
-def _met(mine: DataFrame, theirs: DataFrame, num: int, den: int) -> DataFrame:
-    """Postings that meet in a token: of lines _1 in mine and lines _2 before them in theirs, as far as the filters let them."""
-    x, y = (p.select("t", *(F.col(c).alias(f"{c}_{i}") for c in ("doc_id", "lnn", "sketch", "pos"))) for p, i in ((mine, 1), (theirs, 2)))
-    n1, n2 = F.col("lnn_1").bitwiseAND(0xFFFFFFFF), F.col("lnn_2").bitwiseAND(0xFFFFFFFF)
-    later = (F.col("doc_id_1") > F.col("doc_id_2")) | ((F.col("doc_id_1") == F.col("doc_id_2")) & (F.col("lnn_1") > F.col("lnn_2")))
-    apart = F.bit_count(F.col("sketch_1").bitwiseXOR(F.col("sketch_2")))
-    meets = later & (apart * (num + den) <= (n1 + n2) * (den - num)) & (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (F.least(n1 - F.col("pos_1"), n2 - F.col("pos_2")) * (num + den) >= (n1 + n2) * num)
-    return x.join(y.hint("shuffle_hash"), "t").where(meets).withColumn("apart", apart)
-
-
-def _similar(docs: DataFrame, pairs: DataFrame, ranks: str, num: int, den: int) -> DataFrame:
-    """(d1, l1) of the pairs (d1, l1, d2, l2) of lines whose sets of words are similar enough."""
+    low, high = (F.expr(f"aggregate(k, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(shiftright(x, {at}) & 63 as int)))") for at in (0, 6))
+    wide = materialize(ranked.select("doc_id", F.expr("shiftleft(cast(ln as bigint), 32) | size(k)").alias("lnn"), F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), "k").alias("s2"), low.alias("low"), high.alias("high"), prefix.alias("prefix")).where(n > 0), "op9-wide")
+    classes = wide.groupBy("s", "s2").agg(F.min(F.struct("doc_id", "lnn")).alias("at"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("low", "high", "prefix")))
+    classes = materialize(classes.select("s", "s2", "at.doc_id", "at.lnn", "times", "low", "high", "prefix"), "op9-classes")
+    lines = materialize(wide.select("doc_id", "lnn", "s", "s2"), "op9-lines")
+    drop(wide)
+    shared, first = _shared(classes, num, den)
+    pairs = materialize(_with_hubs(shared, classes, num, den), "op9-hubs")
+    nearest = materialize(_nearest(pairs), "op9-nearest")
+    dead = materialize(_similar(docs, nearest, num, den), "op9-dead")
+    rest = pairs.unionByName(_met(shared.join(first.where("k > 2").select("sig"), "sig", "left_semi"), dead, num, den))
+    rest = rest.join(dead, ["d1", "l1"], "left_anti").join(nearest, ["d1", "l1", "d2", "l2"], "left_anti")
+    rest = materialize(rest.groupBy("d1", "l1", "d2", "l2").agg(F.min("apart").alias("apart")), "op9-rest")
+    drop(shared, first, pairs, nearest)
+    nearest = materialize(_nearest(rest), "op9-nearest")
+    if not nearest.isEmpty():
+        dead = materialize(dead.unionByName(_similar(docs, nearest, num, den)), "op9-dead")
+        others = materialize(rest.drop("apart").join(dead, ["d1", "l1"], "left_anti").join(nearest, ["d1", "l1", "d2", "l2"], "left_anti"), "op9-others")
+        if not others.isEmpty():
+            dead = materialize(dead.unionByName(_similar(docs, others, num, den)), "op9-dead")
+    marked = classes.join(dead, (F.col("doc_id") == F.col("d1")) & (_line("lnn") == F.col("l1")), "left").where("times > 1 or d1 is not null").select("s", "s2", F.struct("doc_id", "lnn").alias("at"), F.col("d1").isNotNull().alias("all"))
+    return lines.join(marked, ["s", "s2"]).where(F.col("all") | (F.struct("doc_id", "lnn") > F.col("at"))).select("doc_id", _line("lnn").alias("ln"))
+
+
+def _shared(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Postings that several classes have, with the rank of the hub of each; and how many have each."""
+    posted = postings(classes, num, den)
+    first = posted.groupBy("sig").agg(F.count("*").alias("k"), F.min("rank").alias("hub"))
+    first = materialize(first.where("k > 1"), "op9-first")
+    may = _bit_test(_bitmap(first.select(F.xxhash64("sig").alias("h")), "h"), F.xxhash64("sig"))
+    return materialize(posted.where(may).join(first.drop("k").hint("shuffle_hash"), "sig"), "op9-shared"), first  # one row a signature in first
+
+
+def _with_hubs(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(d1, l1, d2, l2, apart): lines and the hubs of their postings, the later one first, as far as the filters let them."""
+    seen = shared.where("rank <> hub").select("hub", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "lnn", "low", "high"))).distinct()
+    both = seen.join(classes.select(_rank().alias("hub"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "lnn", "low", "high"))), "hub")
+    both = both.withColumn("apart", _apart("1", "2")).where(_near(_size("lnn1"), _size("lnn2"), F.col("apart"), num, den))
+    x, y = (F.struct(F.col(f"doc_id{i}").alias("d"), F.col(f"lnn{i}").alias("l")) for i in (1, 2))
+    ordered = both.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"), "apart").where("x <> y")
+    return _places(ordered.select(F.col("x.d").alias("d1"), F.col("x.l").alias("l1"), F.col("y.d").alias("d2"), F.col("y.l").alias("l2"), "apart"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each line the pair with the least distance of sketches."""
+    return pairs.groupBy("d1", "l1").agg(F.min(F.struct("apart", "d2", "l2")).alias("m")).select("d1", "l1", "m.d2", "m.l2")
+
+
+def _places(pairs: DataFrame) -> DataFrame:
+    """Places as document and number of line."""
+    return pairs.withColumns({"l1": _line("l1"), "l2": _line("l2")}).select("d1", "l1", "d2", "l2", *(c for c in pairs.columns if c == "apart"))
+
+
+def _met(shared: DataFrame, dead: DataFrame, num: int, den: int) -> DataFrame:
+    """(d1, l1, d2, l2, apart): lines that aren't dead, and lines before them that share a posting, as far as the filters let them."""
+    may = _bit_test(_bitmap(dead.select(F.xxhash64("d1", "l1").alias("h")), "h"), F.xxhash64("doc_id", _line("lnn")))
+    checked = shared.where(may).join(dead, (F.col("doc_id") == F.col("d1")) & (_line("lnn") == F.col("l1")), "left_anti")
+    alive = shared.where(~may).unionByName(checked)
+    x, y = (p.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("doc_id", "lnn", "low", "high", "pos", "prior"))) for p, i in ((alive, 1), (shared, 2)))
+    n1, n2 = _size("lnn1"), _size("lnn2")
+    overlap = F.least("pos1", "pos2") + F.least(n1 - F.col("pos1"), n2 - F.col("pos2"))
+    # lines that agree in the word before, too, have met at the pair before
+    new = F.coalesce(F.col("prior1") != F.col("prior2"), F.lit(True))
+    meets = new & _before("doc_id1", "lnn1", "doc_id2", "lnn2") & _near(n1, n2, _apart("1", "2"), num, den) & (overlap * (num + den) >= (n1 + n2) * num)
+    pairs = x.join(y, "sig").where(meets).groupBy("doc_id1", "lnn1", "doc_id2", "lnn2").agg(F.min(_apart("1", "2")).alias("apart"))
+    return _places(pairs.withColumnsRenamed({"doc_id1": "d1", "lnn1": "l1", "doc_id2": "d2", "lnn2": "l2"}))
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(d1, l1), each once, of the pairs (d1, l1, d2, l2) of lines whose sets of words are similar enough."""
     ends = pairs.select(F.col("d1").alias("doc_id"), F.col("l1").alias("ln")).unionByName(pairs.select(F.col("d2").alias("doc_id"), F.col("l2").alias("ln"))).distinct()
     ends = materialize(ends, "op9-places")
     place = F.xxhash64("doc_id", "ln")
@@ -149,19 +236,23 @@ def _similar(docs: DataFrame, pairs: DataFrame, ranks: str, num: int, den: int)
     return both.where(same * den >= (F.size("k1") + F.size("k2") - same) * num).select("d1", "l1").distinct()
 
 
-def dedup_documents(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the kept lines as text, and _lines, _removed (numbers of lines)."""
-    gone = removed_lines(docs, num, den, id_col, text_col).groupBy("doc_id").agg(F.collect_set("ln").alias("_gone"))
-    gone = materialize(gone.withColumnRenamed("doc_id", "_id"), "op9-gone")
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
+def dedup_documents(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "_lines", n_removed: str = "_removed") -> DataFrame:
+    """The documents with the kept lines as text, and numbers of lines before and of those that went."""
+    key, lost = fresh(docs, "_id"), fresh(docs, "_gone")
+    gone = removed_lines(docs, num, den, id_col, text_col).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("ln").alias(lost))
+    gone = materialize(gone, "op9-gone")
+    cut = fresh(docs, "_cut")  # a column of its own, or lambdas would split the text again for each line
+    split = F.split(F.col(text_col).cast("string"), "\n", -1).alias(cut)
+    lines = F.col(cut)
+    others = [c for c in docs.columns if c not in (n_lines, n_removed)]
     # only documents that may lose lines are shuffled
-    may = F.coalesce(_bit_test(_bitmap(gone.select(F.xxhash64("_id").alias("d")), "d"), F.xxhash64(F.col(id_col).cast("long"))), F.lit(False))
-    out = docs.where(may).join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
-    fewer = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(fewer)
-    names = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    out = out.select(*names, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
-    whole = docs.where(~may).select(*(F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"), F.lit(0).cast("long").alias("_removed"))
+    may = F.coalesce(_bit_test(_bitmap(gone.select(F.xxhash64(key).alias("d")), "d"), F.xxhash64(F.col(id_col).cast("long"))), F.lit(False))
+    out = docs.where(may).join(gone, F.col(id_col).cast("long") == F.col(key), "left").select("*", split)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    kept = F.when(F.col(lost).isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    total = F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines)
+    out = out.select(*(kept.alias(c) if c == text_col else F.col(c) for c in others), total, F.coalesce(F.size(lost), F.lit(0)).cast("long").alias(n_removed))
+    whole = docs.where(~may).select("*", split).select(*(F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in others), total, F.lit(0).cast("long").alias(n_removed))
     return whole.unionByName(out)
 
 
