@@ -19,7 +19,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import delete, documents, drop, fresh, made_in, materialize, read_table
+from quarrylight.llm.common import delete, documents, drop, fresh, made_in, materialize, read_table, settle
 from quarrylight.llm.op1_mixing import mix
 from quarrylight.llm.op2_quality import keep_good
 from quarrylight.llm.op7_ngram_join import ngram_join
@@ -40,7 +40,7 @@ def stage(f: Callable) -> Callable:
         for path in [x for x in _left if not any(x.rpartition("/")[2] in file for file in read)]:
             delete(spark, path)
             _left.remove(path)
-        spark._jvm.System.gc()  # files of shuffles that are over go when the driver finds them
+        settle(spark)
         with made_in() as made:
             out = f(spark, docs, sf_dir)
         _left.extend(made)

@@ -59,11 +59,16 @@ def delete(spark: SparkSession, path: str) -> bool:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that materialize returned and that nothing will read again. Files of shuffles that led to them go when
-    the driver's JVM finds that nothing refers to them, so it is asked to look."""
+    """Delete tables that materialize returned and that nothing will read again."""
     for t in tables:
         delete(t.sparkSession, t.table_path)
-    tables[0].sparkSession._jvm.System.gc()
+    settle(tables[0].sparkSession)
+
+
+def settle(spark: SparkSession) -> None:
+    """Files of shuffles go when the driver's JVM finds that nothing refers to them any more: ask it to look, after tables
+    that end lineage were written."""
+    spark._jvm.System.gc()
 
 
 def drop_tables(spark: SparkSession) -> bool:
