@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import delete, drop, made_in, materialize, new_path  # noqa: F401  operators take them from here
+from ..sources.tables import delete, drop, made_in, materialize, new_path, settle  # noqa: F401  operators take them from here
 
 #: Records that cross to Python at once; a slice of SLICE_BYTES of them is worked on at a time.
 BATCH_ROWS = 512
@@ -56,6 +56,31 @@ def hashed_sample(texts: DataFrame, n: int, most_chars: int = 20_000) -> DataFra
     return fit.where(F.col("h") <= F.lit(limit).cast("long")).select("text").distinct()
 
 
+# --- bitmaps as subqueries, in DataFrame operations ----------------------------------------------------------------------
+
+BITS_LEAST, BITS_MOST = 1 << 20, 1 << 27
+
+
+class Bitmap:
+    """Which keys may be in a table: each sets one of some bits a key, up to 2^27 (16 MB) and beyond that fewer a key, so that
+    it lets more through, never less. It is a scalar subquery: plans only name it, and executors get it once."""
+
+    def __init__(self, keys: DataFrame, *columns: str, bits: int = 8):
+        self.size = BITS_LEAST
+        while self.size < min(bits * keys.count(), BITS_MOST):
+            self.size *= 2
+        at = F.xxhash64(*columns).bitwiseAND(self.size - 1)
+        words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v"))
+        every = keys.sparkSession.range(self.size // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+        parts = every.groupBy(F.floor(F.col("w") / 1024).alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("x"))
+        whole = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("b", F.transform("x", lambda x: x["v"]).alias("x")))).alias("p"))
+        self.table = materialize(whole.select(F.flatten(F.transform("p", lambda p: p["x"])).alias("t")), "bits")
+
+    def has(self, *key: Column | str) -> Column:
+        at = F.xxhash64(*key).bitwiseAND(self.size - 1)
+        return F.getbit(F.get(self.table.scalar(), F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+
 # --- words -----------------------------------------------------------------------------------------------------------
 
 _ODD = np.uint64(1)
@@ -238,11 +263,11 @@ def bloom(keys: DataFrame, n_keys: int) -> np.ndarray:
         n *= 2
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n, bool)
+        packed = np.zeros(n // 8, np.uint8)
         for b in batches:
             for at in _bits(ids_of(b, "key"), n):
-                bits[at] = True
-        packed = np.packbits(bits, bitorder="little").reshape(-1, PIECE_BITS // 8)
+                np.bitwise_or.at(packed, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        packed = packed.reshape(-1, PIECE_BITS // 8)
         for i in np.flatnonzero(packed.any(1)):
             yield pa.record_batch({"piece": np.array([i]), "bits": pa.array([packed[i].tobytes()], pa.binary())})
 

@@ -30,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, documents, ids_of, in_bloom, keyed_texts, known_ids, list_array, materialize, mix, runs, slices, small_batches, sorted_groups, spaced
+from .common import Bitmap, Words, bloom, documents, ids_of, in_bloom, keyed_texts, known_ids, list_array, materialize, mix, runs, settle, slices, small_batches, sorted_groups, spaced
 from .components import connected_components
 
 _TEXT = spaced(lower=True)
-COPIES_MOST = 1_000_000
 TILE, NEAREST = 192, 16
 _A, _B, _SEG = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
 
@@ -135,9 +134,9 @@ def signatures_of(s: np.ndarray, bands: Bands, plan: dict[int, tuple[int, int, i
 
 def _sketch(s: np.ndarray) -> np.ndarray:
     """Bit i is the parity of the shingles that fall on it: sketches differ in at most as many bits as sets in shingles.
-    There are at least twice as many bits as shingles, a power of two; half as many are the two halves' difference."""
-    bits = 1024
-    while bits < 2 * len(s):
+    There are at least as many bits as shingles, a power of two; half as many are the two halves' difference."""
+    bits = 512
+    while bits < len(s):
         bits *= 2
     odd = np.bincount((mix(s + _SEG) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
@@ -150,12 +149,6 @@ def _folded(sketches: pa.ListArray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in each])
 
 
-def _skip(ids: np.ndarray, valid: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    if not len(copies):
-        return ~valid
-    return ~valid | (copies[np.minimum(np.searchsorted(copies, ids), len(copies) - 1)] == ids)
-
-
 class Join:
     """One similarity join; each method is a step of it and returns a table."""
 
@@ -177,34 +170,32 @@ class Join:
 
         return self.docs.mapInArrow(work, "doc_id long, n long, a long, b long")
 
-    def signatures(self, copies, bands: Bands, plan: dict) -> DataFrame:
+    def signatures(self, docs: DataFrame, bands: Bands, plan: dict) -> DataFrame:
         """(sig, doc_id)."""
         shingle = self.shingle
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, valid = known_ids(batch)
-                skip = _skip(ids, valid, copies.value)
+                ids = ids_of(batch)
                 for lo, _, buf, offsets in slices(batch):
-                    sigs = [signatures_of(s, bands, plan) if len(s) and not skip[lo + i] else np.empty(0, np.uint64) for i, s in enumerate(shingle_sets(buf, offsets, shingle))]
+                    sigs = [signatures_of(s, bands, plan) if len(s) else np.empty(0, np.uint64) for s in shingle_sets(buf, offsets, shingle)]
                     each = np.concatenate(sigs)
                     if len(each):
                         yield pa.record_batch({"sig": each.view(np.int64), "doc_id": np.repeat(ids[lo : lo + len(sigs)], [len(x) for x in sigs])})
 
-        return self.docs.mapInArrow(work, "sig long, doc_id long")
+        return docs.mapInArrow(work, "sig long, doc_id long")
 
-    def sharers(self, copies, bands: Bands, plan: dict, shared) -> DataFrame:
+    def sharers(self, docs: DataFrame, bands: Bands, plan: dict, shared) -> DataFrame:
         """(doc_id, sigs, grams, sketch) of the documents with a signature that passes the filter."""
         shingle = self.shingle
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, valid = known_ids(batch)
-                skip = _skip(ids, valid, copies.value)
+                ids = ids_of(batch)
                 for lo, _, buf, offsets in slices(batch):
                     out = []
                     for i, s in enumerate(shingle_sets(buf, offsets, shingle)):
-                        if len(s) and not skip[lo + i]:
+                        if len(s):
                             sigs = signatures_of(s, bands, plan)
                             sigs = sigs[in_bloom(sigs, shared.value)]
                             if len(sigs):
@@ -213,7 +204,7 @@ class Join:
                         lists = [list_array(np.concatenate([x[j] for x in out]), np.array([len(x[j]) for x in out])) for j in (1, 2, 3)]
                         yield pa.record_batch({"doc_id": np.array([x[0] for x in out], np.int64), "sigs": lists[0], "grams": lists[1], "sketch": lists[2]})
 
-        return self.docs.mapInArrow(work, "doc_id long, sigs array<long>, grams array<long>, sketch array<long>")
+        return docs.mapInArrow(work, "doc_id long, sigs array<long>, grams array<long>, sketch array<long>")
 
     def verified(self, pairs: DataFrame, sharers: DataFrame) -> DataFrame:
         """(a, b) of the pairs whose sets are similar enough."""
@@ -225,7 +216,8 @@ class Join:
                 same = np.array([similar(x[i].values.to_numpy(), y[i].values.to_numpy(), num, den) for i in range(len(x))], bool)
                 yield pa.record_batch({"a": ids_of(batch, "a")[same], "b": ids_of(batch, "b")[same]})
 
-        grams = sharers.select("doc_id", "grams")
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "op7-ends")
+        grams = sharers.where(Bitmap(ends, "doc_id").has("doc_id")).select("doc_id", "grams")  # sets of others needn't be shuffled
         both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
         return both.select("a", "b", "ga", "gb").mapInArrow(work, "a long, b long")
 
@@ -272,22 +264,19 @@ def ngram_join(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, i
     known = sets.where("n > 0 and doc_id is not null")
     classes = materialize(known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "op7-classes")
     again = materialize(known.join(classes, ["a", "b", "n"]).where("doc_id > rep").select("doc_id", "rep"), "op7-copies")
-    # an id on several rows keeps its signatures, since its rows may differ
-    several = known.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    skipped = again.select("doc_id").join(several, "doc_id", "left_anti")
-    found = np.empty(0, np.int64)
-    if again.count() <= COPIES_MOST:
-        found = np.sort(skipped.toArrow().column("doc_id").to_numpy())  # COPIES_MOST numbers at most
-    copies = spark.sparkContext.broadcast(found)
+    # an id on several rows keeps its signatures, since its rows may differ; copies that the bitmap lets through only cost time
+    several = materialize(known.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "op7-several")
+    some = join.docs.where(Bitmap(classes.select(F.col("rep").alias("doc_id")).unionByName(several), "doc_id", bits=64).has("doc_id") & F.col("doc_id").isNotNull())
     bands = Bands(num, den, known.agg(F.max("n")).first()[0] or 1)
     low = F.array(*[F.lit(int(x)) for x in bands.low])
     per = {r["k"]: r["c"] for r in classes.select((F.size(F.filter(low, lambda x: x <= F.col("n"))) - 1).alias("k")).groupBy("k").agg(F.count("*").alias("c")).collect()}
     plan = {k: bands.allocate(k, per.get(k, 0) + per.get(k + 1, 0)) for k in {*per, *(k - 1 for k in per)} if k >= 0}
-    buckets = materialize(join.signatures(copies, bands, plan).groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("sig", "hub"), "op7-buckets")
+    buckets = materialize(join.signatures(some, bands, plan).groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("sig", "hub"), "op7-buckets")
     links = again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(several, F.col("a") == F.col("doc_id"), "left_semi")
     if n_shared := buckets.count():
         shared = spark.sparkContext.broadcast(bloom(buckets.select(F.col("sig").alias("key")), n_shared))
-        sharers = materialize(join.sharers(copies, bands, plan, shared), "op7-sharers")
+        sharers = materialize(join.sharers(some, bands, plan, shared), "op7-sharers")
+        settle(spark)
         members = materialize(sharers.select("doc_id", F.explode("sigs").alias("sig")).join(buckets, "sig"), "op7-members")
         votes = members.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("k"))
         stars = votes.groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("hub")).alias("h"))).alias("x")).select((-F.col("x.h")).alias("a"), F.col("doc_id").alias("b"))
@@ -296,6 +285,7 @@ def ngram_join(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, i
         while True:
             links = materialize(links.unionByName(join.verified(pairs, sharers)), "op7-links")
             components = materialize(connected_components(links, "op7"), "op7-components")
+            settle(spark)
             if not more:  # all that was left has been held against each other
                 break
             tried = pairs if tried is None else tried.unionByName(pairs)

@@ -15,8 +15,8 @@ Equal sets are one class before anything is joined, by minima that are combined
 a third of all documents share is one row. Of each posting the class with most equal lines (of those the first) is its
 hub, again by combined minima; every line is held against the nearest of its hubs, which settles most lines of a group of near
 copies in one comparison each, and all of postings with two classes. Only lines that stay
-are joined with all earlier lines of their postings; the nearest is tried first, then the others. Bitmaps of BITMAP bits
-(subqueries; they may only let too much through) keep what can't matter out of shuffles.
+are joined with all earlier lines of their postings; the nearest is tried first, then the others. Bitmaps (subqueries; they may
+only let too much through) keep what can't matter out of shuffles.
 
 Defined cases: lines end at newlines; a line without words is never removed and matches nothing; lines may be of any length;
 null text has no lines and stays null; rows with a null id keep their lines and match nothing; rows that share an id are one
@@ -30,10 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop, fresh, materialize
+from .common import Bitmap, documents, drop, fresh, materialize
 
 NUM, DEN = 4, 5
-BUCKETS, BITMAP = 1 << 16, 1 << 24
+BUCKETS = 1 << 16
 #: xxhash64 of the empty string.
 _EMPTY = -7444071767201028348
 
@@ -84,22 +84,6 @@ def _prefix_length(n: Column, num: int, den: int) -> Column:
     return F.least(n.cast("long"), F.floor(((2 * n + m) * (num + den) - 3 * num * (n + m)) / F.lit(num + den)) + 2).cast("int")
 
 
-def _bit_test(bits: Column, key: Column) -> Column:
-    at = F.pmod(key, F.lit(BITMAP))
-    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
-
-
-def _bitmap(keys: DataFrame, key: str) -> Column:
-    """BITMAP bits as an array of longs, the key's bit set; a scalar subquery, so that plans only name it."""
-    at = F.pmod(F.col(key), F.lit(BITMAP))
-    words = keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod({key}, {BITMAP}), 64) as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-    every = keys.sparkSession.range(BITMAP // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
-    parts = every.groupBy(F.floor(F.col("w") / 1024).alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("x"))
-    parts = parts.select("b", F.transform("x", lambda x: x["v"]).alias("x"))
-    whole = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("p")).select(F.flatten(F.transform("p", lambda p: p["x"])).alias("t"))
-    return materialize(whole, "op9-bits").scalar()
-
-
 def _size(lnn: str) -> Column:
     return F.col(lnn).bitwiseAND(0xFFFFFFFF)
 
@@ -184,8 +168,7 @@ def _shared(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFram
     posted = postings(classes, num, den)
     first = posted.groupBy("sig").agg(F.count("*").alias("k"), F.min("rank").alias("hub"))
     first = materialize(first.where("k > 1"), "op9-first")
-    may = _bit_test(_bitmap(first.select(F.xxhash64("sig").alias("h")), "h"), F.xxhash64("sig"))
-    return materialize(posted.where(may).join(first.drop("k").hint("shuffle_hash"), "sig"), "op9-shared"), first  # one row a signature in first
+    return materialize(posted.where(Bitmap(first, "sig").has("sig")).join(first.drop("k").hint("shuffle_hash"), "sig"), "op9-shared"), first  # one row a signature in first
 
 
 def _with_hubs(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -210,7 +193,7 @@ def _places(pairs: DataFrame) -> DataFrame:
 
 def _met(shared: DataFrame, dead: DataFrame, num: int, den: int) -> DataFrame:
     """(d1, l1, d2, l2, apart): lines that aren't dead, and lines before them that share a posting, as far as the filters let them."""
-    may = _bit_test(_bitmap(dead.select(F.xxhash64("d1", "l1").alias("h")), "h"), F.xxhash64("doc_id", _line("lnn")))
+    may = Bitmap(dead, "d1", "l1").has("doc_id", _line("lnn"))
     checked = shared.where(may).join(dead, (F.col("doc_id") == F.col("d1")) & (_line("lnn") == F.col("l1")), "left_anti")
     alive = shared.where(~may).unionByName(checked)
     x, y = (p.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("doc_id", "lnn", "low", "high", "pos", "prior"))) for p, i in ((alive, 1), (shared, 2)))
@@ -227,8 +210,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame
     """(d1, l1), each once, of the pairs (d1, l1, d2, l2) of lines whose sets of words are similar enough."""
     ends = pairs.select(F.col("d1").alias("doc_id"), F.col("l1").alias("ln")).unionByName(pairs.select(F.col("d2").alias("doc_id"), F.col("l2").alias("ln"))).distinct()
     ends = materialize(ends, "op9-places")
-    place = F.xxhash64("doc_id", "ln")
-    some = lines_of(docs).where(_bit_test(_bitmap(ends.select(place.alias("d")), "d"), place))
+    some = lines_of(docs).where(Bitmap(ends, "doc_id", "ln").has("doc_id", "ln"))
     sets = materialize(some.join(ends, ["doc_id", "ln"]).select("doc_id", "ln", _words(F.col("line")).alias("k")), "op9-sets")
     one, two = (sets.select(F.col("doc_id").alias(f"d{i}"), F.col("ln").alias(f"l{i}"), F.col("k").alias(f"k{i}")) for i in (1, 2))
     same = F.size(F.array_intersect("k1", "k2"))
@@ -246,7 +228,7 @@ def dedup_documents(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str
     lines = F.col(cut)
     others = [c for c in docs.columns if c not in (n_lines, n_removed)]
     # only documents that may lose lines are shuffled
-    may = F.coalesce(_bit_test(_bitmap(gone.select(F.xxhash64(key).alias("d")), "d"), F.xxhash64(F.col(id_col).cast("long"))), F.lit(False))
+    may = Bitmap(gone, key).has(F.col(id_col).cast("long"))
     out = docs.where(may).join(gone, F.col(id_col).cast("long") == F.col(key), "left").select("*", split)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
     kept = F.when(F.col(lost).isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
