@@ -7,7 +7,7 @@ H + 2 common words two stand side by side in both sets, within the first (n - o)
 line is that long, and its postings are the pairs of neighbours in it (where H + 2 may be more than o, as in short sets at
 low thresholds, also the single words of the usual prefix). A pair of words is shared by chance far more rarely than a
 word, which a corpus of any size has in a fixed share of its lines. Lengths, the places where sets meet (positional filter)
-and two sketches of 64 parities, which differ in at most as many bits as the sets in words, leave out more; candidates are
+and a sketch of 128 parities, which differ in at most as many bits as the sets in words, leave out more; candidates are
 verified on whole sets. A line goes if a line before it (by document id, then by line) is as similar as that or equal;
 lines are judged on the input, not on what is left.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, documents, drop, fresh, materialize
+from .common import Bitmap, documents, drop, fresh, materialize, settle
 
 NUM, DEN = 4, 5
 BUCKETS = 1 << 16
@@ -125,7 +125,8 @@ def _rank() -> Column:
 
 def _apart(i: str, j: str) -> Column:
     """At most as many as the sets differ in words."""
-    return F.greatest(*(F.bit_count(F.col(f"{c}{i}").bitwiseXOR(F.col(f"{c}{j}"))) for c in ("low", "high")))
+    low, high = (F.col(f"{c}{i}").bitwiseXOR(F.col(f"{c}{j}")) for c in ("low", "high"))
+    return F.bit_count(low.bitwiseXOR(high)) + F.bit_count(high)
 
 
 def _near(n1: Column, n2: Column, apart: Column, num: int, den: int) -> Column:
@@ -139,20 +140,22 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     ranked = lines_of(docs).select("doc_id", "ln", _ranked(_words(F.col("line")), rarity(docs)).alias("k"))
     n = F.size("k")
     prefix = F.when(n * (den - num) >= num, F.transform(F.slice("k", F.lit(1), _prefix_length(n, num, den)), lambda x: F.hash(x))).otherwise(F.array().cast("array<int>"))
-    low, high = (F.expr(f"aggregate(k, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(shiftright(x, {at}) & 63 as int)))") for at in (0, 6))
-    wide = materialize(ranked.select("doc_id", F.expr("shiftleft(cast(ln as bigint), 32) | size(k)").alias("lnn"), F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), "k").alias("s2"), low.alias("low"), high.alias("high"), prefix.alias("prefix")).where(n > 0), "op9-wide")
+    # parities of all words, and of those with a set seventh bit: together 128
+    low, high = (F.expr(f"aggregate(k, 0L, (acc, x) -> acc ^ shiftleft({bit}, cast(x & 63 as int)))") for bit in ("1L", "shiftright(x, 6) & 1L"))
+    every = materialize(ranked.select("doc_id", F.expr("shiftleft(cast(ln as bigint), 32) | size(k)").alias("lnn"), F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), "k").alias("s2"), low.alias("low"), high.alias("high"), prefix.alias("prefix")), "op9-wide")
+    wide = every.where(_size("lnn") > 0)
     classes = wide.groupBy("s", "s2").agg(F.min(F.struct("doc_id", "lnn")).alias("at"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("low", "high", "prefix")))
     classes = materialize(classes.select("s", "s2", "at.doc_id", "at.lnn", "times", "low", "high", "prefix"), "op9-classes")
     lines = materialize(wide.select("doc_id", "lnn", "s", "s2"), "op9-lines")
-    drop(wide)
-    shared, first = _shared(classes, num, den)
+    drop(every)
+    shared = _shared(classes, num, den)
     pairs = materialize(_with_hubs(shared, classes, num, den), "op9-hubs")
     nearest = materialize(_nearest(pairs), "op9-nearest")
     dead = materialize(_similar(docs, nearest, num, den), "op9-dead")
-    rest = pairs.unionByName(_met(shared.join(first.where("k > 2").select("sig"), "sig", "left_semi"), dead, num, den))
+    rest = pairs.unionByName(_met(shared.where("more"), dead, num, den))
     rest = rest.join(dead, ["d1", "l1"], "left_anti").join(nearest, ["d1", "l1", "d2", "l2"], "left_anti")
     rest = materialize(rest.groupBy("d1", "l1", "d2", "l2").agg(F.min("apart").alias("apart")), "op9-rest")
-    drop(shared, first, pairs, nearest)
+    drop(shared, pairs, nearest)
     nearest = materialize(_nearest(rest), "op9-nearest")
     if not nearest.isEmpty():
         dead = materialize(dead.unionByName(_similar(docs, nearest, num, den)), "op9-dead")
@@ -163,12 +166,15 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     return lines.join(marked, ["s", "s2"]).where(F.col("all") | (F.struct("doc_id", "lnn") > F.col("at"))).select("doc_id", _line("lnn").alias("ln"))
 
 
-def _shared(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Postings that several classes have, with the rank of the hub of each; and how many have each."""
+def _shared(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings that several classes have, with the rank of the hub of each and whether there are more than it and another."""
     posted = postings(classes, num, den)
-    first = posted.groupBy("sig").agg(F.count("*").alias("k"), F.min("rank").alias("hub"))
-    first = materialize(first.where("k > 1"), "op9-first")
-    return materialize(posted.where(Bitmap(first, "sig").has("sig")).join(first.drop("k").hint("shuffle_hash"), "sig"), "op9-shared"), first  # one row a signature in first
+    counted = posted.groupBy("sig").agg(F.count("*").alias("k"), F.min("rank").alias("hub"))
+    first = materialize(counted.where("k > 1").select("sig", "hub", (F.col("k") > 2).alias("more")), "op9-first")
+    settle(classes.sparkSession)
+    out = materialize(posted.where(Bitmap(first, "sig").has("sig")).join(first.hint("shuffle_hash"), "sig"), "op9-shared")  # one row a signature in first
+    drop(first)
+    return out
 
 
 def _with_hubs(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
