@@ -19,7 +19,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import delete, documents, drop, fresh, made_in, materialize, read_table, settle
+from quarrylight.llm.common import Bitmap, delete, documents, drop, fresh, made_in, materialize, read_table, settle
 from quarrylight.llm.op1_mixing import mix
 from quarrylight.llm.op2_quality import keep_good
 from quarrylight.llm.op7_ngram_join import ngram_join
@@ -70,6 +70,12 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return out, row
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs but for those whose key is in gone; only those that may be are shuffled with their texts."""
+    may = Bitmap(gone, key, bits=64).has(key)
+    return docs.where(~may).unionByName(docs.where(may).join(gone, key, "left_anti"))
+
+
 @stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier line go, and documents that had words and have none left; n_chars follows the text."""
@@ -85,8 +91,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link at a Jaccard similarity of 0.8 of their five-word shingles, the one with the least row key stays."""
     keyed, key = with_row_key(docs)
-    gone = ngram_join(keyed, shingle=5, num=8, den=10, id_col=key).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+    gone = materialize(ngram_join(keyed, shingle=5, num=8, den=10, id_col=key).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "pipeline-gone")
+    return without(keyed, gone, key).select(*docs.columns)
 
 
 @stage
@@ -94,7 +100,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents go of which benchmark windows cover a twentieth or more."""
     keyed, key = with_row_key(docs)
     gone = decontaminate(keyed, read_table(spark, sf_dir, "benchmark"), id_col=key).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+    return without(keyed, materialize(gone, "pipeline-gone"), key).select(*docs.columns)
 
 
 @stage
