@@ -23,6 +23,7 @@ from .plans.planner import investigate
 from .sources.catalog import Catalog
 from .sources.repository import discover
 from .sources.tables import new_path
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,59 +181,33 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.corpus.select(F.col("n").alias("n_docs"), F.round("avgdl", 4).alias("avgdl4"))
 
 
-def benchmark_queries(spark: SparkSession, sf_dir: str, n: int | None = None, top_k: int = 10) -> DataFrame:
-    """The benchmark's texts as queries; with n only those of items below it."""
-    items = table(spark, sf_dir, "benchmark")
-    items = items if n is None else items.where(F.col("item_id") < n)
-    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(top_k).alias("top_k"))
+def benchmark_queries(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
+    """The benchmark's texts as queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(top_k).alias("top_k"))
 
 
-def _topk_sql(where: str = "") -> str:
-    return f"""WITH {_INDEX_SQL},
- asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(tokens) AS term FROM {tokens_sql('benchmark', 'item_id', 'text')}){where} GROUP BY ALL),
+_TOPK_SQL = f"""WITH {_INDEX_SQL},
+ asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(tokens) AS term FROM {tokens_sql('benchmark', 'item_id', 'text')}) GROUP BY ALL),
  scored AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * (dl / avgdl)))) AS s FROM postings JOIN asked USING (term) JOIN terms USING (term), corpus GROUP BY ALL),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, doc_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(s, 4) AS score4 FROM ranked WHERE rank <= 10"""
 
 
-_TOPK_SQL = _topk_sql(" WHERE item_id < 5")
-
-
 def _hits(found: DataFrame, id_col: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias(id_col), F.col("score").alias("score4"))
 
 
-def _topk(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
-    return _hits(search_documents(table(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir, n), "doc_id", F.col("text")), "doc_id")
-
-
-def _roundtrip(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
-    path = new_path(spark, "bm25")
-    Bm25Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).save(path)
-    return _hits(Bm25Index.load(spark, path).search(benchmark_queries(spark, sf_dir, n)), "doc_id")
-
-
 @query(_TOPK_SQL)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five benchmark texts, as its SQL has it, against all documents, without an index: postings of other terms are never
-    made. bm25_topk_whole takes all of them."""
-    return _topk(spark, sf_dir, 5)
+    """Every benchmark text against all documents, without an index: postings of other terms are never made."""
+    return _hits(search_documents(table(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir), "doc_id", F.col("text")), "doc_id")
 
 
 @query(_TOPK_SQL)
 def bm25_persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _roundtrip(spark, sf_dir, 5)
-
-
-@query(_topk_sql())
-def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text against all documents."""
-    return _topk(spark, sf_dir, None)
-
-
-@query(_topk_sql())
-def bm25_persist_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _roundtrip(spark, sf_dir, None)
+    path = new_path(spark, "bm25")
+    Bm25Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).save(path)
+    return _hits(Bm25Index.load(spark, path).search(benchmark_queries(spark, sf_dir)), "doc_id")
 
 
 @query(f"""
@@ -702,3 +677,29 @@ def catalog_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(ok.items()), "op string, ok boolean")
 
 
+#: Two repositories with a file of the same name, and one file for each batch of a stream.
+_SAME_NAMES = [("r1", "a.py", "def alpha():\n    return zebra()\n"), ("r2", "a.py", "def alpha():\n    return lion()\n")]
+_CROSSED = [("r", "a.py", "def fa():\n    return ga()\n\n\ndef ga():\n    return 1\n"), ("r", "b.py", "def fb():\n    return gb()\n\n\ndef gb():\n    return 2\n")]
+
+
+@query(values("word VARCHAR, repository_id VARCHAR, chunk_id VARCHAR", [(w, r, f"a.py::{c}") for w, r in (("lion", "r2"), ("zebra", "r1")) for c in ("alpha", "module")]))
+def bm25_multi_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of one id in two repositories are two chunks, in an index of both and in that of each."""
+    index = CodeIndex.from_table(spark.createDataFrame(_SAME_NAMES, "repository_id string, file string, source string"))
+    whole, out = tools.Tools(index), None
+    for word, repository in (("zebra", "r1"), ("lion", "r2")):
+        both = whole.keyword_search(word).join(tools.Tools(index, repository).keyword_search(word), ["repository_id", "chunk_id"], "left_semi")
+        found = both.select(F.lit(word).alias("word"), "repository_id", "chunk_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(values("caller VARCHAR, callee VARCHAR, line BIGINT", [("a.py::fa", "a.py::ga", 2), ("b.py::fb", "b.py::gb", 3)]))
+def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in batches, one of them again in a later version, have the edges of a whole build of the latest ones."""
+    base = new_path(spark, "stream")
+    later = ("r", "b.py", "\n" + _CROSSED[1][2])
+    for row in (*_CROSSED, later):
+        spark.createDataFrame([row], ingest.FILES).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        ingest.start_ingest(spark, f"{base}/in", f"{base}/out", once=True).awaitTermination(300)
+    return ingest.edges(spark, f"{base}/out").select("caller", "callee", F.col("line").cast("long").alias("line"))

@@ -30,6 +30,10 @@ ROLES = (
 )
 ROLE_PRIORITY = {"database": 0, "repository": 1, "service": 2, "auth": 3, "general": 4}
 
+#: What an identifier has that is more than one token; without it the token is all that _expand gives.
+_SEVERAL = "[._]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
+#: Texts without it have no such identifier: dots count only between letters and digits.
+_PLAIN = r"_|[A-Za-z0-9]\.[A-Za-z0-9]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 _ITEM = "array<struct<t:string,full:boolean>>"
 
 
@@ -62,15 +66,17 @@ def _expand(raw: Column) -> Column:
     dotted = F.contains(raw, F.lit("."))
     whole = F.array(F.struct(F.lower(raw).alias("t"), F.lit(True).alias("full")))
     parts = F.transform(F.split(raw, r"\."), lambda p: F.concat(F.when(dotted, F.array(_sub(p))).otherwise(_none()), _snake_parts(p)))
-    return F.concat(whole, F.flatten(parts))
+    return F.when(raw.rlike(_SEVERAL), F.concat(whole, F.flatten(parts))).otherwise(whole)
 
 
 def tokenize(text: Column) -> Column:
     """Search tokens of code or prose: each dotted identifier in lower case, then its parts. A part that repeats the token
     before it is left out, a whole identifier never; as a dropped part equals its predecessor, looking one back suffices."""
-    every = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), F.lit(0)), _expand))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), F.lit(0))
+    every = F.flatten(F.transform(found, _expand))
     kept = F.transform(F.array(every), lambda xs: F.filter(xs, lambda x, i: x["full"] | (x["t"] != F.get(xs, i - 1)["t"])))
-    return F.transform(F.get(kept, F.lit(0)), lambda x: x["t"])
+    general = F.transform(F.get(kept, F.lit(0)), lambda x: x["t"])
+    return F.when(text.rlike(_PLAIN), general).otherwise(F.transform(found, lambda w: F.lower(w)))
 
 
 def extract_keywords(question: Column) -> Column:

@@ -52,10 +52,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "top_k", "term").agg(F.count("*").alias("qtf"))
 
 
-def rank_hits(scored: DataFrame) -> DataFrame:
-    """scored: query_id, top_k, id, s. The best top_k of each query; ties and rounding errors go by id."""
+def rank_hits(scored: DataFrame, most: int) -> DataFrame:
+    """scored: query_id, top_k, id, s. The best top_k of each query; ties and rounding errors go by id. No top_k is over most:
+    as a literal it lets every task keep so many hits a query before they are shuffled."""
     order = Window.partitionBy("query_id").orderBy(F.round("s", 10).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k")).select("query_id", "rank", "id", F.round("s", 4).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.lit(most))
+    return ranked.where(F.col("rank") <= F.col("top_k")).select("query_id", "rank", "id", F.round("s", 4).alias("score"))
+
+
+def most_asked(queries: DataFrame) -> int:
+    return queries.agg(F.max("top_k")).first()[0] or 0
 
 
 @dataclass
@@ -84,7 +90,7 @@ class Bm25Index:
         asked = query_terms(queries.where("top_k > 0"))
         hits = self.postings.join(asked, "term").join(self.terms, "term").join(F.broadcast(self.corpus), F.lit(True))  # one row
         part = score(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), self.k1, self.b) * F.col("qtf")
-        return rank_hits(hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s")))
+        return rank_hits(hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s")), most_asked(queries))
 
     def cache(self) -> Bm25Index:
         for df in (self.postings, self.terms, self.corpus):
@@ -124,4 +130,4 @@ def search_documents(docs: DataFrame, queries: DataFrame, id_col: str, text: Col
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     hits = postings.join(asked, "term").join(terms, "term").join(F.broadcast(corpus), F.lit(True))
     part = score(F.col("tf"), F.col("dl"), idf(F.col("n"), F.col("df")), F.col("avgdl"), k1, b) * F.col("qtf")
-    return rank_hits(hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s")))
+    return rank_hits(hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s")), most_asked(queries))

@@ -16,7 +16,7 @@ from ..schemas import EDGE_COLUMNS
 
 _METHODS = ("method", "async_method")
 _CALLABLES = ("function", "async_function", "class")
-_SITE = ["repository_id", "file_ord", "call_ord"]
+_SITE = ["repository_id", "file", "call_ord"]
 _NONE = 9
 
 
@@ -58,7 +58,7 @@ def _named(name: Column, strict: bool, part: Column) -> Column:
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, files: DataFrame, strict: bool = False) -> DataFrame:
     """The edges of all repositories, one row a callee; edge_ord orders them by file, call and candidate."""
     symbols = symbols.withColumn("rank", F.struct("file_ord", "sym_ord"))
-    sites = calls.select(*_SITE, "file", "caller", "caller_name", "caller_parent", "func_kind", "name", "receiver", "raw", "local_type", "line", "call_expr")
+    sites = calls.select(*_SITE, "file_ord", "caller", "caller_name", "caller_parent", "func_kind", "name", "receiver", "raw", "local_type", "line", "call_expr")
     by_qname = _first(symbols, ["repository_id", "file", "qualified_name"], ["rank"], last=True).select("repository_id", F.col("file").alias("t_file"), F.col("qualified_name").alias("t_qname"), F.col("symbol_id").alias("callee"), "rank")
     imported = imported_symbols(imports, module_keys(files), symbols)
     methods = symbols.where(F.col("kind").isin(*_METHODS)).select("repository_id", F.col("name"), F.col("symbol_id").alias("callee"), "qualified_name", "rank")
@@ -100,6 +100,6 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, file
     for r in rules[1:]:
         every = every.unionByName(r)
     best = every.withColumn("least", F.min("rule").over(Window.partitionBy(*_SITE))).where("rule = least").drop("least")
-    edges = best.join(sites.select(*_SITE, "file", "caller", "line", "call_expr"), _SITE)
+    edges = best.join(sites.select(*_SITE, "file_ord", "caller", "line", "call_expr"), _SITE)
     order = F.array(F.col("file_ord"), F.col("call_ord"), F.col("rank.file_ord"), F.col("rank.sym_ord"))
     return edges.withColumn("edge_ord", order).select(*EDGE_COLUMNS, "rule")
