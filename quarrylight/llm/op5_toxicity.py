@@ -1,26 +1,30 @@
-"""Toxicity: a grammar of weighted finite-state transducers over clauses.
-
-A clause is what stands between sentence marks and line ends; its words become symbols: INSULT with a weight, THREAT,
-TARGET, NEGATION, REPORT or none. Five transducers read and pass on the symbols and give weights:
-  insult    the weight of each insult;
-  threat    a threat with a target within NEAR words after it;
-  target    an insult within NEAR words of a target, on either side;
-  negation  an insult within NEAR words after a negation (counts against);
-  report    an insult in a clause with reported speech before it (counts against).
-Their composition is built state by state as clauses need it. Only clauses with an insult or a threat are run; a
-document's score is a logistic function of what its matched clauses sum to, the heaviest of them, and how many they are.
+"""Toxicity: a composition of weighted finite-state transducers over clauses.
+
+A clause is what stands between sentence marks and line ends. The transducers rewrite its words, each reading what the one
+before has written:
+  lexicon   words to symbols: INSULT with its learned weight, THREAT, TARGET, NEGATION, REPORT or PASS;
+  ahead     from the clause's end: an insult that a target follows within NEAR symbols becomes AIMED, a threat that one
+            follows becomes a HIT, any other threat a PASS;
+  target    from its start, as the others: an insult within NEAR symbols after a target becomes AIMED;
+  negation  what is weighted within NEAR symbols after a negation gets the negation arc;
+  report    what is weighted after a verb of speech gets the report arc;
+  weigh     AIMED gets the aim arc, a HIT weighs as much as the threat arc.
+A symbol's weight is that of the lexicon times its arcs, a clause's the sum over its path. A document's score is a logistic
+function of the sum of its clauses' weights and of the heaviest (as it is, and levelling off); no word counts but through its clause. Arcs are learned
+within bounds that say what they mean (ARCS): a target makes an insult heavier, negation and report make it lighter.
+The composed machine is built state by state as clauses need it; only clauses with an insult or a threat are run.
 
 Insults are words and beginnings of words that stand in toxic documents far more often than in others (G-test over the
 labelled sample); beginnings because one stem has many endings. They are found by an Aho-Corasick automaton over the
 lower-cased text, at starts of words. Threats, targets, negations and verbs of reported speech are short fixed lists.
 
 Training rows: at most SAMPLE labelled documents of each class outside the held-out fold, chosen by a hash of their id,
-each whole. Half of them, again by a hash, choose the insults; weights are fitted on the others, so that chance finds of the
-first half weigh little.
+each whole. Two thirds of them, by a hash of the text, choose the insults; arcs and the logistic function are fitted on the
+others, so that chance finds of the first part weigh little.
 
 Defined cases: null and empty texts have no clause and the score of a text without a match; rows with a null id are scored
-and not held out; labels, lang, source and ids are no inputs; repeated rows score alike; without a label of either class
-every score is the share of label 1 (0 without any); an empty table gives an empty result.
+and not held out; labels, lang, source and ids are no inputs; texts of any length are read whole, one at a time; repeated rows score alike; without a label of either class
+every score is the share of label 1 (0 without any); of several labels or texts of an id the least counts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log
+from math import log, prod
 from zlib import crc32
 
 import ahocorasick
@@ -40,8 +44,9 @@ from .common import documents, keyed_texts, read_table, small_batches
 from .op2_quality import CUT, held_out, labelled_sample
 
 FOLDS, FOLD, SAMPLE, NEAR = 3, 1, 4000, 4
-STEM_LEAST, STEM_MOST, G_LEAST, RATIO_LEAST = 3, 8, 24.0, 8.0
-PASS, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+STEM_LEAST, STEM_MOST, G_LEAST, RATIO_LEAST = 3, 8, 12.0, 8.0
+PASS, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED, HIT = range(8)
+_WEIGHTED = (INSULT, AIMED, HIT)
 
 # Words of the closed lists, in English, French, German and Spanish.
 LISTS = {
@@ -51,47 +56,64 @@ LISTS = {
     REPORT: "said says say wrote writes claimed claims called calls quoted according dit dire sagt sagte schrieb dijo dice escribió",
 }
 _CLOSED = {w: k for k, v in LISTS.items() for w in v.split()}
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_CLAUSE = re.compile(r"[.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
-class Transducer:
-    """step(state, symbol) gives the next state and a weight; state 0 is where a clause begins."""
+#: Values that each arc may take; the first stands until others fit better.
+ARCS = {"aim": (1.5, 1.25, 2.0, 2.5), "negation": (0.4, 0.2, 0.5), "report": (0.5, 0.3, 0.6), "threat": (2.0, 1.0, 4.0)}
 
-    def __init__(self, step):
-        self.step = step
 
+def _near(opens: int, becomes: dict[int, int], otherwise: dict[int, int] | None = None):
+    """Rewrites symbols up to NEAR symbols after `opens`, others by `otherwise`; the state counts down."""
 
-def _within(opens: int, meets: int) -> Transducer:
-    """Weighs `meets` up to NEAR symbols after `opens`; the state counts down."""
-    return Transducer(lambda state, s: (NEAR if s == opens else max(state - 1, 0), float(s == meets and state > 0)))
+    def step(state: int, s: int) -> tuple[int, int, tuple[str, ...]]:
+        out = becomes.get(s, s) if state else (otherwise or {}).get(s, s)
+        return NEAR if s == opens else max(state - 1, 0), out, ()
 
+    return step
 
-TRANSDUCERS = {
-    "threat": _within(THREAT, TARGET),
-    "target": _within(TARGET, INSULT),
-    "aimed": _within(INSULT, TARGET),
-    "negation": _within(NEGATION, INSULT),
-    "report": Transducer(lambda state, s: (1 if s == REPORT else state, float(s == INSULT and state == 1))),
-}
+
+def _negation(state: int, s: int) -> tuple[int, int, tuple[str, ...]]:
+    return NEAR if s == NEGATION else max(state - 1, 0), s, ("negation",) if state and s in _WEIGHTED else ()
+
+
+def _report(state: int, s: int) -> tuple[int, int, tuple[str, ...]]:
+    return max(state, int(s == REPORT)), s, ("report",) if state and s in _WEIGHTED else ()
+
+
+def _weigh(state: int, s: int) -> tuple[int, int, tuple[str, ...]]:
+    return 0, s, ("aim",) if s == AIMED else ("threat",) if s == HIT else ()
 
 
 class Composed:
-    """The product of some transducers, whose states are made as they are met."""
+    """Transducers in series: step(state, symbol) gives the next state, the symbol for the next one, and arcs. States of the
+    composition are made as they are met."""
 
-    def __init__(self, parts: list[Transducer]):
+    def __init__(self, *parts):
         self.parts, self.arcs = parts, {}
 
-    def run(self, symbols: list[int]) -> np.ndarray:
-        state, total = (0,) * len(self.parts), np.zeros(len(self.parts))
+    def run(self, symbols: list[int]) -> list[tuple[int, tuple[str, ...]]]:
+        """What comes out for each symbol, with the arcs on its way."""
+        state, out = (0,) * len(self.parts), []
         for s in symbols:
             arc = self.arcs.get((state, s))
             if arc is None:
-                made = [p.step(q, s) for p, q in zip(self.parts, state, strict=True)]
-                arc = self.arcs[state, s] = tuple(q for q, _ in made), np.array([w for _, w in made])
+                states, now, labels = [], s, ()
+                for part, q in zip(self.parts, state, strict=True):
+                    q, now, own = part(q, now)
+                    states.append(q)
+                    labels += own
+                arc = self.arcs[state, s] = tuple(states), now, labels
             state = arc[0]
-            total += arc[1]
-        return total
+            out.append(arc[1:])
+        return out
+
+
+def _machines() -> tuple[Composed, Composed]:
+    """That which reads clauses from their end, and that which reads what it wrote from the start."""
+    ahead = Composed(_near(TARGET, {INSULT: AIMED, THREAT: HIT}, {THREAT: PASS}))
+    return ahead, Composed(_near(TARGET, {INSULT: AIMED}), _negation, _report, _weigh)
 
 
 def _g(t: int, n: int, toxic: int, clean: int) -> float:
@@ -131,13 +153,13 @@ def learn_insults(texts: list[str], y: np.ndarray) -> dict[str, float]:
 
 class Grammar:
     def __init__(self, insults: dict[str, float]):
-        self.insults, self.weights = insults, None
+        self.insults, self.weights, self.arcs = insults, np.zeros(4), {k: v[0] for k, v in ARCS.items()}
         self._ready = None
 
     def __getstate__(self):
-        return {"insults": self.insults, "weights": self.weights, "_ready": None}
+        return self.__dict__ | {"_ready": None}
 
-    def _machines(self):
+    def _lexicon(self):
         if self._ready is None:
             found = ahocorasick.Automaton()
             for e, w in self.insults.items():
@@ -148,12 +170,12 @@ class Grammar:
                 if k == THREAT and w not in self.insults:
                     found.add_word(w, (w, 0.0, -1.0))
             found.make_automaton()
-            self._ready = found, Composed(list(TRANSDUCERS.values()))
+            self._ready = found, _machines()
         return self._ready
 
     def matches(self, text: str) -> dict[int, float]:
         """Start of word: weight (0 for a threat), in the lower-cased text."""
-        found, out = self._machines()[0], {}
+        found, out = self._lexicon()[0], {}
         for end, (stem, begins, whole) in found.iter(text):
             start = end - len(stem) + 1
             if start and (text[start - 1].isalpha() or text[start - 1] == "'"):
@@ -164,63 +186,65 @@ class Grammar:
                 out[start] = max(out.get(start, 0.0), w)
         return out
 
-    def features(self, text: str) -> np.ndarray:
+    def clauses(self, text: str) -> list[list[tuple[float, tuple[str, ...]]]]:
+        """Of each clause with an insult or a threat the weighted symbols: their weight in the lexicon and their arcs."""
         text = text.lower()
-        hits = self.matches(text)
-        out = np.zeros(5 + len(TRANSDUCERS))
-        if not hits:
-            return out
-        composed, clauses, at = self._machines()[1], [], 0
-        starts = sorted(hits)
-        i = 0
+        hits, out = self.matches(text), []
+        (ahead, forward), starts = self._lexicon()[1], sorted(hits)
+        i, end = 0, 0
         while i < len(starts):
-            # the clause around the hit
-            lo = 0
-            for lo in range(starts[i], max(at, 0) - 1, -1):
-                if lo and text[lo - 1] in ".!?;:\n":
-                    break
+            lo = starts[i]  # back to where the clause begins, not before the end of the last one
+            while lo > end and text[lo - 1] not in ".!?;\n":
+                lo -= 1
             m = _CLAUSE.search(text, starts[i])
-            hi = m.start() if m else len(text)
-            symbols, weight, most = [], 0.0, 0.0
-            for w in _WORD.finditer(text, lo, hi):
-                got = hits.get(w.start())
-                if got:
-                    symbols.append(INSULT)
-                    weight += got
-                    most = max(most, got)
-                else:
-                    symbols.append(_CLOSED.get(w.group(), PASS))
-            clauses.append((weight, most, composed.run(symbols)))
-            at = hi
-            while i < len(starts) and starts[i] < hi:
-                i += 1
-            if hi == starts[min(i, len(starts) - 1)]:
+            end = m.start() if m else len(text)
+            words = list(_WORD.finditer(text, lo, end))
+            weights = [hits.get(w.start(), 0.0) for w in words]
+            symbols = [INSULT if x else _CLOSED.get(w.group(), PASS) for w, x in zip(words, weights, strict=True)]
+            turned = [s for s, _ in ahead.run(symbols[::-1])][::-1]
+            got = [(x if s != HIT else 1.0, arcs) for (s, arcs), x in zip(forward.run(turned), weights, strict=True) if s in _WEIGHTED]
+            if got:
+                out.append(got)
+            i += 1
+            while i < len(starts) and starts[i] < end:
                 i += 1
-        insulting = [c for c in clauses if c[0] > 0]
-        words = max(len(text) / 6, 1)
-        out[0] = bool(insulting)
-        out[1] = np.log1p(len(insulting))
-        out[2] = max((c[1] for c in clauses), default=0.0)
-        out[3] = np.log1p(sum(c[0] for c in clauses))
-        out[4] = np.log1p(100 * sum(c[0] for c in clauses) / words)
-        out[5:] = np.log1p(np.sum([c[2] for c in clauses], 0))
         return out
 
+    def weigh(self, clauses: list[list[tuple[float, tuple[str, ...]]]]) -> list[float]:
+        """The weight of each clause: of its path through the composed transducers."""
+        return [sum(w * prod(self.arcs[a] for a in arcs) for w, arcs in c) for c in clauses]
+
+    def features(self, clauses: list) -> np.ndarray:
+        own = self.weigh(clauses)
+        most = max(own, default=0.0)
+        return np.array([np.log1p(sum(own)), most, 1 - np.exp(-most), 1.0])
+
     def fit(self, texts: list[str], y: np.ndarray, share: float) -> Grammar:
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), -1)
-        x = np.hstack((x, np.ones((len(x), 1))))
+        """Arcs one after the other, each value by the likelihood of its best logistic function; twice, as they depend on each other."""
+        read = [self.clauses(t) for t in texts]
         own = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-        w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.3)
-        ridge[-1] = 1e-6
-        for _ in range(40):  # Newton steps
-            p = 1 / (1 + np.exp(-x @ w))
-            h = (x.T * (own * p * (1 - p))) @ x + np.diag(ridge)
-            w -= np.linalg.solve(h, x.T @ (own * (p - y)) + ridge * w)
-        self.weights = w
+
+        def logistic(arcs: dict[str, float]) -> tuple[float, np.ndarray]:
+            self.arcs = arcs
+            x = np.array([self.features(c) for c in read]).reshape(len(read), -1)
+            w, ridge = np.zeros(x.shape[1]), np.array([0.3, 0.3, 0.3, 1e-6])
+            for _ in range(30):  # Newton steps
+                p = 1 / (1 + np.exp(-x @ w))
+                h = (x.T * (own * p * (1 - p))) @ x + np.diag(ridge)
+                w -= np.linalg.solve(h, x.T @ (own * (p - y)) + ridge * w)
+            p = np.clip(1 / (1 + np.exp(-x @ w)), 1e-9, 1 - 1e-9)
+            return float((own * -np.log(np.where(y == 1, p, 1 - p))).sum() + (ridge * w * w).sum() / 2), w
+
+        best, arcs = logistic(self.arcs), dict(self.arcs)
+        for name in [*ARCS] * 2:
+            for value in ARCS[name]:
+                if value != arcs[name] and (got := logistic(arcs | {name: value}))[0] < best[0] - 1e-9:
+                    best, arcs = got, arcs | {name: value}
+        self.arcs, self.weights = arcs, best[1]
         return self
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-(self.features(text) @ self.weights[:-1] + self.weights[-1]))))
+        return float(1 / (1 + np.exp(-(self.features(self.clauses(text)) @ self.weights))))
 
 
 class Constant:
@@ -235,7 +259,7 @@ def train(texts: list[bytes], y: np.ndarray, share: float | None = None):
     if len(set(y.tolist())) < 2:
         return Constant(float(y.mean()) if len(y) else 0.0)
     texts = [t.decode("utf-8", "replace") for t in texts]
-    half = np.array([crc32(t[:4096].encode("utf-8", "replace")) % 3 < 2 for t in texts])
+    half = np.array([crc32(t.encode("utf-8", "replace")) % 3 < 2 for t in texts])
     if len(set(y[half].tolist())) < 2 or len(set(y[~half].tolist())) < 2:
         half[:] = True
     grammar = Grammar(learn_insults([t for t, h in zip(texts, half, strict=True) if h], y[half]))
