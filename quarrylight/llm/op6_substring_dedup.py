@@ -8,13 +8,15 @@ Candidates are verified by whole windows: the hash of all WINDOW words, from the
 in the index already, and a window counts as seen where the smallest id that holds it is smaller than the document's.
 After each batch its anchors become a new run; once there are more than `max_runs`, all runs are compacted into one.
 
-Nothing of unbounded size is broadcast: shared anchor keys go to the workers as a Bloom filter of at most
-BLOOM_BITS_MOST bits (a fuller filter lets more windows through, never fewer), and exact copies of whole texts, which
-need no windows at all, as a list only while there are at most COPIES_MOST of them.
+The query takes its table in BATCHES batches of ascending ids, so that runs are merge-joined, verified and compacted. Nothing
+of unbounded size is broadcast: shared anchor keys go to the workers as a Bloom filter of at most BLOOM_BITS_MOST bits (a
+fuller filter lets more windows through, never fewer). Exact copies of whole texts need no windows; they, and documents that
+lose windows, are found by bitmaps and joins, so that no other texts are shuffled.
 
 Defined cases: null or empty text has no words; a text of fewer than WINDOW words loses nothing; rows with a null id
 lose nothing and are no one's source; rows that share an id are judged each by its own text and are not each other's
-source; an empty table gives an empty result; columns other than the id and the text are not read.
+source; of equal windows (ties) those of the smallest id stay; texts of any length are read whole, a slice of documents at
+a time; an empty table gives an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, documents, in_bloom, keyed_texts, known_ids, materialize, mix, new_path, runs, slices, small_batches, spaced
+from .common import Bitmap, Words, bloom, documents, drop, ids_of, in_bloom, keyed_texts, known_ids, materialize, mix, new_path, runs, settle, slices, small_batches, spaced
 
 WINDOW, ANCHOR = 13, 5
-COPIES_MOST = 1_000_000
+BATCHES = 3
 _TEXT = spaced(lower=False)
 
 
@@ -50,44 +52,33 @@ class _Slice:
         self.key = keys[self.anchor]
 
 
-def _copies(ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    if not len(copies):
-        return np.zeros(len(ids), bool)
-    return copies[np.minimum(np.searchsorted(copies, ids), len(copies) - 1)] == ids
-
-
-def anchors(docs: DataFrame, copies) -> DataFrame:
+def anchors(docs: DataFrame) -> DataFrame:
     """(key, doc_id) of every anchor, once a slice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, valid = known_ids(b)
-            skip = _copies(ids, copies.value) | ~valid
-            for lo, hi, buf, offsets in slices(b):
+            ids = ids_of(b)
+            for lo, _, buf, offsets in slices(b):
                 s = _Slice(buf, offsets)
                 if len(s.at):
                     new = np.r_[True, s.anchor[1:] != s.anchor[:-1]]
-                    key, doc = s.key[new], s.row[s.at[new]] + lo
-                    keep = ~skip[doc]
-                    yield pa.record_batch({"key": key[keep].view(np.int64), "doc_id": ids[doc[keep]]})
+                    yield pa.record_batch({"key": s.key[new].view(np.int64), "doc_id": ids[s.row[s.at[new]] + lo]})
 
     return docs.mapInArrow(work, "key long, doc_id long")
 
 
-def windows(docs: DataFrame, copies, shared) -> DataFrame:
+def windows(docs: DataFrame, shared) -> DataFrame:
     """(hash, doc_id, at) of the windows whose anchor passes the filter, once a document; at: the text's mark and the window's
     first word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, valid = known_ids(b)
-            skip = _copies(ids, copies.value) | ~valid
-            for lo, hi, buf, offsets in slices(b):
+            ids = ids_of(b)
+            for lo, _, buf, offsets in slices(b):
                 s = _Slice(buf, offsets)
                 if not len(s.at):
                     continue
-                keep = in_bloom(s.key, shared.value) & ~skip[s.row[s.at] + lo]
-                at = s.at[keep]
+                at = s.at[in_bloom(s.key, shared.value)]
                 if len(at):
                     row, hashes = s.row[at], runs(s.words.hash, WINDOW)[at]
                     once = np.unique(mix(hashes ^ mix(row.astype(np.uint64))), return_index=True)[1]  # strip() finds the others
@@ -97,13 +88,13 @@ def windows(docs: DataFrame, copies, shared) -> DataFrame:
     return docs.mapInArrow(work, "hash long, doc_id long, at long")
 
 
-def strip(docs: DataFrame, copies) -> DataFrame:
-    """docs: doc_id, text, at (a list of windows seen before, or null). Returns doc_id, n_words, n_removed, kept_text."""
+def strip(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, copy (of a whole text before it), at (a list of windows seen before, or null). Returns doc_id, n_words, n_removed, kept_text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, valid = known_ids(b)
-            skip = _copies(ids, copies.value) & valid
+            skip = np.asarray(b.column(b.schema.get_field_index("copy")))
             seen = b.column(b.schema.get_field_index("at"))
             for lo, hi, buf, offsets in slices(b):
                 w = Words(buf, offsets, _TEXT)
@@ -179,54 +170,77 @@ class FingerprintIndex:
         for a, b in spans:
             fs.delete(path(f"{self.path}/run-{a}-{b}"), True)
 
+    def texts(self) -> DataFrame | None:
+        """(doc_id, a, b): two hashes of each text that was taken in."""
+        return self.spark.read.schema("doc_id long, a long, b long").parquet(f"{self.path}/texts-*") if self.spans() else None
+
     def dedup(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Judge a batch against what the index holds and against itself, then take it in.
+        """Judge a batch against what the index holds and against itself, then take it in. Ids of later batches are larger.
 
-        history: the documents of earlier batches, for verification. Returns doc_id, n_words, n_removed, kept_text."""
+        history: the documents of earlier batches, whose windows are the proof where an anchor of theirs is met; an index that
+        has taken some in can't judge without them. Returns doc_id, n_words, n_removed, kept_text."""
         spark = self.spark
         small_batches(spark)
+        if history is None and self.spans():
+            raise ValueError("the index has earlier batches: give their documents as history")
         docs = keyed_texts(docs, id_col, text_col)
-        old = keyed_texts(history, id_col, text_col) if history is not None else None
-        marks = docs.where("doc_id is not null and length(text) > 0").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.lit(True).alias("new"))
-        if old is not None:
-            marks = marks.unionByName(old.where("doc_id is not null and length(text) > 0").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.lit(False).alias("new")))
+        marks = docs.where("doc_id is not null and length(text) > 0").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
         marks = materialize(marks, "op6-marks")
-        groups = marks.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-        again = marks.join(groups, ["a", "b"]).where("doc_id > least and new").select("doc_id")
+        before = self.texts()
+        every = marks if before is None else marks.unionByName(before)
+        groups = every.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        again = marks.join(groups, ["a", "b"]).where("doc_id > least").select("doc_id")
         # an id that stands on several rows is left to the windows: its rows may differ
         twice = marks.groupBy("doc_id").count().where("count > 1").select("doc_id")
         again = materialize(again.join(twice, "doc_id", "left_anti").distinct(), "op6-copies")
-        found = np.empty(0, np.int64)
-        if again.count() <= COPIES_MOST:
-            found = np.sort(again.toArrow().column("doc_id").to_numpy())  # COPIES_MOST numbers at most
-        copies, none = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(np.empty(0, np.int64))
-
-        keys = materialize(anchors(docs, copies).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).sortWithinPartitions("key"), "op6-keys")
+        # only texts that may be copies are shuffled to find out
+        may = Bitmap(again, "doc_id", bits=64).has("doc_id")
+        copies = docs.where(may).join(again, "doc_id", "left_semi")
+        rest = docs.where(~may).unionByName(docs.where(may).join(again, "doc_id", "left_anti"))
+        known = rest.where("doc_id is not null")
+        keys = materialize(anchors(known).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).sortWithinPartitions("key"), "op6-keys")
+        settle(spark)
         shared = keys.where("first_id < last_id").select("key")
-        if (before := self.history()) is not None:
-            shared = shared.union(keys.join(before.hint("merge"), "key", "left_semi").select("key"))
-        shared = shared.distinct()
+        if (runs_before := self.history()) is not None:
+            shared = shared.union(keys.join(runs_before.hint("merge"), "key", "left_semi").select("key"))
+        shared = materialize(shared.distinct(), "op6-shared")
         n_shared = shared.count()
+        none = F.lit(None).cast("array<long>").alias("at")
         if n_shared:
             bits = spark.sparkContext.broadcast(bloom(shared, n_shared))
-            new = windows(docs, copies, bits)
-            every = new.select("hash", "doc_id")
-            if old is not None:
-                every = every.unionByName(windows(old, none, bits).select("hash", "doc_id"))
-            first = every.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
+            new = windows(known, bits)
+            found = new.select("hash", "doc_id")
+            if history is not None:
+                found = found.unionByName(windows(keyed_texts(history, id_col, text_col).where("doc_id is not null"), bits).select("hash", "doc_id"))
+            first = found.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
             seen = new.join(first, "hash").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-            docs = docs.join(seen, "doc_id", "left")
+            seen = materialize(seen, "op6-seen")
+            met = Bitmap(seen, "doc_id").has("doc_id")
+            rest = rest.where(~met).select("*", none).unionByName(rest.where(met).join(seen, "doc_id", "left"))
         else:
-            docs = docs.withColumn("at", F.lit(None).cast("array<long>"))
-        out = strip(docs.select("doc_id", "text", "at"), copies)
+            rest = rest.select("*", none)
+        out = strip(rest.select("doc_id", "text", F.lit(False).alias("copy"), "at").unionByName(copies.select("doc_id", "text", F.lit(True).alias("copy"), none)))
+        marks.write.mode("overwrite").parquet(f"{self.path}/texts-{max((b for _, b in self.spans()), default=-1) + 1}")
         self.append(keys.select("key", "first_id"))
+        drop(marks, keys, shared)
         return out
 
 
-def substring_dedup(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One pass over a whole table with a fresh index."""
+def substring_dedup(docs: DataFrame, path: str | None = None, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A whole table, in batches of ascending ids through one index, which is fresh if no path is given."""
     spark = docs.sparkSession
-    return FingerprintIndex(spark, path or new_path(spark, "op6-index")).dedup(docs)
+    index = FingerprintIndex(spark, path or new_path(spark, "op6-index"), max_runs=1)
+    docs = keyed_texts(docs, id_col, text_col)
+    cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    cuts = sorted({int(c) for c in cuts})
+    out = None
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        earlier = None if lo is None else docs.where(F.col("doc_id") <= lo)
+        own = F.lit(True) if lo is None else F.col("doc_id") > lo
+        own &= F.lit(True) if hi is None else F.col("doc_id") <= hi
+        found = index.dedup(docs.where(own | F.col("doc_id").isNull() if lo is None else own), earlier)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
