@@ -172,14 +172,15 @@ def held_out(doc_id: str, folds: int, fold: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int) -> tuple[list[bytes], np.ndarray]:
-    """At most per_class labelled texts of each class outside the fold, by a hash of the id: the bounded training rows."""
-    fit = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id", folds, fold)).dropDuplicates(["doc_id"])
+    """At most per_class labelled texts of each class outside the fold, by a hash of the id: the bounded training rows.
+    Of several labels or texts of an id the least counts."""
+    fit = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.min("y").alias("y"))
     some = None
     for y in (0, 1):
         part = fit.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
     some = docs.sparkSession.createDataFrame(some.collect(), "doc_id long, y int")  # 2 * per_class rows at most
-    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     got = sorted(((r["doc_id"], r["text"].encode("utf-8", "replace"), r["y"]) for r in rows.toLocalIterator()), key=lambda r: r[0])
     return [r[1] for r in got], np.array([r[2] for r in got], np.float64)
 

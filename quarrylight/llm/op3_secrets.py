@@ -8,7 +8,7 @@ whatever the samples' size; only these travel to the driver and back, as a liter
 
 The labelled samples: SAMPLE random strings made from SHA-256 digests in four alphabets; and as ordinary identifiers
 SAMPLE compounds of the word list below in four styles and the words of at least four letters of a bounded sample of
-documents, taken by a hash of their text, of which the runs with a digit are left out, as they may be secrets.
+documents of at most 20,000 characters (most_chars of hashed_sample), taken by a hash of their text, of which the runs with a digit are left out, as they may be secrets.
 
 Positions count code points. Java's split and extract give the pieces between and in the matches of one pattern; running
 sums of their lengths are the positions.

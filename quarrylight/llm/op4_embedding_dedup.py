@@ -141,7 +141,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     comps = connected_components(met.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "op4")
     of = classes.select("label", "h", "g", "rep", "m").join(links, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
     of = of.select("label", "h", "g", (F.col("m") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    mine = rows.select("id", "label", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"), F.lit(True).alias("may"))
+    # rows without an id link with nothing, also if they equal a class
+    mine = rows.select("id", "label", F.when(F.col("id").isNotNull(), F.xxhash64("v")).alias("h"), F.xxhash64(F.lit(1), "v").alias("g"))
     out = mine.join(of, ["label", "h", "g"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

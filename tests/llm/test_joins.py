@@ -138,3 +138,13 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in rows(connected_components(spark.createDataFrame(links, "a long, b long"), "t"))}
     assert {got[i] for i in range(31)} == {0} and {got[i] for i in range(100, 140)} == {100} and got[201] == 200
     assert rows(connected_components(spark.createDataFrame([], "a long, b long"), "t")) == []
+
+
+def test_embeddings_of_awkward_rows(spark):
+    """Rows without an id, repeated ids, other columns, no rows."""
+    schema = "vec_id long, embedding array<float>, label int, id string, v string, h string, rep string"
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    data = [(1, v, 0), (2, v, 0), (None, v, 0), (None, w, 0), (4, w, 1), (5, v, 1)]
+    got = rows(embedding_dedup(spark.createDataFrame([(*r, "x", "x", "x", "x") for r in data], schema)))
+    assert sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in got), key=lambda r: (r[0], r[1], r[2] or 0)) == sorted([(1, 1, 1, True), (2, 1, 1, False), (0, 0, None, True), (0, 0, None, True), (4, 0, 4, True), (5, 0, 5, True)], key=lambda r: (r[0], r[1], r[2] or 0))
+    assert rows(embedding_dedup(spark.createDataFrame([], schema))) == []

@@ -6,7 +6,7 @@ import duckdb
 
 TABLES = "documents embeddings benchmark labels conversations pages".split()
 #: Names that operators use inside; as extra columns they must do no harm.
-CLASHING = "text_ key hash at rid mark win n s s2 ln line a b rep block sig component size p copies taken score held_out".split()
+CLASHING = "text_ key hash at rid mark win n s s2 ln line a b rep block sig component size p copies taken score held_out _id _gone _lines _removed _row _cut".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
