@@ -172,18 +172,18 @@ def _shared(classes: DataFrame, num: int, den: int) -> DataFrame:
     counted = posted.groupBy("sig").agg(F.count("*").alias("k"), F.min("rank").alias("hub"))
     first = materialize(counted.where("k > 1").select("sig", "hub", (F.col("k") > 2).alias("more")), "op9-first")
     settle(classes.sparkSession)
-    out = materialize(posted.where(Bitmap(first, "sig").has("sig")).join(first.hint("shuffle_hash"), "sig"), "op9-shared")  # one row a signature in first
+    out = materialize(posted.drop("rank").where(Bitmap(first, "sig").has("sig")).join(first.hint("shuffle_hash"), "sig"), "op9-shared")  # one row a signature in first
     drop(first)
     return out
 
 
 def _with_hubs(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """(d1, l1, d2, l2, apart): lines and the hubs of their postings, the later one first, as far as the filters let them."""
-    seen = shared.where("rank <> hub").select("hub", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "lnn", "low", "high"))).distinct()
+    seen = shared.select("hub", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "lnn", "low", "high")))
     both = seen.join(classes.select(_rank().alias("hub"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "lnn", "low", "high"))), "hub")
-    both = both.withColumn("apart", _apart("1", "2")).where(_near(_size("lnn1"), _size("lnn2"), F.col("apart"), num, den))
+    both = both.withColumn("apart", _apart("1", "2")).where(((F.col("doc_id1") != F.col("doc_id2")) | (F.col("lnn1") != F.col("lnn2"))) & _near(_size("lnn1"), _size("lnn2"), F.col("apart"), num, den))
     x, y = (F.struct(F.col(f"doc_id{i}").alias("d"), F.col(f"lnn{i}").alias("l")) for i in (1, 2))
-    ordered = both.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"), "apart").where("x <> y")
+    ordered = both.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"), "apart").where("x <> y").distinct()
     return _places(ordered.select(F.col("x.d").alias("d1"), F.col("x.l").alias("l1"), F.col("y.d").alias("d2"), F.col("y.l").alias("l2"), "apart"))
 
 
