@@ -167,19 +167,21 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
 
 
 def _shared(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Postings that several classes have, with the rank of the hub of each and whether there are more than it and another."""
+    """Postings that several classes have, with the rank of the hub of each, whether this is it, and whether there are more
+    than it and another."""
     posted = postings(classes, num, den)
     counted = posted.groupBy("sig").agg(F.count("*").alias("k"), F.min("rank").alias("hub"))
     first = materialize(counted.where("k > 1").select("sig", "hub", (F.col("k") > 2).alias("more")), "op9-first")
     settle(classes.sparkSession)
-    out = materialize(posted.drop("rank").where(Bitmap(first, "sig").has("sig")).join(first.hint("shuffle_hash"), "sig"), "op9-shared")  # one row a signature in first
+    met = posted.where(Bitmap(first, "sig").has("sig")).join(first.hint("shuffle_hash"), "sig")  # one row a signature in first
+    out = materialize(met.withColumn("is_hub", F.col("rank") == F.col("hub")).drop("rank"), "op9-shared")
     drop(first)
     return out
 
 
 def _with_hubs(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """(d1, l1, d2, l2, apart): lines and the hubs of their postings, the later one first, as far as the filters let them."""
-    seen = shared.select("hub", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "lnn", "low", "high")))
+    seen = shared.where("not is_hub").select("hub", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "lnn", "low", "high")))
     both = seen.join(classes.select(_rank().alias("hub"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "lnn", "low", "high"))), "hub")
     both = both.withColumn("apart", _apart("1", "2")).where(((F.col("doc_id1") != F.col("doc_id2")) | (F.col("lnn1") != F.col("lnn2"))) & _near(_size("lnn1"), _size("lnn2"), F.col("apart"), num, den))
     x, y = (F.struct(F.col(f"doc_id{i}").alias("d"), F.col(f"lnn{i}").alias("l")) for i in (1, 2))
