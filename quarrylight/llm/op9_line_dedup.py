@@ -151,7 +151,8 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     shared = _shared(classes, num, den)
     pairs = materialize(_with_hubs(shared, classes, num, den), "op9-hubs")
     nearest = materialize(_nearest(pairs), "op9-nearest")
-    dead = materialize(_similar(docs, nearest, num, den), "op9-dead")
+    settle(docs.sparkSession)
+    dead = _similar(docs, nearest, num, den)
     rest = pairs.unionByName(_met(shared.where("more"), dead, num, den))
     rest = rest.join(dead, ["d1", "l1"], "left_anti").join(nearest, ["d1", "l1", "d2", "l2"], "left_anti")
     rest = materialize(rest.groupBy("d1", "l1", "d2", "l2").agg(F.min("apart").alias("apart")), "op9-rest")
@@ -223,7 +224,9 @@ def _similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame
     one, two = (sets.select(F.col("doc_id").alias(f"d{i}"), F.col("ln").alias(f"l{i}"), F.col("k").alias(f"k{i}")) for i in (1, 2))
     same = F.size(F.array_intersect("k1", "k2"))
     both = pairs.select("d1", "l1", "d2", "l2").join(two, ["d2", "l2"]).join(one, ["d1", "l1"])
-    return both.where(same * den >= (F.size("k1") + F.size("k2") - same) * num).select("d1", "l1").distinct()
+    out = materialize(both.where(same * den >= (F.size("k1") + F.size("k2") - same) * num).select("d1", "l1").distinct(), "op9-similar")
+    drop(ends, sets)
+    return out
 
 
 def dedup_documents(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "_lines", n_removed: str = "_removed") -> DataFrame:
