@@ -3,13 +3,14 @@
 A line is the set of its words. Words are ordered by rarity: hashed into BUCKETS counters over all lines, they rank by the
 quarter of an octave of their counter, then by hash. In that order two sets of sizes n and m that overlap in o words have
 H = n + m - 2 o words of only one of them, and these part at most H of the gaps between their common words: of the first
-H + 2 common words two stand side by side in both sets, within the first (n - o) + H + 2 words of each. So the prefix of a
-line is that long, and its postings are the pairs of neighbours in it (where H + 2 may be more than o, as in short sets at
-low thresholds, also the single words of the usual prefix). A pair of words is shared by chance far more rarely than a
-word, which a corpus of any size has in a fixed share of its lines. Lengths, the places where sets meet (positional filter)
-and a sketch of 128 parities, which differ in at most as many bits as the sets in words, leave out more; candidates are
-verified on whole sets. A line goes if a line before it (by document id, then by line) is as similar as that or equal;
-lines are judged on the input, not on what is left.
+(RUN - 1) (H + 1) + 1 common words RUN stand side by side in both sets, within that many and n - o more words of each. So the
+prefix of a line is that long, and its postings are the runs of RUN neighbours in it (of sets so small that they may not have
+so many common words, also shorter runs, down to the single words of the usual prefix). A run of three words is shared by
+chance far more rarely than a word, which a corpus of any size has in a fixed share of its lines, or than a pair, of which
+growing corpora share ever more. Lengths, the places where sets meet (positional filter) and a sketch of 128 parities, which
+differ in at most as many bits as the sets in words, leave out more; candidates are verified on whole sets. A line goes if a
+line before it (by document id, then by line) is as similar as that or equal; lines are judged on the input, not on what is
+left.
 
 Equal sets are one class before anything is joined, by minima that are combined before they are shuffled, so a line that
 a third of all documents share is one row. Of each posting the class with most equal lines (of those the first) is its
@@ -34,6 +35,8 @@ from .common import Bitmap, documents, drop, fresh, materialize, settle
 
 NUM, DEN = 4, 5
 BUCKETS = 1 << 16
+#: Neighbours that make a posting.
+RUN = 3
 #: xxhash64 of the empty string.
 _EMPTY = -7444071767201028348
 
@@ -65,10 +68,17 @@ def rarity(docs: DataFrame, text_col: str = "text") -> str:
     return ",".join(ranks)
 
 
-def _ranked(words: Column, ranks: str) -> Column:
-    """Words by rarity: the rank in the highest bits, the hash below it."""
+def _ranked(line: Column, ranks: str) -> Column:
+    """Words of a line, each once, by rarity: the rank in the highest bits, the hash below it. One lambda, and what follows it
+    on arrays without nulls, stays in generated code."""
     table = F.split(F.lit(ranks), ",").cast("array<bigint>")  # folded into one literal; lambdas may hold no subquery
-    return F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+
+    def place(w: Column) -> Column:
+        rank = F.coalesce(F.get(table, F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+
+    empty = int(ranks.split(",")[_EMPTY & (BUCKETS - 1)]) << 56 | (_EMPTY & (1 << 64) - 1) >> 8
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split(_blank(line), " "), place), F.lit(empty).cast("long"))))
 
 
 def _least_other(n: Column, num: int, den: int) -> Column:
@@ -77,11 +87,17 @@ def _least_other(n: Column, num: int, den: int) -> Column:
 
 
 def _prefix_length(n: Column, num: int, den: int) -> Column:
-    """(n - o) + H + 2 at its most, which it has for the least partner; all words where pairs of neighbours don't do."""
+    """(n - o) + (RUN - 1) (H + 1) + 1 at its most, which it has for the least partner; all words where runs don't do."""
     m = _least_other(n, num, den)
-    if 2 * num <= den:
+    if (2 * RUN - 1) * num <= (RUN - 1) * (num + den):
         return n
-    return F.least(n.cast("long"), F.floor(((2 * n + m) * (num + den) - 3 * num * (n + m)) / F.lit(num + den)) + 2).cast("int")
+    most = F.floor((RUN * (num + den) * n + (RUN - 1) * (num + den) * m - (2 * RUN - 1) * num * (n + m)) / F.lit(num + den)) + RUN
+    return F.least(n.cast("long"), most).cast("int")
+
+
+def _runs_may_fail(n: Column | int, m: Column | int, run: int, num: int, den: int) -> Column | bool:
+    """Whether similar sets of these sizes may have too few common words, (run - 1) (H + 1) + 1, for a run to be certain."""
+    return (n + m) * (run * num - (run - 1) * den) < run * (num + den)
 
 
 def _size(lnn: str) -> Column:
@@ -98,20 +114,25 @@ def _before(d1: str, l1: str, d2: str, l2: str) -> Column:
 
 
 def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, pos, prior, doc_id, lnn, low, high, rank): pairs of neighbours in prefixes with the word before them, and single
-    words where these don't do."""
+    """(sig, pos, prior, doc_id, lnn, low, high, rank): runs of neighbours in prefixes with the word before them, and shorter
+    runs, down to single words, of sets so small that longer ones don't do."""
     kept = ["doc_id", "lnn", "low", "high", "rank"]
     some = classes.where(F.size("prefix") > 0).withColumn("rank", _rank())
-    trios = F.arrays_zip(F.col("prefix").alias("a"), F.expr("slice(prefix, 2, size(prefix))").alias("b"), F.concat(F.array(F.lit(None).cast("int")), F.col("prefix")).alias("c"))
-    zipped = some.select(*kept, F.posexplode(trios).alias("pos", "z")).where("z.b is not null")
-    out = zipped.select(F.expr("shiftleft(cast(z.a as bigint), 32) | (cast(z.b as bigint) & 4294967295)").alias("sig"), "pos", F.col("z.c").alias("prior"), *kept)
-    least = -(-num // (den - num))  # of sets that are similar to others
-    if (least + -(-num * least // den)) * (2 * num - den) >= 2 * (num + den):
-        return out
     n = _size("lnn")
-    single = some.where((n + _least_other(n, num, den)) * (2 * num - den) < 2 * (num + den))
-    words = single.select(*kept, F.posexplode(F.slice("prefix", F.lit(1), (n - _least_other(n, num, den) + 1).cast("int"))).alias("pos", "w"))
-    return out.unionByName(words.select(F.col("w").cast("long").alias("sig"), "pos", F.lit(None).cast("int").alias("prior"), *kept))
+    m = _least_other(n, num, den)
+    least = -(-num // (den - num))  # of sets that are similar to others
+    out = None
+    for run in range(RUN, 0, -1):
+        before = F.concat(F.array(F.lit(None).cast("int")), F.col("prefix")).alias("c")
+        words = F.arrays_zip(*(F.expr(f"slice(prefix, {i}, size(prefix))").alias(f"w{i}") for i in range(1, run + 1)), before)
+        zipped = some.select(*kept, F.posexplode(words).alias("pos", "z")).where(f"z.w{run} is not null")
+        sig = F.xxhash64(*(f"z.w{i}" for i in range(1, run + 1)))
+        found = zipped.select(sig.alias("sig"), "pos", F.col("z.c").alias("prior"), *kept)
+        out = found if out is None else out.unionByName(found)
+        if not _runs_may_fail(least, -(-num * least // den), run, num, den):
+            break
+        some = some.where(_runs_may_fail(n, m, run, num, den))
+    return out
 
 
 def _rank() -> Column:
@@ -137,7 +158,7 @@ def _near(n1: Column, n2: Column, apart: Column, num: int, den: int) -> Column:
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ln) of the lines that go."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    ranked = lines_of(docs).select("doc_id", "ln", _ranked(_words(F.col("line")), rarity(docs)).alias("k"))
+    ranked = lines_of(docs).select("doc_id", "ln", _ranked(F.col("line"), rarity(docs)).alias("k"))
     n = F.size("k")
     prefix = F.when(n * (den - num) >= num, F.transform(F.slice("k", F.lit(1), _prefix_length(n, num, den)), lambda x: F.hash(x))).otherwise(F.array().cast("array<int>"))
     # parities of all words, and of those with a set seventh bit: together 128
@@ -148,12 +169,14 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     classes = materialize(classes.select("s", "s2", "at.doc_id", "at.lnn", "times", "low", "high", "prefix"), "op9-classes")
     lines = materialize(wide.select("doc_id", "lnn", "s", "s2"), "op9-lines")
     drop(every)
-    shared = _shared(classes, num, den)
-    pairs = materialize(_with_hubs(shared, classes, num, den), "op9-hubs")
+    shared, first = _shared(classes, num, den)
+    pairs = materialize(_with_hubs(shared, first, num, den), "op9-hubs")
+    shared, given = materialize(_of_more(shared, first), "op9-more"), shared
+    drop(given, first)
     nearest = materialize(_nearest(pairs), "op9-nearest")
     settle(docs.sparkSession)
     dead = _similar(docs, nearest, num, den)
-    rest = pairs.unionByName(_met(shared.where("more"), dead, num, den))
+    rest = pairs.unionByName(_met(shared, dead, num, den))
     rest = rest.join(dead, ["d1", "l1"], "left_anti").join(nearest, ["d1", "l1", "d2", "l2"], "left_anti")
     rest = materialize(rest.groupBy("d1", "l1", "d2", "l2").agg(F.min("apart").alias("apart")), "op9-rest")
     drop(shared, pairs, nearest)
@@ -167,27 +190,35 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     return lines.join(marked, ["s", "s2"]).where(F.col("all") | (F.struct("doc_id", "lnn") > F.col("at"))).select("doc_id", _line("lnn").alias("ln"))
 
 
-def _shared(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Postings that several classes have, with the rank of the hub of each, whether this is it, and whether there are more
-    than it and another."""
+def _shared(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Postings that several classes have (and few others), and of each signature (sig, k, hub): how many have it, and the
+    first by rank. Signatures are counted alone, so the one shuffle of all postings is of narrow rows."""
     posted = postings(classes, num, den)
-    counted = posted.groupBy("sig").agg(F.count("*").alias("k"), F.min("rank").alias("hub"))
-    first = materialize(counted.where("k > 1").select("sig", "hub", (F.col("k") > 2).alias("more")), "op9-first")
+    often = materialize(posted.groupBy("sig").count().where("count > 1").select("sig"), "op9-often")
     settle(classes.sparkSession)
-    met = posted.where(Bitmap(first, "sig").has("sig")).join(first.hint("shuffle_hash"), "sig")  # one row a signature in first
-    out = materialize(met.withColumn("is_hub", F.col("rank") == F.col("hub")).drop("rank"), "op9-shared")
-    drop(first)
-    return out
+    shared = materialize(posted.where(Bitmap(often, "sig").has("sig")), "op9-shared")
+    drop(often)
+    hub = F.min(F.struct("rank", "doc_id", "lnn", "low", "high"))
+    first = materialize(shared.groupBy("sig").agg(F.count("*").alias("k"), hub.alias("hub")).where("k > 1"), "op9-first")
+    settle(classes.sparkSession)
+    return shared, first
+
+
+def _of_more(shared: DataFrame, first: DataFrame) -> DataFrame:
+    """Postings of signatures that more than a hub and one other have (and few others, which only repeat what is known)."""
+    return shared.where(Bitmap(first.where("k > 2"), "sig").has("sig")).drop("rank")
 
 
-def _with_hubs(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def _with_hubs(shared: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
     """(d1, l1, d2, l2, apart): lines and the hubs of their postings, the later one first, as far as the filters let them."""
-    seen = shared.where("not is_hub").select("hub", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "lnn", "low", "high")))
-    both = seen.join(classes.select(_rank().alias("hub"), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "lnn", "low", "high"))), "hub")
-    both = both.withColumn("apart", _apart("1", "2")).where(((F.col("doc_id1") != F.col("doc_id2")) | (F.col("lnn1") != F.col("lnn2"))) & _near(_size("lnn1"), _size("lnn2"), F.col("apart"), num, den))
+    hubs = first.select("sig", *(F.col(f"hub.{c}").alias(f"{c}2") for c in ("doc_id", "lnn", "low", "high")))
+    seen = shared.select("sig", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "lnn", "low", "high")))
+    both = seen.join(hubs.hint("shuffle_hash"), "sig").withColumn("apart", _apart("1", "2"))  # one row a signature in hubs
+    both = both.where(((F.col("doc_id1") != F.col("doc_id2")) | (F.col("lnn1") != F.col("lnn2"))) & _near(_size("lnn1"), _size("lnn2"), F.col("apart"), num, den))
     x, y = (F.struct(F.col(f"doc_id{i}").alias("d"), F.col(f"lnn{i}").alias("l")) for i in (1, 2))
-    ordered = both.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"), "apart").where("x <> y").distinct()
-    return _places(ordered.select(F.col("x.d").alias("d1"), F.col("x.l").alias("l1"), F.col("y.d").alias("d2"), F.col("y.l").alias("l2"), "apart"))
+    ordered = both.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"), "apart").where("x <> y")
+    flat = ordered.select(F.col("x.d").alias("d1"), F.col("x.l").alias("l1"), F.col("y.d").alias("d2"), F.col("y.l").alias("l2"), "apart")
+    return _places(flat.groupBy("d1", "l1", "d2", "l2").agg(F.min("apart").alias("apart")))
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
