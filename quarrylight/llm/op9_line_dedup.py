@@ -170,13 +170,16 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     lines = materialize(wide.select("doc_id", "lnn", "s", "s2"), "op9-lines")
     drop(every)
     shared, first = _shared(classes, num, den)
+    # what follows reads postings; of classes only their places are needed any more
+    classes, given = materialize(classes.select("s", "s2", "doc_id", "lnn", "times"), "op9-firsts"), classes
+    drop(given)
     pairs = materialize(_with_hubs(shared, first, num, den), "op9-hubs")
-    shared, given = materialize(_of_more(shared, first), "op9-more"), shared
-    drop(given, first)
+    more = _of_more(shared, first)
+    drop(first)
     nearest = materialize(_nearest(pairs), "op9-nearest")
     settle(docs.sparkSession)
     dead = _similar(docs, nearest, num, den)
-    rest = pairs.unionByName(_met(shared, dead, num, den))
+    rest = pairs.unionByName(_met(more, dead, num, den))
     rest = rest.join(dead, ["d1", "l1"], "left_anti").join(nearest, ["d1", "l1", "d2", "l2"], "left_anti")
     rest = materialize(rest.groupBy("d1", "l1", "d2", "l2").agg(F.min("apart").alias("apart")), "op9-rest")
     drop(shared, pairs, nearest)
