@@ -12,6 +12,9 @@ from . import op7_ngram_join as op7
 from . import op8_pii as op8
 from . import op9_line_dedup as op9
 from . import op10_decontamination as op10
+from . import op11_schema_rewrite as op11
+from . import op12_fill_in_middle as op12
+from . import op13_chat_format as op13
 
 QUERIES = {
     "op1_mixing": op1.op1_mixing,
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_pii": op8.op8_pii,
     "op9_line_dedup": op9.op9_line_dedup,
     "op10_decontamination": op10.op10_decontamination,
+    "op11_schema_rewrite": op11.op11_schema_rewrite,
+    "op12_fill_in_middle": op12.op12_fill_in_middle,
+    "op13_chat_format": op13.op13_chat_format,
 }
-SQL = {**op4.SQL, **op6.SQL, **op7.SQL, **op9.SQL, **op10.SQL}
+SQL = {**op4.SQL, **op6.SQL, **op7.SQL, **op9.SQL, **op10.SQL, **op12.SQL, **op13.SQL}
