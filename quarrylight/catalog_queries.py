@@ -186,10 +186,16 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, top_k: int = 10) -> Data
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(top_k).alias("top_k"))
 
 
+def scored_sql(id_col: str, scope: str = "") -> str:
+    """scored: query_id, id_col, s, its parts added in the order of the query; ranked: with rank."""
+    return f"""parts AS (SELECT query_id, {id_col}, qpos, idf * ((tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * (dl / avgdl)))) AS v FROM postings JOIN asked USING (term) JOIN terms USING (term), corpus),
+ scored AS (SELECT query_id, {id_col}, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(v ORDER BY qpos)), lambda x, y: x + y) AS s FROM parts GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, {id_col}) AS rank FROM scored)"""
+
+
 _TOPK_SQL = f"""WITH {_INDEX_SQL},
- asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(tokens) AS term FROM {tokens_sql('benchmark', 'item_id', 'text')}) GROUP BY ALL),
- scored AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * (dl / avgdl)))) AS s FROM postings JOIN asked USING (term) JOIN terms USING (term), corpus GROUP BY ALL),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, doc_id) AS rank FROM scored)
+ asked AS (SELECT item_id AS query_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS qpos FROM {tokens_sql('benchmark', 'item_id', 'text')}),
+ {scored_sql('doc_id')}
 SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(s, 4) AS score4 FROM ranked WHERE rank <= 10"""
 
 
@@ -216,9 +222,8 @@ WITH p AS (SELECT p_partkey, concat_ws(' ', p_brand, p_brand, '', '', '', '', CA
  corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs),
  postings AS (SELECT p_partkey, dl, term, count(*) AS tf FROM (SELECT p_partkey, dl, unnest(tokens) AS term FROM docs) GROUP BY ALL),
  terms AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus),
- asked AS (SELECT unnest([1, 1, 2, 3]) AS query_id, unnest(['brand', 'red', 'none', 'economy']) AS term),
- scored AS (SELECT query_id, p_partkey, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * (dl / avgdl)))) AS s FROM postings JOIN asked USING (term) JOIN terms USING (term), corpus GROUP BY ALL),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, p_partkey) AS rank FROM scored)
+ asked AS (SELECT unnest([1, 1, 2, 3]) AS query_id, unnest(['brand', 'red', 'none', 'economy']) AS term, unnest([0, 1, 0, 0]) AS qpos),
+ {scored_sql('p_partkey')}
 SELECT query_id, CAST(rank AS BIGINT) AS rank, p_partkey, round(s, 4) AS score4 FROM ranked WHERE rank <= 10""")
 def bm25_field_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbol, docstring and text of parts: the symbol counts twice, a null docstring says 'None'."""

@@ -151,3 +151,20 @@ def pluralise(n: Column, noun: str) -> Column:
 
 def summarise(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+
+def quoted(text: Column) -> Column:
+    """A string as Python shows it: in single quotes, or in double ones where it has a single and no double one."""
+    shown = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")), text)
+    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
+    return F.when(single & ~double, F.concat(F.lit('"'), shown, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(shown, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def quoted_list(items: Column, show=quoted) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(items, show), ", "), F.lit("]"))
+
+
+def has_any(text: Column, words) -> Column:
+    """Whether a text has one of some words in any case; false for null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])

@@ -1,7 +1,9 @@
 """BM25 over any documents: an inverted index as tables, and search of any number of queries in one job.
 
 The postings are dealt and sorted by term when they are saved, so a search prunes files by the query's terms. Scores come
-from an equi-join of query terms with postings; a query's hits are ranked by a window that keeps k rows a query.
+from an equi-join of query terms with postings; a query's hits are ranked by a window that keeps k rows a query. Parts of a score are
+added as whole numbers of 2^-46, about the precision of a double of that size: sums have the same bits in any order, so ranks
+need no rounding.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from ..sources.tables import materialize
 from .chunk import dedup_first
 
 K1, B, TOP_K = 1.5, 0.75, 10
+#: Parts of scores are counted in units of 1 / UNIT.
+UNIT = float(1 << 46)
+#: Stands for a document itself among its terms; no token is empty.
+DOCUMENT = ""
 
 
 def weighted_text(symbol: Column, text: Column, context: Column | None = None, compat: bool = True) -> Column:
@@ -34,30 +40,53 @@ def weighted_text(symbol: Column, text: Column, context: Column | None = None, c
 
 def score(tf: Column, dl: Column, idf: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
     ratio = F.when(avgdl > 0, dl / avgdl).otherwise(F.lit(1.0))
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * ratio))
+    return idf * ((tf * (k1 + 1)) / (tf + k1 * (1 - b + b * ratio)))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def tokenized(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, tokens, dl)."""
-    return docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+def term_counts(docs: DataFrame, id_col: str, text: Column, scope: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """(scope, id, dl, term, tf) of every term of each document, or of the wanted ones (term), and a row a document whose term is
+    DOCUMENT; all from one pass over the texts. Counting is combined before its shuffle."""
+    tokens = docs.select(*scope, F.col(id_col).alias("id"), tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    each = tokens.select(*scope, "id", "dl", F.explode(F.array_append("tokens", F.lit(DOCUMENT))).alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.select("term").union(wanted.sparkSession.range(1).select(F.lit(DOCUMENT))).distinct(), "term", "left_semi")
+    return each.groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """queries: query_id, query, top_k. (query_id, top_k, term, qtf): a term that is asked twice counts twice."""
-    each = queries.select("query_id", "top_k", F.explode(tokenize(F.col("query"))).alias("term"))
-    return each.groupBy("query_id", "top_k", "term").agg(F.count("*").alias("qtf"))
+def statistics(counts: DataFrame, scope: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, document frequencies (scope, term, df) and corpora (scope, n, avgdl) of term counts."""
+    documents, postings = counts.where(F.col("term") == DOCUMENT), counts.where(F.col("term") != DOCUMENT)
+    corpus = documents.groupBy(*scope).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return postings.select(*scope, "term", "id", "tf", "dl"), postings.groupBy(*scope, "term").agg(F.count("*").alias("df")), corpus
+
+
+def query_terms(queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """queries: query_id, query, top_k and scope. (query_id, scope, top_k, term, qtf): a term that is asked twice counts twice."""
+    each = queries.where("top_k > 0").select("query_id", *scope, "top_k", F.explode(tokenize(F.col("query"))).alias("term"))
+    return each.groupBy("query_id", *scope, "top_k", "term").agg(F.count("*").alias("qtf"))
+
+
+def with_corpus(rows: DataFrame, corpus: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    return rows.join(corpus, list(scope)) if scope else rows.join(F.broadcast(corpus), F.lit(True))  # one row
+
+
+def score_hits(postings: DataFrame, asked: DataFrame, scope: tuple[str, ...], k1: float, b: float) -> DataFrame:
+    """asked: query_terms with idf and avgdl. (query_id, top_k, id, s) of each document that has a term of a query."""
+    hits = postings.join(asked, [*scope, "term"])
+    part = F.rint(score(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), k1, b) * UNIT).cast("long") * F.col("qtf")
+    return hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s"))
 
 
 def rank_hits(scored: DataFrame, most: int) -> DataFrame:
-    """scored: query_id, top_k, id, s. The best top_k of each query; ties and rounding errors go by id. No top_k is over most:
+    """scored: query_id, top_k, id, s (in units). The best top_k of each query, equal scores by id. No top_k is over most:
     as a literal it lets every task keep so many hits a query before they are shuffled."""
-    order = Window.partitionBy("query_id").orderBy(F.round("s", 10).desc(), "id")
+    order = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.lit(most))
-    return ranked.where(F.col("rank") <= F.col("top_k")).select("query_id", "rank", "id", F.round("s", 4).alias("score"))
+    return ranked.where(F.col("rank") <= F.col("top_k")).select("query_id", "rank", "id", F.round(F.col("s") / UNIT, 4).alias("score"))
 
 
 def most_asked(queries: DataFrame) -> int:
@@ -66,31 +95,34 @@ def most_asked(queries: DataFrame) -> int:
 
 @dataclass
 class Bm25Index:
-    """postings: term, id, tf, dl; terms: term, df, idf; corpus: n, avgdl (one row)."""
+    """postings: term, id, tf, dl; terms: term, df, idf; corpus: n, avgdl (one row). With a scope (columns that lead each of
+    them) its values have statistics of their own, and each query searches one value."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
     k1: float = K1
     b: float = B
+    scope: tuple[str, ...] = ()
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str, text: Column, k1: float = K1, b: float = B, order: list | None = None) -> Bm25Index:
-        """With order, only the first document of an id counts."""
+    def build(cls, docs: DataFrame, id_col: str, text: Column, k1: float = K1, b: float = B, order: list | None = None, scope: tuple[str, ...] = ()) -> Bm25Index:
+        """With order, only the first document of an id counts. Texts are read once, into a table of term counts."""
         if order is not None:
             docs = dedup_first(docs, [id_col], order)
-        tokens = tokenized(docs, id_col, text)
-        postings = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
-        corpus = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-        terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus), F.lit(True))  # one row
-        return cls(postings, terms.select("term", "df", idf(F.col("n"), F.col("df")).alias("idf")), corpus, k1, b)
+        return cls.of_counts(materialize(term_counts(docs, id_col, text, scope), "term-counts"), k1, b, scope)
+
+    @classmethod
+    def of_counts(cls, counts: DataFrame, k1: float = K1, b: float = B, scope: tuple[str, ...] = ()) -> Bm25Index:
+        postings, df, corpus = statistics(counts, scope)
+        terms = with_corpus(df, corpus, scope).select(*scope, "term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+        return cls(postings, terms, corpus, k1, b, scope)
 
     def search(self, queries: DataFrame) -> DataFrame:
-        """queries: query_id, query, top_k. Returns query_id, rank, id, score (4 places); blank queries have no hits."""
-        asked = query_terms(queries.where("top_k > 0"))
-        hits = self.postings.join(asked, "term").join(self.terms, "term").join(F.broadcast(self.corpus), F.lit(True))  # one row
-        part = score(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), self.k1, self.b) * F.col("qtf")
-        return rank_hits(hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s")), most_asked(queries))
+        """queries: query_id, query, top_k and the scope. Returns query_id, rank, id, score (4 places); blank queries have no hits.
+        The few asked terms meet their statistics first, so that postings are joined once."""
+        asked = with_corpus(query_terms(queries, self.scope).join(self.terms, [*self.scope, "term"]), self.corpus, self.scope)
+        return rank_hits(score_hits(self.postings, asked, self.scope, self.k1, self.b), most_asked(queries))
 
     def cache(self) -> Bm25Index:
         for df in (self.postings, self.terms, self.corpus):
@@ -111,23 +143,16 @@ class Bm25Index:
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
         path = path.rstrip("/")
         corpus = spark.read.parquet(f"{path}/corpus")
-        r = corpus.first()
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), corpus.select("n", "avgdl"), r["k1"], r["b"])
+        k1, b = corpus.select(F.coalesce(F.max("k1"), F.lit(K1)), F.coalesce(F.max("b"), F.lit(B))).first()
+        scope = tuple(c for c in corpus.columns if c not in ("n", "avgdl", "k1", "b"))
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), corpus.select(*scope, "n", "avgdl"), k1, b, scope)
 
     def __len__(self) -> int:
-        return self.corpus.first()["n"]
+        return self.corpus.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def search_documents(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k1: float = K1, b: float = B) -> DataFrame:
     """The same as build and search for documents that are searched once: postings of other terms than the queries' are
     never made. The terms that are asked for are a table, so that any number of them can meet the tokens in one join."""
-    asked = query_terms(queries.where("top_k > 0"))
-    wanted = materialize(asked.select("term").distinct(), "bm25-wanted")
-    tokens = tokenized(docs, id_col, text)
-    corpus = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    met = tokens.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = met.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    hits = postings.join(asked, "term").join(terms, "term").join(F.broadcast(corpus), F.lit(True))
-    part = score(F.col("tf"), F.col("dl"), idf(F.col("n"), F.col("df")), F.col("avgdl"), k1, b) * F.col("qtf")
-    return rank_hits(hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s")), most_asked(queries))
+    wanted = materialize(query_terms(queries).select("term").distinct(), "bm25-wanted")
+    return Bm25Index.of_counts(materialize(term_counts(docs, id_col, text, wanted=wanted), "bm25-met"), k1, b).search(queries)

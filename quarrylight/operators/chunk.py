@@ -43,38 +43,20 @@ def _context(**fields: Column) -> Column:
 def build_chunks(parsed: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     """parsed: what parse_files returns. One row a chunk, in the order of files and definitions by chunk_ord."""
     files = parsed.where(~F.exists("diagnostics", lambda d: d["message"].startswith("Could not read file")))
-    imports = F.transform("imports", lambda i: F.struct(F.coalesce(F.nullif(i["alias"], F.lit("")), i["name"]).alias("key"), format_import(i["module"], i["name"], i["alias"]).alias("text")))
-    files = files.select("repository_id", "file", "file_ord", "lines", "module_docstring", "symbols", imports.alias("imports"))
-
+    imports = F.transform("imports", lambda i: format_import(i["module"], i["name"], i["alias"]))
     last = F.least(F.greatest(F.size("lines"), F.lit(1)), F.lit(max_lines))
     module = files.select(
         "repository_id", F.concat("file", F.lit("::module")).alias("chunk_id"), "file", F.concat("file", F.lit("::module")).alias("symbol_id"), module_name(F.col("file")).alias("symbol"),
         F.lit("module").alias("kind"), F.lit(1).alias("start_line"), last.alias("end_line"), line_slice(F.col("lines"), F.lit(1), last).alias("text"),
-        _context(module=module_name(F.col("file")), docstring=F.col("module_docstring"), imports=F.transform("imports", lambda i: i["text"]), total_lines=F.size("lines")).alias("context"),
+        _context(module=module_name(F.col("file")), docstring=F.col("module_docstring"), imports=imports, total_lines=F.size("lines")).alias("context"),
         F.array("file_ord", F.lit(-1), F.lit(0)).alias("chunk_ord"),
     )
 
-    each = files.select("repository_id", "file_ord", "lines", "imports", F.col("symbols").alias("all"), F.explode("symbols").alias("s")).select("repository_id", "file_ord", "lines", "imports", "all", "s.*")
-    text = line_slice(F.col("lines"), F.col("start_line"), F.col("end_line"))
-    each = each.withColumn("body", text)
-    # identifiers that stand by themselves in header and body
-    words = F.regexp_extract_all(F.concat("signature", F.lit("\n"), "body"), F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*\b"), F.lit(0))
-    each = each.withColumn("words", F.array_distinct(words))
-    each = each.withColumn("relevant", F.array_distinct(F.transform(F.filter("imports", lambda i: F.array_contains("words", i["key"])), lambda i: i["text"])))
-    own = F.filter("all", lambda o: (o["symbol_id"] == F.col("parent_symbol")) & (o["kind"] == "class"))
-    parts = F.split("qualified_name", r"\.")
-    outer = F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2))
-    each = each.withColumn("class_name", F.coalesce(F.get(own, F.lit(0))["name"], outer))
+    each = files.select("repository_id", "file_ord", F.inline("symbols"))  # what is around a definition came with it
     name = module_name(F.col("file"))
-
-    def methods_step(acc: Column, o: Column) -> Column:
-        child = o["parent_symbol"] == F.col("symbol_id")
-        within = o["qualified_name"].startswith(F.concat(F.col("name"), F.lit("."))) & ~F.array_contains(acc, o["name"])
-        return F.when(o["kind"].isin(*_METHODS) & (F.coalesce(child, F.lit(False)) | within), F.array_append(acc, o["name"])).otherwise(acc)
-
     classes = each.where("kind = 'class'").select(
         "repository_id", F.col("symbol_id").alias("chunk_id"), "file", "symbol_id", F.col("name").alias("symbol"), F.lit("class").alias("kind"), "start_line", "end_line", F.col("body").alias("text"),
-        _context(module=name, signature=F.col("signature"), docstring=F.col("docstring"), methods=F.aggregate("all", F.array().cast("array<string>"), methods_step), decorators=F.col("decorators"), relevant_imports=F.col("relevant")).alias("context"),
+        _context(module=name, signature=F.col("signature"), docstring=F.col("docstring"), methods=F.col("methods"), decorators=F.col("decorators"), relevant_imports=F.col("relevant")).alias("context"),
         F.array("file_ord", "sym_ord", F.lit(0)).alias("chunk_ord"),
     )
 
@@ -82,11 +64,13 @@ def build_chunks(parsed: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     whole = F.array(F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end")))
     calls = each.where("kind <> 'class'").withColumn("spans", F.when(long, split_lines(F.col("start_line"), F.col("end_line"), F.col("stmt_ends"), max_lines)).otherwise(whole)).withColumn("is_split", long)
     calls = calls.select("*", F.size("spans").alias("n_parts"), F.posexplode("spans").alias("at", "span"))
+    first = F.col("start_line")
+    text = F.when(F.col("is_split"), line_slice(F.split("body", "\n", -1), F.col("span.start") - first + 1, F.col("span.end") - first + 1)).otherwise(F.col("body"))
     part = F.when(F.col("is_split"), F.col("at") + 1)
     functions = calls.select(
         "repository_id", F.when(F.col("is_split"), F.concat("symbol_id", F.lit("::part_"), (F.col("at") + 1).cast("string"))).otherwise(F.col("symbol_id")).alias("chunk_id"), "file", "symbol_id", F.col("name").alias("symbol"),
         F.when(F.col("kind").isin(*_METHODS), F.lit("method")).otherwise(F.lit("function")).alias("kind"), F.col("span.start").alias("start_line"), F.col("span.end").alias("end_line"),
-        line_slice(F.col("lines"), F.col("span.start"), F.col("span.end")).alias("text"),
+        text.alias("text"),
         _context(module=name, containing_class=F.col("class_name"), signature=F.col("signature"), docstring=F.col("docstring"), decorators=F.col("decorators"), is_async=F.col("is_async"), relevant_imports=F.col("relevant"), part=part, total_parts=F.when(F.col("is_split"), F.col("n_parts")), is_split=F.when(F.col("is_split"), F.lit(True))).alias("context"),
         F.array("file_ord", "sym_ord", F.col("at")).alias("chunk_ord"),
     )

@@ -160,19 +160,6 @@ def test_shop_investigation_is_grounded(shop):
     assert all(e["source_text"] for e in r.evidence if e["kind"] == "direct")
 
 
-def test_other_intents(shop):
-    p = planner.Planner(tools.Tools(shop))
-    assert p.run("Explain how order validation works")[0] == "explain" and p.evidence
-    assert p.run("Where is validate_order")[0] == "find" and p.evidence
-    assert p.run("Trace zzzunknown thing")[1] == []
-
-
-def test_searches_of_all_questions_at_once(spark, shop):
-    asked = spark.createDataFrame([(1, "Where is the order validated?"), (2, "place_order")], "question_id int, question string")
-    got = planner.set_search(shop, asked)
-    assert {r["query_id"] for r in got.collect()} == {1, 2}
-
-
 def test_repositories_do_not_mix(spark):
     both = CodeIndex.from_table(fixtures.source_files(spark, "shop", "rules"))
     for r in both.edges.where("resolution <> 'unresolved'").join(both.symbols.selectExpr("symbol_id callee", "repository_id other"), "callee").collect():
