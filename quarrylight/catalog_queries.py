@@ -10,16 +10,17 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import chunk, graph, resolve, validate
 from .operators.bm25 import Bm25Index, search_documents, weighted_text
+from .operators.bm25_store import Bm25Store
 from .plans import fixtures, simulate, tools
 from .plans.engine import CodeIndex
 from .plans.entry_points import choose_entry_points
-from .plans.planner import investigate
+from .plans.planner import investigate, investigate_all
 from .sources.catalog import Catalog
 from .sources.repository import discover
 from .sources.tables import new_path
@@ -425,13 +426,13 @@ def _limited_sql(of: str, other: str, n: int) -> str:
 def callees_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limit of edges a node is the feature."""
     found = graph.neighbours(derived_edges(spark, sf_dir), "caller", 10)
-    return found.withColumn("pos", F.col("pos").cast("long"))
+    return found.drop("repository_id").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(_limited_sql("callee", "caller", 20))
 def callers_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.neighbours(derived_edges(spark, sf_dir), "callee", 20)
-    return found.withColumn("pos", F.col("pos").cast("long"))
+    return found.drop("repository_id").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"WITH {_EDGES_SQL} SELECT resolution, count(*) AS n FROM e GROUP BY resolution")
@@ -708,3 +709,262 @@ def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.createDataFrame([row], ingest.FILES).coalesce(1).write.mode("append").parquet(f"{base}/in")
         ingest.start_ingest(spark, f"{base}/in", f"{base}/out", once=True).awaitTermination(300)
     return ingest.edges(spark, f"{base}/out").select("caller", "callee", F.col("line").cast("long").alias("line"))
+
+
+# --- code generated from parts: a rule, an intent or a step of growth each -----------------------------------------------------
+
+
+def brand_column() -> Column:
+    return F.lower(F.translate("p_brand", "#", "_"))
+
+
+def ruled_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files a brand whose calls meet every rule: a store of classes, utilities, and a main file that imports both."""
+    parts = table(spark, sf_dir, "part").groupBy(brand_column().alias("b")).agg(F.sort_array(F.collect_list("p_partkey")).alias("k"))
+    each = lambda f: F.array_join(F.transform("k", lambda k: f(k.cast("string"))), "")
+    say = F.format_string
+    store = F.concat(
+        say("class Common_%s:\n    def shared(self):\n        return 0\n\n\ndef call_dup():\n    return dup()\n\n\n", "b"),
+        each(lambda k: say("class Store%s:\n    def load_%s(self):\n        return self.keep_%s()\n\n    def keep_%s(self):\n        return raw_%s(self)\n\n\n", k, k, k, k, k)),
+    )
+    util = F.concat(
+        F.lit("def dup():\n    return 1\n\n\ndef wide(x):\n    return x.shared()\n\n\n"), each(lambda k: say("def raw_%s(x):\n    return raw_%s(x)\n\n\ndef tool_%s(x):\n    \"\"\"Tool %s.\"\"\"\n    return x\n\n\n", k, k, k, k)),
+    )
+    main = F.concat(
+        say("from svc.%s_store import Common_%s\n", "b", "b"), each(lambda k: say("from svc.%s_store import Store%s\nfrom svc.%s_util import tool_%s as t_%s\n", "b", k, "b", k, k)), F.lit("\n\n"),
+        each(lambda k: say(
+            "def help_%s():\n    return 0\n\n\n@traced\nasync def run_%s(dep):\n    s = Store%s()\n    t_%s(1)\n    s.load_%s()\n    Store%s.keep_%s(s)\n    dep.keep_%s()\n    dep.shared()\n"
+            "    help_%s()\n    (lambda: 1)()\n    nothing_%s()\n    dep.nothing_%s()\n\n\nclass Local%s:\n    def go_%s(self):\n        return Local%s.stop_%s(self)\n\n    def stop_%s(self):\n        return 0\n\n\n", *[k] * 17)),
+    )
+    files = F.array(*(F.struct(F.concat(F.lit("svc/"), "b", F.lit(f"_{n}.py")).alias("file"), s.alias("source")) for n, s in (("store", store), ("util", util), ("main", main), ("broken", F.lit("x = 1\ndef broken(\n    pass\n")))))
+    return parts.select(F.lit("rules").alias("repository_id"), F.inline(files))
+
+
+_RULED_SQL = """
+ g AS (SELECT lower(translate(p_brand, '#', '_')) AS b, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+ bs AS (SELECT DISTINCT b, n FROM g),
+ m AS (SELECT *, 'svc/' || b || '_main.py' AS f, 'svc/' || b || '_store.py::' AS s, 'svc/' || b || '_util.py::' AS u, 2 * n + 3 + 26 * (i - 1) AS l0 FROM g)"""
+
+
+@query(f"""WITH {_RULED_SQL},
+ fit AS (SELECT x.b, y.b AS other FROM bs x JOIN bs y ON starts_with(y.b, x.b)),
+ run AS (SELECT f || '::run_' || k AS caller, * FROM m)
+SELECT s || 'Store' || k || '.load_' || k AS caller, s || 'Store' || k || '.keep_' || k AS callee, 'exact' AS resolution, CAST(1 AS BIGINT) AS rule FROM m
+UNION ALL SELECT s || 'Store' || k || '.keep_' || k, u || 'raw_' || k, 'probable', 4 FROM m
+UNION ALL SELECT u || 'raw_' || k, u || 'raw_' || k, 'exact', 1 FROM m
+UNION ALL SELECT 'svc/' || x.b || '_store.py::call_dup', 'svc/' || y.b || '_util.py::dup', 'probable', 4 FROM bs x, bs y
+UNION ALL SELECT 'svc/' || x.b || '_util.py::wide', 'svc/' || y.b || '_store.py::Common_' || y.b || '.shared', 'probable', 7 FROM bs x, bs y
+UNION ALL SELECT caller, s || 'Store' || k, 'exact', 3 FROM run
+UNION ALL SELECT caller, u || 'tool_' || k, 'exact', 3 FROM run
+UNION ALL SELECT caller, s || 'Store' || k || '.load_' || k, 'exact', 2 FROM run
+UNION ALL SELECT caller, s || 'Store' || k || '.keep_' || k, 'exact', 4 FROM run
+UNION ALL SELECT caller, s || 'Store' || k || '.keep_' || k, 'probable', 5 FROM run
+UNION ALL SELECT caller, 'svc/' || other || '_store.py::Common_' || other || '.shared', 'probable', 6 FROM run JOIN fit USING (b)
+UNION ALL SELECT caller, f || '::help_' || k, 'exact', 2 FROM run
+UNION ALL SELECT caller, 'lambda: 1', 'unresolved', 9 FROM run
+UNION ALL SELECT caller, 'nothing_' || k, 'unresolved', 9 FROM run
+UNION ALL SELECT caller, 'dep.nothing_' || k, 'unresolved', 9 FROM run
+UNION ALL SELECT f || '::Local' || k || '.go_' || k, f || '::Local' || k || '.stop_' || k, 'exact', 3 FROM m""")
+def resolve_rules_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls over all parts that meet every rule: by name 1-4 and 9, of attributes 1-7 and 9, and calls of neither."""
+    found = CodeIndex.from_table(ruled_code(spark, sf_dir)).edges
+    return found.select("caller", "callee", "resolution", F.col("rule").cast("long").alias("rule"))
+
+
+@query(f"""WITH {_RULED_SQL}
+SELECT f AS file, 'svc.' || b || '_store' AS module, 'Store' || k AS name, NULL AS alias, CAST(2 * i AS BIGINT) AS line, 'from svc.' || b || '_store import Store' || k AS source FROM m
+UNION ALL SELECT f, 'svc.' || b || '_util', 'tool_' || k, 't_' || k, 2 * i + 1, 'from svc.' || b || '_util import tool_' || k || ' as t_' || k FROM m
+UNION ALL SELECT 'svc/' || b || '_main.py', 'svc.' || b || '_store', 'Common_' || b, NULL, 1, 'from svc.' || b || '_store import Common_' || b FROM bs""")
+def imports_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = CodeIndex.from_table(ruled_code(spark, sf_dir)).imports
+    return found.select("file", "module", "name", "alias", F.col("line").cast("long").alias("line"), T.format_import(F.col("module"), F.col("name"), F.col("alias")).alias("source"))
+
+
+@query(f"WITH {_RULED_SQL} SELECT 'svc/' || b || '_broken.py' AS file, CAST(2 AS BIGINT) AS line FROM bs")
+def diagnostics_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CodeIndex.from_table(ruled_code(spark, sf_dir)).diagnostics.select("file", F.col("line").cast("long").alias("line"))
+
+
+@query(f"""WITH {_RULED_SQL},
+ t AS (SELECT *, 'from svc.' || b || '_store import Store' || k AS si, 'from svc.' || b || '_util import tool_' || k || ' as t_' || k AS ti FROM m)
+SELECT f || '::help_' || k AS chunk_id, 'function' AS kind, NULL AS containing_class, 'def help_' || k || '():' AS signature, NULL AS docstring, '' AS decorators, '' AS methods, '' AS relevant, CAST(l0 + 1 AS BIGINT) AS start_line, CAST(l0 + 2 AS BIGINT) AS end_line FROM t
+UNION ALL SELECT f || '::run_' || k, 'function', NULL, 'async def run_' || k || '(dep):', NULL, 'traced', '', si || '; ' || ti, l0 + 6, l0 + 16 FROM t
+UNION ALL SELECT f || '::Local' || k, 'class', NULL, 'class Local' || k || ':', NULL, '', 'go_' || k || ',stop_' || k, '', l0 + 19, l0 + 24 FROM t
+UNION ALL SELECT f || '::Local' || k || '.go_' || k, 'method', 'Local' || k, 'def go_' || k || '(self):', NULL, '', '', '', l0 + 20, l0 + 21 FROM t
+UNION ALL SELECT f || '::Local' || k || '.stop_' || k, 'method', 'Local' || k, 'def stop_' || k || '(self):', NULL, '', '', '', l0 + 23, l0 + 24 FROM t
+UNION ALL SELECT u || 'raw_' || k, 'function', NULL, 'def raw_' || k || '(x):', NULL, '', '', '', 9 + 9 * (i - 1), 10 + 9 * (i - 1) FROM t
+UNION ALL SELECT u || 'tool_' || k, 'function', NULL, 'def tool_' || k || '(x):', 'Tool ' || k || '.', '', '', '', 13 + 9 * (i - 1), 15 + 9 * (i - 1) FROM t""")
+def chunk_context_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature, docstring, decorators, class, methods and imports that the chunks of main and utility files carry."""
+    made = CodeIndex.from_table(ruled_code(spark, sf_dir)).chunks.where("kind <> 'module' and (file like '%main.py' or symbol rlike '^(raw|tool)_')")
+    joined = lambda c, by, name: F.coalesce(F.array_join(f"context.{c}", by), F.lit("")).alias(name)
+    return made.select(
+        "chunk_id", "kind", "context.containing_class", "context.signature", "context.docstring", joined("decorators", ",", "decorators"), joined("methods", ",", "methods"),
+        joined("relevant_imports", "; ", "relevant"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"),
+    )
+
+
+@query(_TOPK_SQL)
+def bm25_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in batches, some of them first in another version or only to be removed again, until runs have been
+    merged: the index searches as one that is built of what is left."""
+    store, docs = Bm25Store(spark, new_path(spark, "bm25-store"), fan_in=3), table(spark, sf_dir, "documents").select("doc_id", "text")
+    other = F.concat(F.reverse("text"), F.lit(" an older version"))
+    for batch in (docs.where("doc_id % 3 = 0").withColumn("text", F.when(F.col("doc_id") % 2 == 0, other).otherwise(F.col("text"))), docs.where("doc_id % 3 = 1"), docs.where("doc_id % 3 = 2").union(docs.where("doc_id % 5 = 0").select(-F.col("doc_id") - 1, "text"))):
+        store.add(batch, "doc_id", F.col("text"))
+    store.add(docs.where("doc_id % 6 = 0"), "doc_id", F.col("text"))
+    store.remove(docs.select((-F.col("doc_id") - 1).alias("id")))
+    return _hits(store.search(benchmark_queries(spark, sf_dir)), "doc_id")
+
+
+# --- questions on code generated from parts ----------------------------------------------------------------------------------
+
+#: Layers of calls, from routes to the database: suffix of the file, name of the function of part %s, its argument.
+_LAYERS = (("routes", "order_%s_endpoint", "request"), ("service", "serve_%s", "r"), ("repo", "fetch_%s", "r"), ("db", "execute_%s", "r"))
+_ODD_ONES = "def explain(x):\n    return x\n\n\ndef works(x):\n    return x\n\n\n"
+
+
+def layered_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four files a brand: each part has an endpoint, which calls a service, which calls a repository, which calls the database."""
+    parts = table(spark, sf_dir, "part").groupBy(brand_column().alias("b")).agg(F.sort_array(F.collect_list("p_partkey")).alias("k"))
+    files = []
+    every = lambda form, *before: F.array_join(F.transform("k", lambda k: F.format_string(form, *before, *[k] * (form.count("%") - len(before)))), "")
+    for i, (layer, name, arg) in enumerate(_LAYERS):
+        if i < 3:
+            below, callee, _ = _LAYERS[i + 1]
+            source = F.concat(every(f"from app.%s_{below} import {callee}\n", F.col("b")), F.lit("\n\n"), every(f"def {name}({arg}):\n    return {callee}({arg})\n\n\n"))
+        else:
+            source = F.concat(F.lit(_ODD_ONES), every(f"def {name}({arg}):\n    return {arg}\n\n\n"))
+        files.append(F.struct(F.concat(F.lit("app/"), "b", F.lit(f"_{layer}.py")).alias("file"), source.alias("source")))
+    return parts.select(F.lit("layers").alias("repository_id"), F.inline(F.array(*files)))
+
+
+def asked_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a question on a part's functions, of each intent in turn, with the turn's own words behind."""
+    n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").join(F.broadcast(n), F.lit(True))  # one row
+    k, kind = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.col("n")).cast("string"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    say = lambda f: F.format_string(f, k)
+    asked = F.when(kind == 0, say("Trace the request to order_%s_endpoint")).when(kind == 1, say("Explain how fetch_%s works")).when(kind == 2, say("Where is serve_%s")).otherwise(say("execute_%s"))
+    return turns.select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.lit("layers").alias("repository_id"), F.concat(asked, F.lit(" "), F.coalesce("text", F.lit(""))).alias("question"))
+
+
+def _layers_sql() -> str:
+    """Symbols, chunks and their index, and the hits of all questions and of the search for routes ('#')."""
+    functions, modules = [], []
+    for i, (layer, name, arg) in enumerate(_LAYERS):
+        fn = lambda n, k="k": f"'{n.split('%s')[0]}' || {k} || '{n.split('%s')[1]}'"
+        file, module = f"'app/' || b || '_{layer}.py'", f"'app.' || b || '_{layer}'"
+        nxt = _LAYERS[i + 1] if i < 3 else None
+        body = f"'def ' || {fn(name)} || '({arg}):' || chr(10) || '    return ' || " + (f"{fn(nxt[1])} || '({arg})'" if nxt else f"'{arg}'")
+        imp = f"'from app.' || b || '_{nxt[0]} import ' || {fn(nxt[1])}" if nxt else "''"
+        start = "n + 3 + 4 * (i - 1)" if nxt else "9 + 4 * (i - 1)"
+        functions.append(f"SELECT {i} AS layer, b, k, {file} AS file, {module} AS module, {fn(name)} AS name, 'def ' || {fn(name)} || '({arg}):' AS sig, {imp} AS imp, {body} AS text, {start} AS start_line FROM g")
+        src = f"(SELECT string_agg({imp} || chr(10), '' ORDER BY k) || chr(10) || chr(10) || string_agg({body} || repeat(chr(10), 3), '' ORDER BY k)" if nxt else f"(SELECT '{_ODD_ONES}' || string_agg({body} || repeat(chr(10), 3), '' ORDER BY k)"
+        modules.append(f"SELECT DISTINCT b, {file} AS file, {module} AS module, {src} FROM g x WHERE x.b = y.b) AS src FROM g y".replace("FROM g x", "FROM g x"))
+    for odd, at in (("explain", 1), ("works", 5)):
+        functions.append(f"SELECT 4, b, NULL, 'app/' || b || '_db.py', 'app.' || b || '_db', '{odd}', 'def {odd}(x):', '', 'def {odd}(x):' || chr(10) || '    return x', {at} FROM (SELECT DISTINCT b FROM g)")
+    return f"""
+ g AS (SELECT lower(translate(p_brand, '#', '_')) AS b, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+ fn AS (SELECT *, file || '::' || name AS sid FROM ({' UNION ALL '.join(functions)})),
+ md AS ({' UNION ALL '.join(modules)}),
+ chunks AS (SELECT sid AS cid, file, concat_ws(' ', name, name, sig, sig, module, 'None', imp, text) AS content FROM fn
+  UNION ALL SELECT file || '::module', file, concat_ws(' ', module, module, module, 'None', array_to_string(string_split(src, chr(10))[1:100], chr(10))) FROM md),
+ docs AS (SELECT cid, tokens, len(tokens) AS dl FROM {tokens_sql('chunks', 'cid', 'content')}),
+ corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs),
+ postings AS (SELECT cid, dl, term, count(*) AS tf FROM (SELECT cid, dl, unnest(tokens) AS term FROM docs) GROUP BY ALL),
+ terms AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus),
+ u AS (SELECT conv_id || '/' || turn AS qid, CAST((conv_id * 7 + turn) % (SELECT count(*) FROM part) AS VARCHAR) AS k, (conv_id + turn) % 4 AS kind, coalesce(text, '') AS words FROM conversations WHERE role = 'user'),
+ q0 AS (SELECT qid, CASE kind WHEN 0 THEN 'Trace the request to order_' || k || '_endpoint' WHEN 1 THEN 'Explain how fetch_' || k || ' works' WHEN 2 THEN 'Where is serve_' || k ELSE 'execute_' || k END || ' ' || words AS text FROM u),
+ q1 AS (SELECT qid, text, {_INTENT_SQL} AS intent, list_filter(regexp_extract_all(text, '{T.KEYWORD}'), lambda w: NOT list_contains({T.STOP_WORDS}, lower(w))) AS w FROM q0),
+ q2 AS (SELECT *, list_transform(w, lambda x: lower(x)) AS low FROM q1),
+ q AS (SELECT qid, text, intent, list_filter(w, lambda x, i: list_position(low, lower(x)) = i) AS w FROM q2),
+ sent AS (SELECT qid AS query_id, array_to_string(w[1:CASE intent WHEN 'explain' THEN 6 ELSE 8 END], ' ') AS query, CASE intent WHEN 'explain' THEN 5 ELSE 8 END AS top_k FROM q UNION ALL SELECT '#', 'route endpoint API request', 5),
+ asked AS (SELECT query_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS qpos FROM {tokens_sql('sent', 'query_id', 'query')}),
+ {scored_sql('cid')},
+ hits AS (SELECT query_id AS qid, rank, cid, file, {_ROLE_SQL.format("split_part(cid, '::', 2)")} AS role FROM ranked JOIN sent USING (query_id) JOIN chunks USING (cid) WHERE rank <= top_k)"""
+
+
+_NOTHING = "No clear call chain could be traced from the available symbols.\nSee the evidence items and execution trace below for partial findings."
+
+
+@query(f"""WITH {_layers_sql()},
+ chains AS (SELECT e.sid AS entry, s.layer - e.layer AS ord, s.* FROM fn e JOIN fn s ON s.b = e.b AND (s.k = e.k AND e.layer < 4 AND s.layer BETWEEN e.layer AND 3 OR s.sid = e.sid)),
+ size AS (SELECT entry, count(*) AS n, CASE WHEN count(*) > 1 THEN 2 * count(*) - 1 ELSE 2 END AS calls FROM chains GROUP BY entry),
+ e1 AS (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pos, 1 AS pre FROM hits JOIN q USING (qid) WHERE intent = 'trace' AND (contains(file, 'route') OR role = 'entry_point')),
+ lost AS (SELECT DISTINCT qid FROM hits JOIN q USING (qid) WHERE intent = 'trace' AND qid NOT IN (SELECT qid FROM e1)),
+ e2 AS (SELECT l.qid, cid, row_number() OVER (PARTITION BY l.qid ORDER BY rank) AS pos, 2 AS pre FROM lost l, hits h WHERE h.qid = '#' AND (contains(file, 'route') OR role IN ('entry_point', 'general'))),
+ e AS (SELECT x.*, coalesce(n, 0) AS n, coalesce(calls, 1) AS calls FROM (SELECT * FROM e1 WHERE pos <= 2 UNION ALL SELECT * FROM e2 WHERE pos <= 2) x LEFT JOIN size ON entry = cid),
+ t AS (SELECT qid, max(pre) + sum(calls) + max(n) AS n_calls, max(n) AS n, arg_min(cid, (-n, pos)) AS best FROM e GROUP BY qid),
+ told AS (SELECT entry, string_agg(sid, '>' ORDER BY ord) AS chain, 'The request flows through **' || count(*) || ' symbols** across **' || count(DISTINCT file) || ' file(s)**.' || chr(10) || chr(10) || '**Call chain:**' || chr(10) ||
+   string_agg(CASE WHEN ord > 0 THEN '  →  ' ELSE '' END || '`' || name || '` — **' || {_ROLE_SQL.format('name')} || '** ([`' || file || ':' || start_line || '`])', chr(10) ORDER BY ord) || chr(10) || chr(10) ||
+   coalesce('**Database operation identified at:**' || chr(10) || string_agg('  - `' || name || '` in `' || file || ':' || start_line || '-' || (start_line + 1) || '`', chr(10)) FILTER (layer = 3) || chr(10) || chr(10), '') || '**Evidence:** ' || count(*) || ' direct · 0 inferred · 0 unresolved' AS answer FROM chains GROUP BY entry),
+ ids AS (SELECT qid, list(cid ORDER BY rank) AS ids FROM hits GROUP BY qid),
+ x0 AS (SELECT qid, w, coalesce(ids, []) AS ids FROM q LEFT JOIN ids USING (qid) WHERE intent = 'explain'),
+ x1 AS (SELECT qid, list_concat(ids[1:3], list_filter(w[1:3], lambda x: NOT list_contains(ids, x))) AS targets FROM x0),
+ x2 AS (SELECT qid, unnest(targets) AS target, unnest(range(len(targets))) AS t FROM x1),
+ names AS (SELECT sid AS key, 1 AS tier, sid FROM fn UNION ALL SELECT name, 2, sid FROM fn),
+ low AS (SELECT lower(name) AS key, count(*) AS n FROM fn GROUP BY ALL),
+ x3 AS (SELECT *, least(2, coalesce((SELECT count(*) FROM names WHERE key = target GROUP BY tier ORDER BY tier LIMIT 1), (SELECT n FROM low WHERE key = lower(target)), 0)) AS n FROM x2),
+ x4 AS (SELECT *, 1 + coalesce(sum(1 + 2 * n) OVER (PARTITION BY qid ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x3),
+ x AS (SELECT qid, least(20, 1 + sum(1 + 2 * n)) AS n_calls, CAST(sum(n) AS BIGINT) AS items, CAST(sum(CASE WHEN n >= 1 AND before + 2 <= 20 THEN 1 ELSE 0 END + CASE WHEN n = 2 AND before + 4 <= 20 THEN 1 ELSE 0 END) AS BIGINT) AS direct FROM x4 WHERE before < 20 GROUP BY qid),
+ o AS (SELECT qid, count(*) AS items, bool_or(cid LIKE '%::module') AS loose FROM hits WHERE rank <= 3 GROUP BY qid)
+SELECT qid AS question_id, intent, CAST(CASE intent WHEN 'trace' THEN coalesce(t.n_calls, CASE WHEN l.qid IS NULL THEN 1 ELSE 3 END) WHEN 'explain' THEN coalesce(x.n_calls, 1) ELSE 1 + coalesce(o.items, 0) END AS BIGINT) AS n_calls, coalesce(chain, '') AS chain,
+ CAST(CASE intent WHEN 'trace' THEN coalesce(t.n, 0) WHEN 'explain' THEN coalesce(direct, 0) ELSE coalesce(o.items, 0) END AS BIGINT) AS n_direct, CASE intent WHEN 'explain' THEN coalesce(x.items - direct, 0) ELSE 0 END AS n_inferred,
+ CASE WHEN intent IN ('find', 'search') AND loose THEN 'partially_grounded' ELSE 'grounded' END AS grounding, md5('**Repository:** `layers`' || chr(10) || '**Question:** ' || text || chr(10) || chr(10) || coalesce(told.answer, '{_NOTHING}')) AS answer_md5
+FROM q LEFT JOIN t USING (qid) LEFT JOIN lost l USING (qid) LEFT JOIN told ON entry = best AND intent = 'trace' LEFT JOIN x USING (qid) LEFT JOIN o USING (qid)""")
+def investigate_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn investigated at once: intent, calls within the budget, chain, evidence, grounding and the answer."""
+    found = investigate_all(CodeIndex.from_table(layered_code(spark, sf_dir)), asked_of_layers(spark, sf_dir))
+    chain = found.chain.groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order", "symbol_id"))), lambda x: x["symbol_id"]), ">").alias("chain"))
+    kinds = found.evidence.groupBy("question_id").agg(F.count_if(F.col("kind") == "direct").alias("n_direct"), F.count_if(F.col("kind") == "static_inference").alias("n_inferred"))
+    rows = found.questions.join(chain, "question_id", "left").join(kinds, "question_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("question_id", "intent", F.col("n_calls").cast("long").alias("n_calls"), F.coalesce("chain", F.lit("")).alias("chain"), n("n_direct"), n("n_inferred"), "grounding", F.md5("answer").alias("answer_md5"))
+
+
+
+@query(SQL["resolve_rules_generated"])
+def stream_edges_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of resolve_rules_generated in batches: stores before what they call, utilities in an earlier version first, one
+    file only to be removed again. Each batch resolves the calls that it may change, and the edges are those of a whole build."""
+    base, code = new_path(spark, "stream-generated"), ruled_code(spark, sf_dir)
+    old = code.where("file like '%util.py'").withColumn("source", F.concat(F.lit("def shared():\n    return 0\n\n\n"), F.regexp_replace("source", "def (raw|dup)", "def gone_$1")))
+    extra = spark.createDataFrame([("rules", "svc/aa.py", "class Extra:\n    def shared(self):\n        return dup()\n\n\ndef dup():\n    return 1\n")], ingest.FILES)
+    batches = (code.where("file like '%store.py'").unionByName(extra), code.where("file like '%main.py'").unionByName(old), code.where("file like '%util.py' or file like '%broken.py'").unionByName(extra.withColumn("source", F.lit(None).cast("string"))))
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{base}/in")
+        ingest.start_ingest(spark, f"{base}/in", f"{base}/out", once=True).awaitTermination(600)
+    return ingest.edges(spark, f"{base}/out").select("caller", "callee", "resolution", F.col("rule").cast("long").alias("rule"))
+
+
+@query(f"""WITH {_layers_sql()} SELECT sid AS symbol_id, md5(text) AS text_md5, CAST(2 AS BIGINT) AS total_lines, start_line FROM (SELECT sid, text, CAST(start_line AS BIGINT) AS start_line FROM fn)""")
+def sources_of_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source lines of every symbol, read from the files' lines in one join."""
+    index = CodeIndex.from_table(layered_code(spark, sf_dir))
+    at = ["repository_id", "file", "start_line", "end_line"]
+    read = tools.read_sources(index.symbols.select(*at).distinct(), index.modules).where("error is null")
+    rows = index.symbols.select("symbol_id", *at).join(read.drop("start_line", "end_line").withColumnsRenamed({"asked_start": "start_line", "asked_end": "end_line"}), at)
+    return rows.select("symbol_id", F.md5("text").alias("text_md5"), F.col("total_lines").cast("long").alias("total_lines"), F.col("start_line").cast("long").alias("start_line"))
+
+
+@query(f"""WITH {_layers_sql()} SELECT sid AS chunk_id, 'function' AS kind, md5(text) AS text_md5 FROM fn
+UNION ALL SELECT file || '::module', 'module', md5(array_to_string(string_split(rtrim(src, chr(10)) || repeat(chr(10), 2), chr(10))[1:100], chr(10))) FROM md""")
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all chunks: whole functions, and the first hundred lines of modules."""
+    return CodeIndex.from_table(layered_code(spark, sf_dir)).chunks.select("chunk_id", "kind", F.md5("text").alias("text_md5"))
+
+
+#: Two repositories whose files, functions and calls have the same names; the second one's calls leave out every third.
+@query("""WITH RECURSIVE e AS (SELECT r AS repository_id, s_suppkey AS a, s_suppkey + 1 + CASE WHEN r = 'b' AND s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS z FROM supplier, (VALUES ('a'), ('b')) v(r)),
+ p AS (SELECT repository_id, a AS src, a AS dst, 0 AS hops FROM e WHERE a % 5 = 0 UNION SELECT e.repository_id, src, z, hops + 1 FROM p JOIN e ON e.repository_id = p.repository_id AND e.a = dst WHERE hops < 6)
+SELECT repository_id, 'n' || src AS src, 'n' || dst AS dst, CAST(min(hops) AS BIGINT) AS hops FROM p GROUP BY ALL""")
+def paths_of_two_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of at most six hops (the limit is the feature) stay in their repository though nodes share ids."""
+    repositories = F.explode(F.array(F.lit("a"), F.lit("b")))
+    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), repositories.alias("repository_id"))
+    skip = F.when((F.col("repository_id") == "b") & (F.col("k") % 3 == 0), 2).otherwise(1)
+    node = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    edges = n.select("repository_id", node(F.col("k")).alias("caller"), node(F.col("k") + skip).alias("callee"), F.lit("exact").alias("resolution"), F.col("k").alias("edge_ord"))
+    starts = n.where("k % 5 = 0").select("repository_id", node(F.col("k")).alias("src"))
+    return graph.shortest_paths(edges, starts, max_hops=6).select("repository_id", "src", "dst", F.col("hops").cast("long").alias("hops"))

@@ -30,9 +30,12 @@ BLOCK = 1000
 def module_keys(files: DataFrame) -> DataFrame:
     """files: repository_id, file, file_ord. (repository_id, key, file) of each name that an import may call a file: its
     path, its dotted path, and every dotted ending of that. Whole names win, then the first file."""
-    keys = keys_of_files(files, "file_ord")
+    return best_keys(keys_of_files(files, "file_ord"))
+
+
+def best_keys(keys: DataFrame) -> DataFrame:
+    """keys: repository_id, key, partial, file, file_ord. Of equal whole names the last file stands, of endings the first."""
     whole = F.col("partial") == 0
-    # of equal whole names the last file stands, of endings the first
     best = keys.groupBy("repository_id", "key").agg(F.max_by(F.when(whole, F.col("file")), F.when(whole, F.col("file_ord"))).alias("w"), F.min_by("file", "file_ord").alias("e"))
     return best.select("repository_id", "key", F.coalesce("w", "e").alias("file"))
 

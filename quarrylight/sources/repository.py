@@ -1,18 +1,19 @@
 """Source files of a repository as a table: a directory that driver and executors see, or rows of a table.
 
-Directories are listed on the driver (Spark's own readers drop names that begin with '_' or '.'), read on the executors.
+A directory is read by the data source of sources.datasource (Spark's own readers drop names that begin with '_' or '.').
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .datasource import read_tree
+from .tables import materialize
+
 # Directories and suffixes that are not indexed.
 EXCLUDED_DIRS = ".git __pycache__ .mypy_cache .pytest_cache .tox .nox .venv venv env ENV .env dist build node_modules site-packages .eggs".split()
 EXCLUDED_DIR_SUFFIX = ".egg-info"
@@ -45,28 +46,19 @@ def scan_repository(spark: SparkSession, repository_id: str, root: str | os.Path
     root = Path(root).resolve()
     if not root.is_dir():
         raise ValueError(f"Not a directory: {root}")
-    rows = [(repository_id, f, i) for i, f in enumerate(discover(root))]
-    paths = spark.createDataFrame(rows, "repository_id string, file string, file_ord int")
-    paths = paths.repartition(max(1, min(len(rows) // 64, 10_000)))
-    base = str(root)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sources, errors = [], []
-            for f in b.column(1).to_pylist():
-                try:
-                    sources.append(Path(base, f).read_text(encoding=encoding, errors="replace"))
-                    errors.append(None)
-                except OSError as e:
-                    sources.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sources, pa.string()), pa.array(errors, pa.string())], names=[*b.schema.names, "source", "read_error"])
-
-    return paths.mapInArrow(read, "repository_id string, file string, file_ord int, source string, read_error string")
+    rows = read_tree(spark, root, encoding=encoding).select(F.lit(repository_id).alias("repository_id"), "file", "source", "read_error")
+    return number_files(materialize(rows, "files"))
+
+
+def number_files(rows: DataFrame) -> DataFrame:
+    """rows: repository_id, file, source, read_error. With file_ord, the place among the files of the repository by the components of
+    their paths. Only names are sorted; texts meet their numbers in one shuffle."""
+    order = Window.partitionBy("repository_id").orderBy(F.split("file", "/"))
+    numbers = rows.select("repository_id", "file").distinct().select("repository_id", "file", (F.row_number().over(order) - 1).alias("file_ord"))
+    return rows.join(numbers, ["repository_id", "file"]).select("repository_id", "file", "file_ord", "source", "read_error")
 
 
 def files_from_table(rows: DataFrame, repository_col: str = "repository_id", file_col: str = "file", source_col: str = "source") -> DataFrame:
     """The same relation from a table of files: the way in for corpora that are no directory."""
     out = rows.select(F.col(repository_col).alias("repository_id"), F.col(file_col).alias("file"), F.col(source_col).alias("source")).where(indexable(F.col("file")))
-    order = Window.partitionBy("repository_id").orderBy(F.split("file", "/"))
-    return out.select("repository_id", "file", (F.row_number().over(order) - 1).alias("file_ord"), "source", F.lit(None).cast("string").alias("read_error"))
+    return number_files(out.withColumn("read_error", F.lit(None).cast("string")))
