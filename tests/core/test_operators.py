@@ -192,3 +192,136 @@ def test_strict_matches_whole_classes(spark):
     rows = spark.createDataFrame([("r", "a.py", code)], "repository_id string, file string, source string")
     found = {strict: CodeIndex.from_table(rows, strict=strict).edges.where("callee like '%get'").first()["resolution"] for strict in (False, True)}
     assert found == {False: "exact", True: "probable"}
+
+
+# --- trees, growing indexes, many questions ------------------------------------------------------------------------------------
+
+
+def test_tree_reads_any_file_but_none_outside(spark, tmp_path):
+    from quarrylight.sources.datasource import read_tree
+
+    root = tmp_path / "root"
+    (root / "docs").mkdir(parents=True)
+    (root / "venv").mkdir()
+    (root / "a.py").write_text("def f():\n    return 1\n")
+    (root / "docs" / "read.md").write_text("one\ntwo\nthree\n")
+    (root / "venv" / "v.py").write_text("x = 1\n")
+    (root / "gone.py").symlink_to(root / "nowhere.py")
+    (tmp_path / "secret.py").write_text("no\n")
+    (root / "out.py").symlink_to(tmp_path / "secret.py")
+    got = {r["file"]: r for r in read_tree(spark, root).collect()}
+    assert set(got) == {"a.py", "gone.py", "out.py"} and got["a.py"]["source"].startswith("def")
+    assert got["gone.py"]["source"] is None and got["gone.py"]["read_error"] and "outside" in got["out.py"]["read_error"]
+    every = {r["file"] for r in read_tree(spark, root, all="true").collect()}
+    assert every == {"a.py", "gone.py", "out.py", "docs/read.md", "venv/v.py"}
+    asked = {r["file"]: r for r in read_tree(spark, root, files='["docs/read.md", "../secret.py", "/etc/hosts"]').collect()}
+    assert asked["docs/read.md"]["source"] == "one\ntwo\nthree\n" and asked["../secret.py"]["source"] is None and asked["/etc/hosts"]["source"] is None
+
+    index = CodeIndex.from_directory(spark, "r", root)
+    t = tools.Tools(index)
+    assert t.execute("get_source", {"file": "docs/read.md", "start_line": 2, "end_line": 9}).rows[0]["text"] == "two\nthree"
+    for bad in ("../secret.py", "out.py", "docs/none.md"):
+        assert not t.execute("get_source", {"file": bad, "start_line": 1, "end_line": 1}).success
+    assert {r["file"] for r in index.diagnostics.collect()} == {"gone.py", "out.py"}
+    assert [r["symbol_id"] for r in index.symbols_of_file("a.py").collect()] == ["a.py::f"]
+
+
+def test_validation_knows_files_outside_of_the_index(spark):
+    from quarrylight.operators import validate
+    from quarrylight.schemas import EVIDENCE
+
+    items = spark.createDataFrame([("e1", "direct", "read.md", 1, 2, None, "x", "text", "d"), ("e2", "direct", "none.md", 1, 2, None, "x", "text", "d")], EVIDENCE)
+    none = spark.createDataFrame([], "file string, symbol_id string")
+    assert {r["evidence_id"] for r in validate.issues(items, none, none).collect()} == {"e1", "e2"}
+    others = spark.createDataFrame([("read.md",), ("more.md",)], "file string")
+    assert [(r["evidence_id"], r["rule"]) for r in validate.issues(items, none, none, others).collect()] == [("e2", "V1")]
+
+
+def test_growing_index_replaces_removes_and_merges(spark, tmp_path):
+    from quarrylight.operators.bm25_store import Bm25Store
+    from quarrylight.sources.tables import children
+
+    store = Bm25Store(spark, f"file://{tmp_path}/store", fan_in=2)
+    docs = lambda rows: spark.createDataFrame(rows, "id int, t string")
+    asked = spark.createDataFrame([(1, "alpha beta beta", 9), (2, "gamma", 9), (3, "", 9)], "query_id int, query string, top_k int")
+    hits = lambda index: [tuple(r) for r in index.search(asked).orderBy("query_id", "rank").collect()]
+    assert hits(store) == []
+    store.add(docs([(1, "alpha"), (2, "alpha beta"), (3, "gamma gamma")]), "id", F.col("t"))
+    store.add(docs([(2, "gamma delta"), (4, ""), (None, "alpha")]), "id", F.col("t"))
+    store.add(docs([(5, "beta alpha alpha"), (1, "beta")]), "id", F.col("t"))
+    store.remove(spark.createDataFrame([(3,), (99,)], "id int"))
+    left = docs([(1, "beta"), (2, "gamma delta"), (4, ""), (5, "beta alpha alpha")])
+    assert hits(store) == hits(Bm25Index.build(left, "id", F.col("t"))) != []
+    assert store.corpus().first()["n"] == 4
+    store.compact()
+    [one] = store.runs()
+    assert hits(store) == hits(Bm25Index.build(left, "id", F.col("t")))
+    store.vacuum()
+    assert children(spark, f"file://{tmp_path}/store/runs") == [one.folder]
+    store.add(docs([(3, "gamma")]), "id", F.col("t"))
+    assert [h[2] for h in hits(store) if h[0] == 2] == [3, 2]
+
+
+def test_scores_have_the_same_bits_in_any_order(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 9))) for i in range(60)], "id int, t string")
+    asked = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(17)), 60)], "query_id int, query string, top_k int")
+    runs = [[tuple(r) for r in Bm25Index.build(d, "id", F.col("t")).search(asked).orderBy("rank").collect()] for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.rand(3)))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 60
+
+
+def test_frequent_names_are_dealt_to_blocks(spark, monkeypatch):
+    from quarrylight.operators import resolve
+
+    code = [("r", f"c{i}.py", f"class C{i}:\n    def same(self):\n        return 0\n\n\ndef dup():\n    return 1\n") for i in range(9)]
+    code += [("r", "use.py", "from c3 import C3\n\n\ndef use(x):\n    y = C5()\n    y.same()\n    dup()\n    return x.same()\n"), ("r", "wide.py", "def wide(x):\n    return x.same()\n")]
+    rows = spark.createDataFrame(code, "repository_id string, file string, source string")
+
+    def edges():
+        return sorted(tuple(r) for r in CodeIndex.from_table(rows).edges.select("caller", "callee", "resolution", "rule").collect())
+
+    whole = edges()
+    monkeypatch.setattr(resolve, "BLOCK", 2)
+    assert edges() == whole
+    rules = [e[3] for e in whole]
+    assert {r: rules.count(r) for r in set(rules)} == {2: 1, 4: 1 + 9, 6: 1, 7: 9}
+    assert [e[1] for e in whole if e[3] == 6] == ["c3.py::C3.same"] and [e[1] for e in whole if e[3] == 2] == ["c5.py::C5.same"]
+
+
+def test_questions_together_are_answered_as_alone(spark):
+    both = CodeIndex.from_table(fixtures.source_files(spark, "shop", "rules"))
+    asked = [("a", "shop", "Trace the create order request to the database write."), ("b", "rules", "Explain what run does"), ("c", "shop", "Where is validate_order"), ("d", "shop", "Trace zzzunknown"), ("e", "none", "find order")]
+    found = planner.investigate_all(both, spark.createDataFrame(asked, "question_id string, repository_id string, question string"))
+    rows = {r["question_id"]: r for r in found.questions.collect()}
+    assert {k: r["intent"] for k, r in rows.items()} == {"a": "trace", "b": "explain", "c": "find", "d": "trace", "e": "find"}
+    chain = [r["symbol_name"] for r in found.chain.where("question_id = 'a'").orderBy("order").collect()]
+    assert chain == ["create_order_endpoint", "place_order", "save_to_repo", "execute_write"]
+    assert rows["d"]["n_calls"] == rows["e"]["n_calls"] == 1 and "No clear call chain" in rows["d"]["answer"]
+    calls = found.calls.orderBy("question_id", "step").collect()
+    for q in rows:
+        assert [c["step"] for c in calls if c["question_id"] == q] == list(range(1, rows[q]["n_calls"] + 1))
+    assert all(c["output"] for c in calls)
+    alone = planner.investigate(both, "shop", asked[0][2])
+    assert alone.answer == rows["a"]["answer"] and len(alone.trace) == rows["a"]["n_calls"]
+    assert {e["file"] for e in alone.evidence} <= {r["file"] for r in both.of("shop").modules.collect()}
+    assert both.of("shop") is both.of("shop")
+
+
+def test_suites_tell_what_they_found(spark):
+    from quarrylight.plans import simulate
+
+    names = [*simulate.SUITES, "other"]
+    code = [(n, f, s) for n in names for f, s in fixtures.REPOSITORIES["shop"].items()]
+    index = CodeIndex.from_table(spark.createDataFrame(code, "repository_id string, file string, source string"))
+    got = {(r["repository_id"], r["id"]): r for r in simulate.run_simulations(index, spark.createDataFrame([(n,) for n in names], "repository_id string")).collect()}
+    assert len(got) == 5 + 3 * 4
+    told = {k: (r["status"], r["actual"], r["diagnostic"]) for k, r in got.items()}
+    assert told["demo_repo", "api_to_db_write"] == ("passed", "Trace complete", "Multi-hop chain traced 4 nodes (create_order_endpoint → place_order → save_to_repo → execute_write) terminating at database.")
+    assert told["demo_repo", "missing_dependency"][0] in ("passed", "failed") and told["demo_repo", "missing_dependency"][1] in ("Dependency reported", "Not detected")
+    assert told["demo_ecommerce", "order_creation_trace"] == ("passed", "Trace complete", "Order creation traced 4 hops terminating at database.")
+    assert told["demo_ecommerce", "order_validation"][:2] == ("passed", "Validation identified")
+    assert told["demo_auth", "login_trace"][2].startswith("Login traced 4 hops") or told["demo_auth", "login_trace"][2].startswith("Login handlers")
+    assert told["other", "call_graph_traversal"][1] == "Edges resolved"
+    assert told["other", "source_evidence_grounding"][2].startswith("Grounding status: ")
+    assert all(r["name"] and r["expected"] for r in got.values())
+    totals = {r["repository_id"]: r for r in simulate.summary(simulate.run_simulation(index, "other")).collect()}
+    assert totals["other"]["total"] == 3
