@@ -1,7 +1,7 @@
 """Named queries over the driver's tables, one or more for each operator, with the SQL of each.
 
 Documents, parts and orders stand in for corpora: parts generate code files whose symbols and calls SQL can predict, orders and
-line items are a call graph. What SQL can't compute is held against rows derived by hand.
+line items are a call graph.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .plans.engine import CodeIndex
 from .plans.entry_points import choose_entry_points
 from .plans.planner import investigate, investigate_all
 from .sources.catalog import Catalog
-from .sources.repository import discover
+from .sources.repository import discover, scan_repository
 from .sources.tables import new_path
 from .streaming import ingest
 
@@ -40,6 +40,19 @@ def query(sql: str | None = None):
     return add
 
 
+#: Checks on rows that were derived by hand: they read no table, so tests alone run them.
+GOLDENS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+GOLDEN_SQL: dict[str, str] = {}
+
+
+def golden(sql: str):
+    def add(f):
+        GOLDENS[f.__name__], GOLDEN_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,7 +114,7 @@ GOLDEN_TOKENS = {
 }
 
 
-@query(values("text VARCHAR, pos BIGINT, token VARCHAR", [(k, i, t) for k, v in GOLDEN_TOKENS.items() for i, t in enumerate(v.split())]))
+@golden(values("text VARCHAR, pos BIGINT, token VARCHAR", [(k, i, t) for k, v in GOLDEN_TOKENS.items() for i, t in enumerate(v.split())]))
 def tokenize_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(k,) for k in GOLDEN_TOKENS], "text string")
     return rows.select("text", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")).select("text", F.col("pos").cast("long").alias("pos"), "token")
@@ -138,7 +151,7 @@ def role_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", T.detect_role(F.col("name")).alias("role"))
 
 
-@query(values("name VARCHAR, role VARCHAR, class_only BOOLEAN", [
+@golden(values("name VARCHAR, role VARCHAR, class_only BOOLEAN", [
     ("f.py::get_user_profile_endpoint", "entry_point", False), ("f.py::verify_request_auth", "auth", False), ("f.py::UserService", "service", True), ("f.py::UserService.go", "service", False),
     ("f.py::find_by_id", "repository", False), ("f.py::execute_query", "database", False), ("f.py::some_random_function", "general", False), ("f.py::AuthService", "auth", True), ("f.py::get_db", "database", False),
     ("f.py::get_settings", "config", False), ("f.py::find_order", "general", False), ("f.py::review", "entry_point", False), ("print", "general", False), ("f.py::Fault", "general", True),
@@ -149,7 +162,7 @@ def role_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", T.detect_role(T.last_part(F.col("name"))).alias("role"), T.is_class_only(F.col("name")).alias("class_only"))
 
 
-@query(values("helper VARCHAR, shown VARCHAR", [
+@golden(values("helper VARCHAR, shown VARCHAR", [
     ("issue", "[ERROR] evidence=e1: gone"), ("module", "a.b"), ("one", "1 file"), ("several", "3 files"), ("short", "services/users.py"), ("shortest", "a.py"), ("summary", "x" * 200 + "…"),
 ]))
 def display_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +343,7 @@ def _fixture(spark: SparkSession, *names: str) -> CodeIndex:
     return CodeIndex.from_table(fixtures.source_files(spark, *names))
 
 
-@query(values("symbol_id VARCHAR, kind VARCHAR, signature VARCHAR, docstring VARCHAR", [
+@golden(values("symbol_id VARCHAR, kind VARCHAR, signature VARCHAR, docstring VARCHAR", [
     ("alpha.py::plain", "function", "def plain(a):", "Doc."), ("pkg/util.py::helper", "function", "def helper():", None), ("pkg/util.py::other", "function", "def other():", None),
     ("shapes.py::Shape", "class", "class Shape:", "A shape."), ("shapes.py::Shape.Inner", "class", "class Inner:", None), ("shapes.py::Shape.Inner.deep", "method", "def deep(self):", None),
     ("shapes.py::Shape.area", "method", "def area(self):", None), ("shapes.py::Shape.load", "async_method", "async def load(self, a:", None), ("shapes.py::Shape.load.local", "function", "def local():", None),
@@ -339,7 +352,7 @@ def signatures_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixture(spark, "basics").symbols.select("symbol_id", "kind", "signature", "docstring")
 
 
-@query(values("file VARCHAR, module VARCHAR, name VARCHAR, alias VARCHAR, line BIGINT, source VARCHAR", [
+@golden(values("file VARCHAR, module VARCHAR, name VARCHAR, alias VARCHAR, line BIGINT, source VARCHAR", [
     ("alpha.py", None, "os", None, 2, "import os"), ("alpha.py", None, "numpy", "np", 3, "import numpy as np"), ("alpha.py", "pkg.util", "helper", "h", 4, "from pkg.util import helper as h"),
     ("alpha.py", "pkg.util", "other", None, 4, "from pkg.util import other"), ("alpha.py", "", "sibling", None, 5, "import sibling"), ("pkg/util.py", None, "json", None, 6, "import json"),
 ]))
@@ -348,12 +361,12 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "module", "name", "alias", F.col("line").cast("long").alias("line"), T.format_import(F.col("module"), F.col("name"), F.col("alias")).alias("source"))
 
 
-@query(values("file VARCHAR, line BIGINT", [("broken.py", 1)]))
+@golden(values("file VARCHAR, line BIGINT", [("broken.py", 1)]))
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixture(spark, "basics").diagnostics.select("file", F.col("line").cast("long").alias("line"))
 
 
-@query(values("chunk_id VARCHAR, kind VARCHAR, containing_class VARCHAR, methods VARCHAR, relevant_imports VARCHAR, end_line BIGINT", [
+@golden(values("chunk_id VARCHAR, kind VARCHAR, containing_class VARCHAR, methods VARCHAR, relevant_imports VARCHAR, end_line BIGINT", [
     ("alpha.py::module", "module", None, "", "", 10), ("alpha.py::plain", "function", None, "", "", 10), ("broken.py::module", "module", None, "", "", 2), ("empty.py::module", "module", None, "", "", 1),
     ("pkg-a.py::module", "module", None, "", "", 1), ("pkg/util.py::module", "module", None, "", "", 7), ("pkg/util.py::helper", "function", None, "", "", 2), ("pkg/util.py::other", "function", None, "", "import json", 7),
     ("shapes.py::module", "module", None, "", "", 16), ("shapes.py::Shape", "class", None, "deep,area,load", "", 16), ("shapes.py::Shape.Inner", "class", None, "deep", "", 6),
@@ -366,7 +379,7 @@ def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("chunk_id", "kind", "context.containing_class", joined("methods"), joined("relevant_imports"), F.col("end_line").cast("long").alias("end_line"))
 
 
-@query(values("ord BIGINT, file VARCHAR", list(enumerate(["__init__.py", "_private.py", "a/b.py", "a-b.py", "zebra.py"]))))
+@golden(values("ord BIGINT, file VARCHAR", list(enumerate(["__init__.py", "_private.py", "a/b.py", "a-b.py", "zebra.py"]))))
 def scan_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discovery in a tree with directories that are not indexed."""
     with tempfile.TemporaryDirectory() as root:  # the driver alone lists
@@ -523,7 +536,7 @@ def module_path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.module_keys(files).select("key", "file")
 
 
-@query(values("caller VARCHAR, callee VARCHAR, resolution VARCHAR, line BIGINT, rule BIGINT", [
+@golden(values("caller VARCHAR, callee VARCHAR, resolution VARCHAR, line BIGINT, rule BIGINT", [
     ("app/models.py::User.save", "app/tools.py::store", "probable", 3, 4),
     ("app/models.py::User.touch", "app/models.py::User.save", "exact", 6, 1),
     ("app/tools.py::twice", "app/tools.py::twice", "exact", 6, 1),
@@ -616,13 +629,13 @@ The request flows through **4 symbols** across **4 file(s)**.
 SHOP_QUESTION = "Trace the create order request to the database write."
 
 
-@query(values("repository_id VARCHAR, grounding VARCHAR, answer VARCHAR", [("shop", "grounded", _SHOP_ANSWER)]))
+@golden(values("repository_id VARCHAR, grounding VARCHAR, answer VARCHAR", [("shop", "grounded", _SHOP_ANSWER)]))
 def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = investigate(_fixture(spark, "shop"), "shop", SHOP_QUESTION)
     return spark.createDataFrame([(r.repository_id, r.grounding, r.answer)], "repository_id string, grounding string, answer string")
 
 
-@query(values("step BIGINT, tool VARCHAR, detail VARCHAR", [
+@golden(values("step BIGINT, tool VARCHAR, detail VARCHAR", [
     (1, "keyword_search", "Trace create order request database write"), (2, "symbol_lookup", "app/routes.py::create_order_endpoint"), (3, "find_callees", "app/routes.py::create_order_endpoint"),
     (4, "symbol_lookup", "app/service.py::OrderService.place_order"), (5, "find_callees", "app/service.py::OrderService.place_order"), (6, "symbol_lookup", "app/repository.py::OrderRepository.save_to_repo"),
     (7, "find_callees", "app/repository.py::OrderRepository.save_to_repo"), (8, "symbol_lookup", "app/database.py::execute_write"),
@@ -636,7 +649,7 @@ def investigate_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "step long, tool string, detail string")
 
 
-@query(values("repository_id VARCHAR, total BIGINT, passed BIGINT, failed BIGINT", [("shop", 3, 3, 0)]))
+@golden(values("repository_id VARCHAR, total BIGINT, passed BIGINT, failed BIGINT", [("shop", 3, 3, 0)]))
 def simulate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.summary(simulate.run_simulation(_fixture(spark, "shop"), "shop"))
 
@@ -652,13 +665,13 @@ _CASES = [
 ]
 
 
-@query(values("case_id VARCHAR, ok BOOLEAN", [(c, ok) for c, _, _, ok in _CASES]))
+@golden(values("case_id VARCHAR, ok BOOLEAN", [(c, ok) for c, _, _, ok in _CASES]))
 def tool_arg_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = tools.Tools(_fixture(spark, "shop")).execute
     return spark.createDataFrame([(c, run(t, a).success) for c, t, a, _ in _CASES], "case_id string, ok boolean")
 
 
-@query(values("op VARCHAR, ok BOOLEAN", [("cached", True), ("evicted", True), ("listed", True), ("missing", True), ("registered", True), ("unknown", True), ("unregistered", True)]))
+@golden(values("op VARCHAR, ok BOOLEAN", [("cached", True), ("evicted", True), ("listed", True), ("missing", True), ("registered", True), ("unknown", True), ("unregistered", True)]))
 def catalog_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     def raises(kind, f, *args) -> bool:
         try:
@@ -688,7 +701,7 @@ _SAME_NAMES = [("r1", "a.py", "def alpha():\n    return zebra()\n"), ("r2", "a.p
 _CROSSED = [("r", "a.py", "def fa():\n    return ga()\n\n\ndef ga():\n    return 1\n"), ("r", "b.py", "def fb():\n    return gb()\n\n\ndef gb():\n    return 2\n")]
 
 
-@query(values("word VARCHAR, repository_id VARCHAR, chunk_id VARCHAR", [(w, r, f"a.py::{c}") for w, r in (("lion", "r2"), ("zebra", "r1")) for c in ("alpha", "module")]))
+@golden(values("word VARCHAR, repository_id VARCHAR, chunk_id VARCHAR", [(w, r, f"a.py::{c}") for w, r in (("lion", "r2"), ("zebra", "r1")) for c in ("alpha", "module")]))
 def bm25_multi_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of one id in two repositories are two chunks, in an index of both and in that of each."""
     index = CodeIndex.from_table(spark.createDataFrame(_SAME_NAMES, "repository_id string, file string, source string"))
@@ -700,7 +713,7 @@ def bm25_multi_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(values("caller VARCHAR, callee VARCHAR, line BIGINT", [("a.py::fa", "a.py::ga", 2), ("b.py::fb", "b.py::gb", 3)]))
+@golden(values("caller VARCHAR, callee VARCHAR, line BIGINT", [("a.py::fa", "a.py::ga", 2), ("b.py::fb", "b.py::gb", 3)]))
 def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that arrive in batches, one of them again in a later version, have the edges of a whole build of the latest ones."""
     base = new_path(spark, "stream")
@@ -968,3 +981,96 @@ def paths_of_two_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = n.select("repository_id", node(F.col("k")).alias("caller"), node(F.col("k") + skip).alias("callee"), F.lit("exact").alias("resolution"), F.col("k").alias("edge_ord"))
     starts = n.where("k % 5 = 0").select("repository_id", node(F.col("k")).alias("src"))
     return graph.shortest_paths(edges, starts, max_hops=6).select("repository_id", "src", "dst", F.col("hops").cast("long").alias("hops"))
+
+
+# --- names, trees and tools over tables ----------------------------------------------------------------------------------------
+
+_NAMED_SQL = """(SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') || '_' || p_partkey WHEN 1 THEN 'get' || p_type || 'For' || p_partkey || 'HTTPItem' WHEN 2 THEN 'app.' || replace(p_name, ' ', '.') || '.' || p_type
+  WHEN 3 THEN '__' || lower(p_type) || '__' WHEN 4 THEN 'My_' || p_type || 'Server.find_by_' || p_partkey ELSE p_name || '.' || p_name || ' ' || p_type END AS name FROM part)"""
+
+
+@query(f"SELECT p_partkey, array_to_string(tokens, ' ') AS tokens FROM {tokens_sql(_NAMED_SQL, 'p_partkey', 'name')}")
+def tokenize_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snake case, camel case, dots and acronyms made from every part."""
+    name = F.expr("""CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') || '_' || p_partkey WHEN 1 THEN 'get' || p_type || 'For' || p_partkey || 'HTTPItem' WHEN 2 THEN 'app.' || replace(p_name, ' ', '.') || '.' || p_type
+      WHEN 3 THEN '__' || lower(p_type) || '__' WHEN 4 THEN 'My_' || p_type || 'Server.find_by_' || p_partkey ELSE p_name || '.' || p_name || ' ' || p_type END""")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.tokenize(name), " ").alias("tokens"))
+
+
+@query("""SELECT page_id, array_to_string(string_split(url, '/')[-2:], '/') AS short, page_id % 3 || ' page' || CASE WHEN page_id % 3 = 1 THEN '' ELSE 's' END AS counted, trim(replace(regexp_replace(url, '\\.py$', ''), '/', '.'), '.') AS module,
+ CASE WHEN page_id % 7 = 0 THEN 'No data returned.' WHEN length(html) > 200 THEN substr(html, 1, 200) || '…' ELSE html END AS summary, '[ERROR] evidence=' || page_id || ': ' || url AS issue FROM pages""")
+def display_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What results are shown with: short paths, counts, module names, cut summaries, issues."""
+    n, url = F.col("page_id"), F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", T.short_file(url).alias("short"), T.pluralise(n % 3, "page").alias("counted"), T.module_name(url).alias("module"),
+        T.summarise(F.when(n % 7 != 0, F.col("html"))).alias("summary"), T.format_issue(F.lit("ERROR"), n.cast("string"), url).alias("issue"),
+    )
+
+
+_ID_SQL = "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'f.py::' END || CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN lower(p_brand) WHEN 2 THEN p_brand || '.go' ELSE p_type END"
+
+
+@query(f"SELECT p_partkey, contains(id, '::') AND NOT contains(split_part(id, '::', -1), '.') AND regexp_matches(split_part(id, '::', -1), '^[A-Z]') AS class_only FROM (SELECT p_partkey, {_ID_SQL} AS id FROM part)")
+def class_only_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.is_class_only(F.expr(_ID_SQL)).alias("class_only"))
+
+
+_PLACE = "CASE doc_id % 7 WHEN 0 THEN 'venv/' WHEN 1 THEN '.git/x/' WHEN 2 THEN 'a.egg-info/' WHEN 3 THEN 'pkg/sub/' WHEN 4 THEN '' WHEN 5 THEN 'pkg-b/node_modules/' ELSE '_own/' END || 'f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.pyc' WHEN 1 THEN '.txt' ELSE '.py' END"
+
+
+@query(f"""SELECT file, row_number() OVER (ORDER BY string_split(file, '/')) - 1 AS file_ord, md5(text) AS source_md5 FROM (SELECT {_PLACE} AS file, coalesce(text, '') AS text, doc_id FROM documents)
+WHERE doc_id % 7 IN (3, 4, 6) AND doc_id % 5 > 1""")
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with a file a document, written by tasks below the shared folder: what is discovered, in which order, and its text."""
+    root = new_path(spark, "tree").removeprefix("file://")
+
+    def write(batches):
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = Path(root, file)
+                at.parent.mkdir(parents=True, exist_ok=True)
+                at.write_bytes(text.encode())
+            yield batch.select(["file"])
+
+    docs = table(spark, sf_dir, "documents").select(F.expr(_PLACE).alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
+    found = scan_repository(spark, "tree", root)
+    return found.select("file", F.col("file_ord").cast("long").alias("file_ord"), F.md5("source").alias("source_md5"))
+
+
+@query(f"WITH {_layers_sql()} SELECT b AS repository_id, unnest(['app/' || b || '_db.py::explain', 'app/' || b || '_db.py::module']) AS chunk_id, unnest([1, 2]) AS rank FROM (SELECT DISTINCT b FROM g)")
+def search_of_each_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository a brand in one index, each searched with statistics of its own."""
+    code = layered_code(spark, sf_dir).withColumn("repository_id", F.regexp_extract("file", "app/(.*)_[a-z]+\\.py", 1))
+    index = CodeIndex.from_table(code)
+    asked = code.select(F.col("repository_id").alias("query_id"), "repository_id").distinct().select("*", F.lit("explain").alias("query"), F.lit(10).alias("top_k"))
+    return index.bm25_by_repository.search(asked).select(F.col("query_id").alias("repository_id"), F.col("id.chunk_id").alias("chunk_id"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT lower(translate(p_brand, '#', '_')) AS repository_id, CAST(3 AS BIGINT) AS total, CAST(3 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS failed FROM part GROUP BY ALL")
+def simulate_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generic suite for a repository a brand, all in one investigation."""
+    code = layered_code(spark, sf_dir).withColumn("repository_id", F.regexp_extract("file", "app/(.*)_[a-z]+\\.py", 1))
+    return simulate.summary(simulate.run_simulations(CodeIndex.from_table(code), code.select("repository_id")))
+
+
+_TOOLS_SQL = " UNION ALL ".join((
+    "SELECT 'explained' AS case_id, true AS ok, (SELECT count(*) FROM fn WHERE name = 'explain') AS n", "SELECT 'any_case', true, (SELECT count(*) FROM fn WHERE name = 'works')", "SELECT 'one', true, 1 FROM f", "SELECT 'callers', true, 1 FROM f",
+    "SELECT 'callees', true, 1 FROM f", "SELECT 'source', true, 1 FROM f", "SELECT 'far', false, 0", "SELECT 'chunk', true, 1 FROM f", "SELECT 'search', true, least(50, (SELECT count(*) FROM postings WHERE term = 'explain'))", "SELECT 'bad_limit', false, 0", "SELECT 'nobody', false, 0", "SELECT 'outside', false, 0",
+))
+
+
+@query(f"WITH {_layers_sql()}, f AS (SELECT 1 FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)) {_TOOLS_SQL}")
+def tool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the six tools over the code of all parts: whether each succeeds and how many rows it gives."""
+    run = tools.Tools(CodeIndex.from_table(layered_code(spark, sf_dir))).execute
+    k, brand = table(spark, sf_dir, "part").orderBy("p_partkey").select("p_partkey", brand_column()).first()
+    at = f"app/{brand}"
+    calls = [
+        ("explained", "symbol_lookup", {"symbol_query": "explain"}), ("any_case", "symbol_lookup", {"symbol_query": " WORKS "}), ("one", "symbol_lookup", {"symbol_query": f"{at}_repo.py::fetch_{k}"}), ("callers", "find_callers", {"symbol_id": f"{at}_repo.py::fetch_{k}"}),
+        ("callees", "find_callees", {"symbol_id": f"{at}_repo.py::fetch_{k}", "limit": 5}), ("source", "get_source", {"file": f"{at}_db.py", "start_line": 1, "end_line": 2}), ("far", "get_source", {"file": f"{at}_db.py", "start_line": 10**8, "end_line": 10**8}),
+        ("chunk", "get_chunk", {"chunk_id": f"{at}_db.py::module"}), ("search", "keyword_search", {"query": "explain", "top_k": 50}), ("bad_limit", "find_callees", {"symbol_id": "x", "limit": 0}), ("nobody", "symbol_lookup", {"symbol_query": "nobody"}),
+        ("outside", "get_source", {"file": "../x", "start_line": 1, "end_line": 2}),
+    ]
+    return spark.createDataFrame([(c, (r := run(t, a)).success, len(r.rows)) for c, t, a in calls], "case_id string, ok boolean, n long")

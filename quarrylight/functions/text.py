@@ -150,7 +150,7 @@ def pluralise(n: Column, noun: str) -> Column:
 
 
 def summarise(text: Column, most: int = 200) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+    return F.when(text.isNull(), F.lit("No data returned.")).when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
 def quoted(text: Column) -> Column:

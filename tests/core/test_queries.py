@@ -18,18 +18,18 @@ def norm(rows: list[dict]) -> list[str]:
 
 
 def test_every_query_has_sql():
-    assert set(cq.QUERIES) == set(cq.SQL)
+    assert set(cq.QUERIES) == set(cq.SQL) and not set(cq.QUERIES) & set(cq.GOLDENS)
 
 
-@pytest.mark.parametrize("name", sorted(cq.QUERIES))
+@pytest.mark.parametrize("name", sorted(cq.QUERIES | cq.GOLDENS))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    got = con.execute(cq.SQL[name])
+    got = con.execute((cq.SQL | cq.GOLDEN_SQL)[name])
     names = [c[0] for c in got.description]
     want = [dict(zip(names, r, strict=True)) for r in got.fetchall()]
-    assert norm([r.asDict(recursive=True) for r in cq.QUERIES[name](spark, sf_dir).collect()]) == norm(want)
+    assert norm([r.asDict(recursive=True) for r in (cq.QUERIES | cq.GOLDENS)[name](spark, sf_dir).collect()]) == norm(want)
 
 
 def test_entry_imports_without_llm():
