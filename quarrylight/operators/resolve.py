@@ -116,7 +116,8 @@ def resolve_sites(calls: DataFrame, symbols: DataFrame, imports: DataFrame, keys
     last = F.row_number().over(Window.partitionBy("repository_id", "file", "qualified_name").orderBy(c("rank").desc()))
     by_qname = symbols.withColumn("n", last).where("n = 1").select("repository_id", c("file").alias("sym_file"), c("qualified_name").alias("t_qname"), c("symbol_id").alias("there"))
     of_class = F.when((c("func_kind") == "attr") & (c("sym_kind") == "class"), F.concat_ws(".", "sym_name", "name"))
-    open_ = open_.withColumn("t_qname", of_class).join(by_qname, ["repository_id", "sym_file", "t_qname"], "left")
+    nothing = F.concat(F.lit("::"), c("call_ord").cast("string"))  # no name; calls without one must not meet in one place
+    open_ = open_.withColumns({"t_qname": F.coalesce(of_class, nothing), "sym_file": F.coalesce("sym_file", "file")}).join(by_qname, ["repository_id", "sym_file", "t_qname"], "left")
 
     # candidates by name, and how many there are
     by = ["repository_id", "name", "method"]
