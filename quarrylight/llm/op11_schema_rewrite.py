@@ -10,7 +10,7 @@ the starting files and writes replacements beside them; only when all are there
 the starting files. Each step can run again with the same outcome.
 
 Nulls stay nulls; a column that a file doesn't have gets its default in every row. Rows without a client_id come first, those of one
-client_id in the order of their other columns; rows that are wholly equal are interchangeable. An empty table has no files.
+client_id go by a hash of their other columns; rows that are wholly equal are interchangeable. An empty table has no files.
 Texts of any length pass through, of as many rows at a time as Arrow's batches have. Columns that are no field of the schema
 are not read. Folders must be reachable by pyarrow.fs from every executor (file, hdfs, s3, gs).
 """
@@ -64,11 +64,12 @@ _SPARK = {pa.int64(): "long", pa.string(): "string", pa.timestamp("us"): "timest
 
 
 def ranked(rows: DataFrame, order: list[str], ranges: int = RANGES) -> tuple[DataFrame, int]:
-    """The rows with their _rank (from 0) by the columns `order`, and how many there are. All columns decide where rows are dealt to, and
-    a row's place in the input last, so that no range has to take all rows of a frequent key."""
-    keys = [*order, *(c for c in rows.columns if c not in order)]
-    placed = rows.withColumn("_input", F.monotonically_increasing_id())
-    dealt = placed.repartitionByRange(ranges, *keys, "_input").sortWithinPartitions(*keys, "_input").drop("_input")
+    """The rows with their _rank (from 0) by the columns `order`, and how many there are. Rows of one key go by a hash of their
+    other columns, and are dealt by key, hash and their place in the input, so that no range has to take all rows of a
+    frequent key and the sample that finds the ranges has but a few numbers a row."""
+    rest = [c for c in rows.columns if c not in order]
+    placed = rows.withColumns({"_hash": F.xxhash64(*rest, F.lit(0)), "_input": F.monotonically_increasing_id()})
+    dealt = placed.repartitionByRange(ranges, *order, "_hash", "_input").sortWithinPartitions(*order, "_hash", "_input").drop("_hash", "_input")
     at = F.monotonically_increasing_id()  # the partition's number times 2^33, plus the row's place
     stored = materialize(dealt.select("*", at.alias("_at")), "ranges").withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
     counts = stored.groupBy("_range").agg(F.count("*").alias("n"))  # at most `ranges` rows from here on
