@@ -1,9 +1,9 @@
 """BM25 over any documents: an inverted index as tables, and search of any number of queries in one job.
 
 The postings are dealt and sorted by term when they are saved, so a search prunes files by the query's terms. Scores come
-from an equi-join of query terms with postings; a query's hits are ranked by a window that keeps k rows a query. Parts of a score are
-added as whole numbers of 2^-46, about the precision of a double of that size: sums have the same bits in any order, so ranks
-need no rounding.
+from an equi-join of query terms with postings, which are dealt by document first where the asked terms are few enough to be
+broadcast; a query's hits are ranked by a window that keeps k rows a query. Parts of a score are added as whole numbers of
+2^-46, about the precision of a double of that size: sums have the same bits in any order, so ranks need no rounding.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .chunk import dedup_first
 K1, B, TOP_K = 1.5, 0.75, 10
 #: Parts of scores are counted in units of 1 / UNIT.
 UNIT = float(1 << 46)
+#: So many asked terms at most are broadcast; each is a row of under a hundred bytes.
+ASKED_MOST = 200_000
 #: Stands for a document itself among its terms; no token is empty.
 DOCUMENT = ""
 
@@ -76,7 +78,14 @@ def with_corpus(rows: DataFrame, corpus: DataFrame, scope: tuple[str, ...]) -> D
 
 def score_hits(postings: DataFrame, asked: DataFrame, scope: tuple[str, ...], k1: float, b: float) -> DataFrame:
     """asked: query_terms with idf and avgdl. (query_id, top_k, id, s) of each document that has a term of a query."""
-    hits = postings.join(asked, [*scope, "term"])
+    keys = [*scope, "term"]
+    asked = materialize(asked, "asked")
+    if asked.limit(ASKED_MOST + 1).count() <= ASKED_MOST:
+        # postings of asked terms are dealt by document before queries multiply them, so that scores add up where they are
+        met = postings.join(F.broadcast(asked.select(*keys).distinct()), keys, "left_semi").repartition("id")
+        hits = met.join(F.broadcast(asked), keys)
+    else:
+        hits = postings.join(asked, keys)
     part = F.rint(score(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), k1, b) * UNIT).cast("long") * F.col("qtf")
     return hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s"))
 
