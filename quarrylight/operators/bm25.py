@@ -22,6 +22,8 @@ K1, B, TOP_K = 1.5, 0.75, 10
 UNIT = float(1 << 46)
 #: So many asked terms at most are broadcast; each is a row of under a hundred bytes.
 ASKED_MOST = 200_000
+#: A term of several queries is heavy if its hits of all of them are more than these.
+HEAVY = 1_000_000
 #: Stands for a document itself among its terms; no token is empty.
 DOCUMENT = ""
 
@@ -76,8 +78,8 @@ def with_corpus(rows: DataFrame, corpus: DataFrame, scope: tuple[str, ...]) -> D
     return rows.join(corpus, list(scope)) if scope else rows.join(F.broadcast(corpus), F.lit(True))  # one row
 
 
-def score_hits(postings: DataFrame, asked: DataFrame, scope: tuple[str, ...], k1: float, b: float) -> DataFrame:
-    """asked: query_terms with idf and avgdl. (query_id, top_k, id, s) of each document that has a term of a query."""
+def score_hits(postings: DataFrame, asked: DataFrame, scope: tuple[str, ...], k1: float, b: float, by: tuple[str, ...]) -> DataFrame:
+    """asked: query_terms with idf and avgdl. (by, id, s) of each document that has a term of them."""
     keys = [*scope, "term"]
     asked = materialize(asked, "asked")
     if asked.limit(ASKED_MOST + 1).count() <= ASKED_MOST:
@@ -87,7 +89,37 @@ def score_hits(postings: DataFrame, asked: DataFrame, scope: tuple[str, ...], k1
     else:
         hits = postings.join(asked, keys)
     part = F.rint(score(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), k1, b) * UNIT).cast("long") * F.col("qtf")
-    return hits.groupBy("query_id", "top_k", "id").agg(F.sum(part).alias("s"))
+    return hits.groupBy(*by, "id").agg(F.sum(part).alias("s"))
+
+
+def score_queries(postings: DataFrame, asked: DataFrame, scope: tuple[str, ...], k1: float, b: float, most: int) -> DataFrame:
+    """asked: query_terms with df, idf and avgdl. (query_id, top_k, id, s) of the best documents of each query, `most` at least.
+
+    What heavy terms score is the same for all queries that have the same ones, so it is added up once for each such bag. All
+    parts of scores are above zero: a document without a light term of a query is among its best only if it is among those of
+    the bag, and any other is met by its light terms, which are few, and is given what the bag scores it. Where bags repeat less than
+    twice on average nothing is shared, and queries are scored whole."""
+    keys, query = [*scope, "term"], ["query_id", "top_k"]
+    asked = materialize(asked, "asked")
+    heavy = asked.groupBy(*keys, "df").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") * F.col("df") > HEAVY))
+    heavy = materialize(heavy.select(*keys, F.lit(True).alias("heavy")), "heavy")
+    if heavy.isEmpty():
+        return score_hits(postings, asked, scope, k1, b, tuple(query))
+    own = F.collect_list(F.when(F.col("heavy"), F.struct("term", "qtf"))).over(Window.partitionBy(*query, *scope))
+    asked = asked.join(heavy, keys, "left").withColumn("bag", F.sha2(F.to_json(F.struct(*scope, F.sort_array(own).alias("terms"))), 256))
+    asked = materialize(asked, "bags")
+    owners = materialize(asked.select(*query, "bag").distinct(), "owners")
+    n, bags = owners.agg(F.count("*"), F.count_distinct("bag")).first()
+    if n < 2 * bags:
+        return score_hits(postings, asked, scope, k1, b, tuple(query))
+    shared = asked.where("heavy").select(*keys, "bag", "qtf", "idf", "avgdl").distinct()
+    of_bags = materialize(score_hits(postings, shared, scope, k1, b, ("bag",)), "of-bags")
+    first = F.row_number().over(Window.partitionBy("bag").orderBy(F.col("s").desc(), "id"))
+    best = of_bags.withColumn("rank", first).where(F.col("rank") <= F.lit(most)).drop("rank")
+    best = F.broadcast(best) if bags * most <= ASKED_MOST else best
+    met = score_hits(postings, asked.where("heavy is null"), scope, k1, b, (*query, "bag")).join(of_bags.withColumnRenamed("s", "more"), ["bag", "id"], "left")
+    met = met.select(*query, "id", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s"))
+    return met.unionByName(owners.join(best, "bag").select(*query, "id", "s")).groupBy(*query, "id").agg(F.max("s").alias("s"))
 
 
 def rank_hits(scored: DataFrame, most: int) -> DataFrame:
@@ -131,7 +163,8 @@ class Bm25Index:
         """queries: query_id, query, top_k and the scope. Returns query_id, rank, id, score (4 places); blank queries have no hits.
         The few asked terms meet their statistics first, so that postings are joined once."""
         asked = with_corpus(query_terms(queries, self.scope).join(self.terms, [*self.scope, "term"]), self.corpus, self.scope)
-        return rank_hits(score_hits(self.postings, asked, self.scope, self.k1, self.b), most_asked(queries))
+        most = most_asked(queries)
+        return rank_hits(score_queries(self.postings, asked, self.scope, self.k1, self.b, most), most)
 
     def cache(self) -> Bm25Index:
         for df in (self.postings, self.terms, self.corpus):

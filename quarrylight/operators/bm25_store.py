@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import children, delete, drop, materialize
-from .bm25 import DOCUMENT, K1, B, Bm25Index, idf, most_asked, query_terms, rank_hits, score_hits, term_counts
+from .bm25 import DOCUMENT, K1, B, Bm25Index, idf, most_asked, query_terms, rank_hits, score_queries, term_counts
 from .chunk import dedup_first
 
 FAN_IN = 4
@@ -167,4 +167,5 @@ class Bm25Store:
             return Bm25Index.build(self.spark.sql("select 0L as id, '' as text where false"), "id", F.col("text")).search(queries)
         asked = query_terms(queries).join(self.terms(), "term").join(F.broadcast(self.corpus()), F.lit(True))  # one row
         met = self.table("postings", runs).join(asked.select("term").distinct(), "term", "left_semi")
-        return rank_hits(score_hits(self._live(met, runs), asked, (), self.k1, self.b), most_asked(queries))
+        most = most_asked(queries)
+        return rank_hits(score_queries(self._live(met, runs), asked, (), self.k1, self.b, most), most)

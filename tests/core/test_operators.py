@@ -262,6 +262,28 @@ def test_growing_index_replaces_removes_and_merges(spark, tmp_path):
     assert [h[2] for h in hits(store) if h[0] == 2] == [3, 2]
 
 
+def test_heavy_terms_are_scored_once_for_all_queries_that_share_them(spark, monkeypatch):
+    """Ties, repeated terms, queries of heavy terms alone, of light ones alone and of neither, and scopes: as scored one by one."""
+    from quarrylight.operators import bm25
+
+    rows = [(i, "ab"[i % 2], f"order endpoint w{i % 7} " + "endpoint " * (i % 3) + f"only{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id int, r string, t string")
+    texts = ["order endpoint only3", "endpoint order only59 only58", "order endpoint", "only7 w3", "order order endpoint only9", "nothing", "order endpoint only9 w2", ""]
+    asked = spark.createDataFrame([(10 * k + i, "ab"[k], t, 2 + 3 * i) for i, t in enumerate(texts) for k in (0, 1)], "query_id int, r string, query string, top_k int")
+    plans, plain = [], bm25.score_hits
+    monkeypatch.setattr(bm25, "score_hits", lambda *a: plans.append(a[-1]) or plain(*a))
+
+    def hits(scope, heavy):
+        monkeypatch.setattr(bm25, "HEAVY", heavy)
+        return [tuple(r) for r in Bm25Index.build(docs, "id", F.col("t"), scope=scope).search(asked).orderBy("query_id", "rank").collect()]
+
+    for scope in ((), ("r",)):
+        whole = hits(scope, 1_000_000)
+        assert len(plans) == 1 and hits(scope, 60) == whole != []
+        assert plans[1:] == [("bag",), ("query_id", "top_k", "bag")]
+        plans.clear()
+
+
 def test_scores_have_the_same_bits_in_any_order(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 9))) for i in range(60)], "id int, t string")
     asked = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(17)), 60)], "query_id int, query string, top_k int")
