@@ -8,10 +8,11 @@ before has written:
   target    from its start, as the others: an insult within NEAR symbols after a target becomes AIMED;
   negation  what is weighted within NEAR symbols after a negation gets the negation arc;
   report    what is weighted after a verb of speech gets the report arc;
-  weigh     AIMED gets the aim arc, a HIT weighs as much as the threat arc.
+  weigh     AIMED gets the aim arc, an insult without a target the bare arc, a HIT weighs as much as the threat arc.
 A symbol's weight is that of the lexicon times its arcs, a clause's the sum over its path. A document's score is a logistic
-function of the sum of its clauses' weights and of the heaviest (as it is, and levelling off); no word counts but through its clause. Arcs are learned
-within bounds that say what they mean (ARCS): a target makes an insult heavier, negation and report make it lighter.
+function of the sum of its clauses' weights and of the heaviest (as it is, and levelling off; neither below 0); no word counts but through its
+clause. Arcs are free: each may raise, lower, cancel or turn what it weighs (VALUES), and is 1, which is no effect, unless another value makes
+the labels of the second part likelier by GAIN. What insults without a target weigh is thus told by the labels too.
 The composed machine is built state by state as clauses need it; only clauses with an insult or a threat are run.
 
 Insults are words and beginnings of words that stand in toxic documents far more often than in others (G-test over the
@@ -19,8 +20,8 @@ labelled sample); beginnings because one stem has many endings. They are found b
 lower-cased text, at starts of words. Threats, targets, negations and verbs of reported speech are short fixed lists.
 
 Training rows: at most SAMPLE labelled documents of each class outside the held-out fold, chosen by a hash of their id,
-each whole. Two thirds of them, by a hash of the text, choose the insults; arcs and the logistic function are fitted on the
-others, so that chance finds of the first part weigh little.
+each whole. Two thirds of them, by a hash of the text, choose the insults; only those that the others confirm stay, and arcs
+and the logistic function are fitted on the others.
 
 Defined cases: null and empty texts have no clause and the score of a text without a match; rows with a null id are scored
 and not held out; labels, lang, source and ids are no inputs; texts of any length are read whole, one at a time; repeated rows score alike; without a label of either class
@@ -44,7 +45,7 @@ from .common import documents, keyed_texts, read_table, small_batches
 from .op2_quality import CUT, held_out, labelled_sample
 
 FOLDS, FOLD, SAMPLE, NEAR = 3, 1, 4000, 4
-STEM_LEAST, STEM_MOST, G_LEAST, RATIO_LEAST = 3, 8, 12.0, 8.0
+STEM_LEAST, STEM_MOST, G_LEAST, G_AGAIN, RATIO_LEAST = 3, 8, 12.0, 3.84, 8.0  # 3.84: one in twenty by chance
 PASS, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED, HIT = range(8)
 _WEIGHTED = (INSULT, AIMED, HIT)
 
@@ -60,8 +61,8 @@ _CLAUSE = re.compile(r"[.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
-#: Values that each arc may take; the first stands until others fit better.
-ARCS = {"aim": (1.5, 1.25, 2.0, 2.5), "negation": (0.4, 0.2, 0.5), "report": (0.5, 0.3, 0.6), "threat": (2.0, 1.0, 4.0)}
+#: What arcs may be, and the log likelihood that a value must gain for its arc to leave 1.
+ARCS, VALUES, GAIN = ("aim", "bare", "negation", "report", "threat"), (-1.0, -0.5, 0.0, 0.1, 0.25, 0.5, 0.75, 1.5, 2.0, 4.0), 2.0
 
 
 def _near(opens: int, becomes: dict[int, int], otherwise: dict[int, int] | None = None):
@@ -83,7 +84,7 @@ def _report(state: int, s: int) -> tuple[int, int, tuple[str, ...]]:
 
 
 def _weigh(state: int, s: int) -> tuple[int, int, tuple[str, ...]]:
-    return 0, s, ("aim",) if s == AIMED else ("threat",) if s == HIT else ()
+    return 0, s, ("aim",) if s == AIMED else ("bare",) if s == INSULT else ("threat",) if s == HIT else ()
 
 
 class Composed:
@@ -121,6 +122,19 @@ def _g(t: int, n: int, toxic: int, clean: int) -> float:
     return 2 * sum(x * log(x / (total * e)) for x, e in ((t, share), (n, 1 - share)) if x)
 
 
+def confirmed(insults: dict[str, float], texts: list[str], y: np.ndarray) -> dict[str, float]:
+    """Those that stand in toxic texts of these more often than in others too, by the same ratio and a G of G_AGAIN."""
+    seen = ({e: 0 for e in insults}, {e: 0 for e in insults})
+    for text, label in zip(texts, y, strict=True):
+        words = set(_WORD.findall(text.lower()))
+        every = {f"{w[:k]}*" for w in words for k in range(STEM_LEAST, min(STEM_MOST, len(w)) + 1)} | words
+        for e in every & insults.keys():
+            seen[int(label)][e] += 1
+    toxic, clean = int((y == 1).sum()), int((y == 0).sum())
+    ratio = {e: (seen[1][e] + 0.5) / (toxic + 1) / ((seen[0][e] + 0.5) / (clean + 1)) for e in insults}
+    return {e: w for e, w in insults.items() if ratio[e] >= RATIO_LEAST and _g(seen[1][e], seen[0][e], toxic, clean) >= G_AGAIN}
+
+
 def learn_insults(texts: list[str], y: np.ndarray) -> dict[str, float]:
     """Entries with their weight; one that ends in '*' is a beginning of words."""
     seen = (Counter(), Counter())
@@ -153,7 +167,7 @@ def learn_insults(texts: list[str], y: np.ndarray) -> dict[str, float]:
 
 class Grammar:
     def __init__(self, insults: dict[str, float]):
-        self.insults, self.weights, self.arcs = insults, np.zeros(4), {k: v[0] for k, v in ARCS.items()}
+        self.insults, self.weights, self.arcs = insults, np.zeros(4), dict.fromkeys(ARCS, 1.0)
         self._ready = None
 
     def __getstate__(self):
@@ -217,7 +231,8 @@ class Grammar:
     def features(self, clauses: list) -> np.ndarray:
         own = self.weigh(clauses)
         most = max(own, default=0.0)
-        return np.array([np.log1p(sum(own)), most, 1 - np.exp(-most), 1.0])
+        most, total = max(most, 0.0), max(sum(own), 0.0)
+        return np.array([np.log1p(total), most, 1 - np.exp(-most), 1.0])
 
     def fit(self, texts: list[str], y: np.ndarray, share: float) -> Grammar:
         """Arcs one after the other, each value by the likelihood of its best logistic function; twice, as they depend on each other."""
@@ -235,10 +250,11 @@ class Grammar:
             p = np.clip(1 / (1 + np.exp(-x @ w)), 1e-9, 1 - 1e-9)
             return float((own * -np.log(np.where(y == 1, p, 1 - p))).sum() + (ridge * w * w).sum() / 2), w
 
+        met = {a for clauses in read for c in clauses for _, labels in c for a in labels}
         best, arcs = logistic(self.arcs), dict(self.arcs)
-        for name in [*ARCS] * 2:
-            for value in ARCS[name]:
-                if value != arcs[name] and (got := logistic(arcs | {name: value}))[0] < best[0] - 1e-9:
+        for name in [a for a in ARCS if a in met] * 2:
+            for value in VALUES:
+                if value != arcs[name] and (got := logistic(arcs | {name: value}))[0] < best[0] - (GAIN if arcs[name] == 1.0 else 1e-9):
                     best, arcs = got, arcs | {name: value}
         self.arcs, self.weights = arcs, best[1]
         return self
@@ -262,9 +278,10 @@ def train(texts: list[bytes], y: np.ndarray, share: float | None = None):
     half = np.array([crc32(t.encode("utf-8", "replace")) % 3 < 2 for t in texts])
     if len(set(y[half].tolist())) < 2 or len(set(y[~half].tolist())) < 2:
         half[:] = True
-    grammar = Grammar(learn_insults([t for t, h in zip(texts, half, strict=True) if h], y[half]))
     other = ~half if not half.all() else half
-    return grammar.fit([t for t, h in zip(texts, other, strict=True) if h], y[other], y.mean() if share is None else share)
+    again = [t for t, h in zip(texts, other, strict=True) if h]
+    insults = confirmed(learn_insults([t for t, h in zip(texts, half, strict=True) if h], y[half]), again, y[other])
+    return Grammar(insults).fit(again, y[other], y.mean() if share is None else share)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

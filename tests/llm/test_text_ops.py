@@ -236,13 +236,40 @@ def test_grammar_reads_context():
     assert g.clauses("antimoral idiots") == [] and weight("Morons!") == 4 and g.clauses("") == []
 
 
-def test_arcs_carry_the_score(labelled):
-    """Without the weights of the clauses' paths no held-out document is told from another."""
-    fit, rest = held_out(labelled, 3, 1)
-    model = op5_toxicity.train([r[1].encode() for r in fit], np.array([r[3] for r in fit], float))
-    before = [model.score(r[1]) for r in rest]
-    model.weigh = lambda clauses: [0.0 for _ in clauses]
-    assert len({model.score(r[1]) for r in rest}) == 1 < len(set(before))
+def clauses_of_labels(n, seed):
+    """Toxic: an insult at a target. Clean: mostly none, one in twenty an insult that is negated, with a target too."""
+    rng = np.random.default_rng(seed)
+    filler = lambda: " ".join(rng.choice(["river", "stone", "table", "green", "walks", "under", "seven", "light"], 6))
+    out = []
+    for i in range(n):
+        word = rng.choice(["moron", "zilch", "scum"])
+        aimed = f"you {word}" if i % 3 else f"{word} that you"
+        text = aimed if i % 2 else f"you never {word}" if i % 40 == 0 else "you light that"
+        out.append((f"{filler()}. {filler()} {text}. {filler()} {i}", float(i % 2)))
+    return out
+
+
+def test_arcs_carry_the_score():
+    """The same insults at the same targets: only the arc of negation tells denied ones from the rest, and without it they pass."""
+    fit = clauses_of_labels(1600, 1)
+    model = op5_toxicity.train([t.encode() for t, _ in fit], np.array([y for _, y in fit]))
+    assert {e.rstrip("*")[:3] for e in model.insults} == {"mor", "zil", "scu"}
+    rest = clauses_of_labels(1600, 2)
+    denied, aimed = [t for t, y in rest if " never " in t], [t for t, y in rest if y]
+    passes = lambda texts: np.mean([model.score(t) >= op5_toxicity.CUT for t in texts])
+    assert len(denied) > 20 and passes(denied) == 0.0 and passes(aimed) > 0.99
+    model.arcs = model.arcs | {"negation": 1.0}
+    assert passes(denied) > 0.99
+
+
+def test_entries_must_be_confirmed():
+    """Words that only the first part's toxic texts have go, those of both parts stay."""
+    first = [f"zilch chance {i}" for i in range(60)] + [f"plain {i}" for i in range(60)]
+    second = [f"zilch other {i}" for i in range(60)] + [f"chance plain {i}" for i in range(60)]
+    y = np.array([1.0] * 60 + [0.0] * 60)
+    learned = op5_toxicity.learn_insults(first, y)
+    assert {e.rstrip("*")[:3] for e in learned} == {"zil", "cha"}
+    assert {e.rstrip("*")[:3] for e in op5_toxicity.confirmed(learned, second, y)} == {"zil"}
 
 
 def test_toxicity_query_is_a_plain_loop(spark, sf_dir):
