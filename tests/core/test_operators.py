@@ -152,6 +152,26 @@ def test_chain_prefers_by_role_within_the_first_ten(spark):
     assert got[1]["start_line"] == 7 and got[1]["role"] == "database"
 
 
+def test_chains_read_edges_and_nodes_once(spark):
+    """However many hops there are, what they are followed on is made once."""
+    reads = {"edges": spark.sparkContext.accumulator(0), "nodes": spark.sparkContext.accumulator(0)}
+
+    def heard(rows, name):
+        def count(batches, seen=reads[name]):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(count, rows.schema)
+
+    e = edges(spark, [(f"n{i}", f"n{i + 1}", "exact") for i in range(4)]).selectExpr("'r' repository_id", "*", "'f' file", "7 line")
+    nodes = spark.createDataFrame([("r", f"n{i}", f"n{i}", f"n{i}", "f", 1, 2) for i in range(5)], "repository_id string, node string, name string, qualified_name string, file string, start_line int, end_line int")
+    starts = spark.createDataFrame([("r", "n0")], "repository_id string, start string")
+    got = graph.greedy_chains(starts, heard(e, "edges"), heard(nodes, "nodes")).orderBy("order").collect()
+    assert [r["node"] for r in got] == [f"n{i}" for i in range(5)]
+    assert reads["edges"].value == 4 and reads["nodes"].value == 5
+
+
 def test_shop_investigation_is_grounded(shop):
     r = planner.investigate(shop, "shop", "Trace a create order request to the database write.")
     assert [s["role"] for s in r.chain][-1] == "database" and r.grounding == "grounded"
