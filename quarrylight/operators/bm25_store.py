@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import children, delete, drop, materialize
-from .bm25 import DOCUMENT, K1, B, Bm25Index, idf, most_asked, query_terms, rank_hits, score_queries, term_counts
+from .bm25 import DOCUMENT, K1, B, Bm25Index, by_term, idf, most_asked, query_terms, rank_hits, score_queries, term_counts
 from .chunk import dedup_first
 
 FAN_IN = 4
@@ -66,7 +66,7 @@ class Bm25Store:
     def _write(self, folder: str, **tables: DataFrame) -> None:
         for name, rows in tables.items():
             if name in ("postings", "terms"):
-                rows = rows.repartition("term").sortWithinPartitions("term", *(["id"] if name == "postings" else []))
+                rows = by_term(rows).sortWithinPartitions("term", *(["id"] if name == "postings" else []))
             rows.write.parquet(f"{self.path}/runs/{folder}/{name}")
 
     def _live(self, rows: DataFrame, runs: list[Run]) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import graph
+from quarrylight.operators import bm25, graph
 from quarrylight.operators.bm25 import Bm25Index, search_documents
 from quarrylight.operators.parse import parse_source
 from quarrylight.plans import fixtures, planner, tools
@@ -172,6 +172,28 @@ def test_chains_read_edges_and_nodes_once(spark):
     assert reads["edges"].value == 4 and reads["nodes"].value == 5
 
 
+def test_hits_are_scored_in_parts_by_their_number(spark, monkeypatch):
+    """Small postings that many queries multiply are still dealt to many tasks."""
+    monkeypatch.setattr(bm25, "HITS", 500)
+    docs = spark.range(400).select("id", F.lit("word").alias("text")).coalesce(1)
+    index = Bm25Index.build(docs, "id", F.col("text"))
+    asked = spark.range(20).selectExpr("id query_id", "'word' term", "10 top_k", "1L qtf").join(index.terms, "term").crossJoin(index.corpus)
+    scored = bm25.score_hits(index.postings, asked, (), 1.5, 0.75, ("query_id",))
+    per_task = [r["n"] for r in scored.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == 8000 and len(per_task) > 10 and max(per_task) < 8000 / 4
+
+
+def test_a_frequent_term_is_saved_in_parts(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        docs = spark.range(0, 4000, 1, 8).select("id", F.lit("word").alias("text"))
+        Bm25Index.build(docs, "id", F.col("text")).save(f"file://{tmp_path}")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = spark.read.parquet(f"file://{tmp_path}/postings").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == 4000
+
+
 def test_shop_investigation_is_grounded(shop):
     r = planner.investigate(shop, "shop", "Trace a create order request to the database write.")
     assert [s["role"] for s in r.chain][-1] == "database" and r.grounding == "grounded"
