@@ -194,6 +194,12 @@ def test_a_frequent_term_is_saved_in_parts(spark, tmp_path):
     assert len(files) > 1 and sum(r["count"] for r in files) == 4000
 
 
+def test_postings_of_chunks_are_read_from_their_table(shop):
+    """They are as many as the words of all chunks: no copy of them is kept in memory."""
+    assert shop.bm25_by_repository.terms.is_cached and not shop.bm25_by_repository.postings.is_cached
+    assert not shop.bm25.postings.is_cached and tools.Tools(shop).keyword_search("order").count() > 0
+
+
 def test_shop_investigation_is_grounded(shop):
     r = planner.investigate(shop, "shop", "Trace a create order request to the database write.")
     assert [s["role"] for s in r.chain][-1] == "database" and r.grounding == "grounded"
