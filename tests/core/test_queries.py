@@ -51,3 +51,18 @@ def test_entry_asks_every_benchmark_text(spark, sf_dir):
 
     items = {r["item_id"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     assert {r["query_id"] for r in __spark_entry__.entry(spark).collect()} == items
+
+
+def test_term_stats_of_rows_that_share_ids(spark, tmp_path, monkeypatch):
+    """Statistics as SQL has them where rows share ids, or have none, and no table of postings on the way."""
+    from quarrylight.operators import bm25
+
+    rows = [(1, "a b b"), (1, "a b b"), (1, "b c d e"), (2, "a fooBar"), (None, "a z"), (None, "a z"), (None, None), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, real = [], bm25.materialize
+    monkeypatch.setattr(bm25, "materialize", lambda df, name: made.append(df.columns) or real(df, name))
+    got = {tuple(r) for r in cq.QUERIES["term_stats"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {(t, df, round(x, 4)) for t, df, x in con.execute(cq.SQL["term_stats"]).fetchall()}
+    assert got == want and {("a", 3), ("b", 2), ("foobar", 1)} <= {r[:2] for r in got} and not any("tf" in columns for columns in made)
