@@ -1,7 +1,8 @@
 """A BM25 index that grows: batches of documents become immutable runs, and their statistics add up.
 
 A run has postings sorted by term, the lengths of its documents, tombstones of documents that it replaces or removes, and what it
-adds to document frequencies and totals (less than nothing for what it replaces). A search reads the asked terms of all runs,
+adds to document frequencies and totals (less than nothing for what it replaces). Its postings are blocks: a term's documents among a
+few thousand neighbours of the batch are one row (see `bm25_blocks`). A search reads the asked terms of all runs,
 leaves out postings that a later run has buried, and adds up the statistics: the same as an index built anew of what is left.
 When FAN_IN runs of one level have come together they are merged into one of the next, so there are few runs at any time.
 
@@ -17,8 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import children, delete, drop, materialize
-from .bm25 import DOCUMENT, K1, B, Bm25Index, by_term, idf, most_asked, query_terms, rank_hits, score_queries, term_counts
+from ..sources.tables import children, delete, materialize, settle
+from .bm25 import ASKED_MOST, DOCUMENT, K1, B, Bm25Index, by_term, idf, most_asked, query_terms, rank_hits, score_queries
+from .bm25_blocks import blocks_of, blocks_of_postings, posting_blocks
 from .chunk import dedup_first
 
 FAN_IN = 4
@@ -66,7 +68,7 @@ class Bm25Store:
     def _write(self, folder: str, **tables: DataFrame) -> None:
         for name, rows in tables.items():
             if name in ("postings", "terms"):
-                rows = by_term(rows).sortWithinPartitions("term", *(["id"] if name == "postings" else []))
+                rows = by_term(rows).sortWithinPartitions("term")
             rows.write.parquet(f"{self.path}/runs/{folder}/{name}")
 
     def _live(self, rows: DataFrame, runs: list[Run]) -> DataFrame:
@@ -81,34 +83,36 @@ class Bm25Store:
         order counts. A null id can't be replaced and is left out."""
         if order is not None:
             docs = dedup_first(docs, [id_col], order)
-        self._change(term_counts(docs.where(F.col(id_col).isNotNull()), id_col, text))
+        self._change(posting_blocks(docs.where(F.col(id_col).isNotNull()), id_col, text, distinct=order is not None))
 
     def remove(self, ids: DataFrame) -> None:
         """ids: id. Unknown ones are ignored."""
-        empty = ids.select("id", F.lit(0).cast("long").alias("dl"), F.lit(DOCUMENT).alias("term"), F.lit(0).cast("long").alias("tf")).distinct()
-        self._change(empty, removed=True)
-
-    def _change(self, counts: DataFrame, removed: bool = False) -> None:
-        runs, counts = self.runs(), materialize(counts, "batch")
-        touched = counts.where(F.col("term") == DOCUMENT).select("id", "dl")
-        fresh = touched.limit(0) if removed else touched
-        terms = fresh.limit(0).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("df")) if removed else counts.where(F.col("term") != DOCUMENT).groupBy("term").agg(F.count("*").alias("df"))
+        none = ids.limit(0).select(F.lit(DOCUMENT).alias("term"), "id", *(F.lit(0).cast("long").alias(c) for c in ("tf", "dl")))
+        self._change(blocks_of_postings(none), ids.select("id").distinct())
+
+    def _change(self, blocks: DataFrame, removed: DataFrame | None = None) -> None:
+        """The texts are read once, into the run's postings; what else it has comes of these."""
+        runs = self.runs()
+        number = 1 + max([r.run for r in runs], default=0)
+        made = Run(number, 0, f"{number}-{uuid.uuid4().hex}")
+        self._write(made.folder, postings=blocks)
+        self._write(made.folder, documents=blocks_of(self.table("postings", [made]).where(F.col("term") == DOCUMENT)).select("id", "dl"))
+        fresh = self.table("documents", [made]).select("id", "dl")
+        touched = fresh.select("id") if removed is None else removed
+        terms = self.table("postings", [made]).where(F.col("term") != DOCUMENT).groupBy("term").agg(F.sum("n").alias("df"))
         totals = fresh.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
-        gone = touched.limit(0).select("id")
+        gone = touched.limit(0)
         if runs:
-            old = materialize(self._live(self.table("documents", runs), runs).join(touched.select("id"), "id", "left_semi"), "replaced")
+            old = materialize(self._live(self.table("documents", runs), runs).join(touched, "id", "left_semi"), "replaced")
             gone = old.select("id")
             if not old.isEmpty():
-                lost = self.table("postings", runs).join(old.select("id", "run"), ["id", "run"], "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))
+                lost = blocks_of(self.table("postings", runs).where(F.col("term") != DOCUMENT)).join(old.select("id", "run"), ["id", "run"], "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))
                 terms = terms.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
                 less = old.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("length"))
                 totals = totals.unionByName(less).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-        number = 1 + max([r.run for r in runs], default=0)
-        made = Run(number, 0, f"{number}-{uuid.uuid4().hex}")
-        postings = counts.where(F.col("term") != DOCUMENT).select("term", "id", "tf", "dl")
-        self._write(made.folder, postings=postings.limit(0) if removed else postings, documents=fresh, dead=gone, terms=terms, totals=totals)
+        self._write(made.folder, dead=gone, terms=terms, totals=totals)
         self._commit([*runs, made])
-        drop(counts)
+        settle(self.spark)
         self._merge_full_levels()
 
     def _merge_full_levels(self) -> None:
@@ -130,11 +134,22 @@ class Bm25Store:
         first = some[0].run == runs[0].run
         dead = self.table("dead", some).select("id").distinct()
         self._write(
-            made.folder, postings=self._live(self.table("postings", some), some).drop("run"), documents=self._live(self.table("documents", some), some).drop("run"), dead=dead.limit(0) if first else dead,
+            made.folder, postings=self._live_blocks(some), documents=self._live(self.table("documents", some), some).drop("run"), dead=dead.limit(0) if first else dead,
             terms=self.table("terms", some).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), totals=self.table("totals", some).agg(F.sum("n").alias("n"), F.sum("length").alias("length")),
         )
         self._commit([made if r == last else r for r in runs if r == last or r not in some])
 
+    def _live_blocks(self, some: list[Run]) -> DataFrame:
+        """The postings of some runs without what later ones of them have buried: blocks without such documents as they are."""
+        blocks, documents = self.table("postings", some), self.table("documents", some)
+        buried = documents.join(self._live(documents, some), ["id", "run"], "left_anti").select("id", "run")
+        if buried.isEmpty():
+            return blocks.drop("run")
+        held = blocks_of(blocks.where(F.col("term") == DOCUMENT), "block")
+        touched = materialize(held.join(buried, ["id", "run"], "left_semi").select("block", "run").distinct(), "touched")
+        left = self._live(blocks_of(blocks.join(touched, ["block", "run"], "left_semi"), "block"), some)
+        return blocks.join(touched, ["block", "run"], "left_anti").drop("run").unionByName(blocks_of_postings(left, "block"))
+
     def vacuum(self) -> None:
         """Delete runs that no reader of the latest manifest needs: merged ones and those of writes that failed."""
         kept = {r.folder for r in self.runs()}
@@ -151,12 +166,14 @@ class Bm25Store:
             return self.spark.sql("select 0L as n, 0D as avgdl")
         return self.table("totals", runs).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).select("n", F.when(F.col("n") > 0, F.col("length") / F.col("n")).otherwise(F.lit(0.0)).alias("avgdl"))
 
-    def terms(self) -> DataFrame:
-        """term, df, idf of all runs together."""
+    def terms(self, words: DataFrame | None = None) -> DataFrame:
+        """term, df, idf of all runs together; words: term, distinct, if only some are wanted."""
         runs = self.runs()
         if not runs:
             return self.spark.sql("select '' as term, 0L as df, 0D as idf where false")
-        df = self.table("terms", runs).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        rows = self.table("terms", runs)
+        rows = rows if words is None else rows.join(words, "term", "left_semi")
+        df = rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         return df.join(F.broadcast(self.corpus()), F.lit(True)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # one row
 
     def search(self, queries: DataFrame) -> DataFrame:
@@ -165,7 +182,11 @@ class Bm25Store:
         runs = self.runs()
         if not runs:
             return Bm25Index.build(self.spark.sql("select 0L as id, '' as text where false"), "id", F.col("text")).search(queries)
-        asked = query_terms(queries).join(self.terms(), "term").join(F.broadcast(self.corpus()), F.lit(True))  # one row
-        met = self.table("postings", runs).join(asked.select("term").distinct(), "term", "left_semi")
+        # asked terms are known before postings are read: else these would be dealt by term before it is seen how few those are
+        asked = materialize(query_terms(queries), "store-asked")
+        words = asked.select("term").distinct()
+        words = F.broadcast(words) if words.count() <= ASKED_MOST else words
+        asked = materialize(asked.join(self.terms(words), "term").join(F.broadcast(self.corpus()), F.lit(True)), "store-asked")  # one row
+        met = blocks_of(self.table("postings", runs).join(words, "term", "left_semi"))
         most = most_asked(queries)
         return rank_hits(score_queries(self._live(met, runs), asked, (), self.k1, self.b, most), most)

@@ -395,3 +395,34 @@ def test_suites_tell_what_they_found(spark):
     assert all(r["name"] and r["expected"] for r in got.values())
     totals = {r["repository_id"]: r for r in simulate.summary(simulate.run_simulation(index, "other")).collect()}
     assert totals["other"]["total"] == 3
+
+
+def test_blocks_of_postings_are_the_counts_of_terms(spark, monkeypatch, tmp_path):
+    """Odd identifiers, texts side by side, null texts and ids that come again; a term of one block is one row; merged runs, whose
+    blocks hold buried documents, are what an index of the rest has."""
+    from quarrylight.operators import bm25_blocks
+    from quarrylight.operators.bm25 import term_counts
+    from quarrylight.operators.bm25_store import Bm25Store
+
+    odd = ["a.b", ".c", "c.", ".", "", None, "x..y.z", "getUserName get_user HTTPServer", "Ä.b é_KK1.2", "_", "one two.three\nTHREE one", "word", "word.", "a.b a.b"]
+    rows = [(f"k{i}", t) for i, t in enumerate(odd * 3)] + [("k1", ".c"), ("k1", "c"), ("k2", "more of it")]
+    docs = spark.createDataFrame(rows, "k string, t string").coalesce(1)
+    want = sorted(tuple(r) for r in term_counts(docs, "k", F.col("t")).select("term", "id", "tf", "dl").collect())
+    for size, most in ((8 << 20, 10_000), (7, 10_000), (8 << 20, 3)):
+        monkeypatch.setattr(bm25_blocks, "BLOCK_BYTES", size)
+        monkeypatch.setattr(bm25_blocks, "BLOCK_DOCUMENTS", most)
+        blocks = bm25_blocks.posting_blocks(docs, "k", F.col("t"))
+        assert sorted(tuple(r) for r in blocks.select("term", F.inline("docs")).select("term", "id", "tf", "dl").collect()) == want
+
+    monkeypatch.undo()
+    store = Bm25Store(spark, f"file://{tmp_path}/store", fan_in=9)
+    some = lambda rows: spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    store.add(some([(i, f"alpha w{i % 3}") for i in range(60)]), "id", F.col("t"))
+    assert store.table("postings", store.runs()).where("term = 'alpha'").select("n").collect() == [(60,)]
+    store.add(some([(i, "alpha beta") for i in range(5)]), "id", F.col("t"))
+    store.add(some([(i, "gamma") for i in range(100, 104)]), "id", F.col("t"))
+    store.remove(spark.createDataFrame([(7,), (8,), (4,)], "id int"))
+    store.compact()
+    held = store.table("postings", store.runs()).select("term", "n", F.inline("docs"))
+    assert sorted(r["id"] for r in held.where("term = 'alpha'").collect()) == [i for i in range(60) if i not in (4, 7, 8)]
+    assert {r["df"] for r in store.terms().where("term = 'alpha'").collect()} == {57} and store.corpus().first()["n"] == 61
